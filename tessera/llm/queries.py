@@ -23,8 +23,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import assess, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return assess(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_token_counts,)}
+    return {f.__name__: f for f in (op3_toxicity, op6_quality_rules, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,7 +33,7 @@ from tessera.llm.common import ends_in_stop, utf8
 
 SEGMENT = re.compile(rb"\s*\S+|\s+")
 #: White space beyond ASCII, with the separators that not all libraries count: fixed values of the Unicode standard.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MEMO_ENTRIES, MEMO_BYTES = 250_000, 64
 
 _loaded: dict[str, SegmentCosts] = {}
