@@ -23,6 +23,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import fit, score_texts
 
@@ -37,9 +43,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), cap=3)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_toxicity, op6_quality_rules, op9_token_counts)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op6_quality_rules, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm import exact_dedup, mixing
+
+    return {"op2_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
