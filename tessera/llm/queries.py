@@ -36,6 +36,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import assess, fit
 
@@ -50,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op6_quality_rules, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op5_simhash, op6_quality_rules, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
