@@ -23,6 +23,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_groups
 
@@ -56,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op5_simhash, op6_quality_rules, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_toxicity, op5_simhash, op6_quality_rules, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
