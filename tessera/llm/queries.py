@@ -17,6 +17,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_filter import LISTED, RULES, judge, listing
+
+    return judge(table(spark, sf_dir, "pages"), listing(spark, RULES, LISTED))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import count_tokens
 
@@ -62,10 +74,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_toxicity, op5_simhash, op6_quality_rules, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_toxicity, op5_simhash, op6_quality_rules, op7_license_scans, op8_url_filter, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import exact_dedup, mixing
+    from tessera.llm import exact_dedup, mixing, url_filter
 
-    return {"op2_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op8_url_filter": url_filter.SQL, "op10_mixing": mixing.SQL}
