@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WordHashes, mix64, utf8
 
 BITS = 30
-MOST_ROWS = 6000
+MOST_ROWS = 10_000
+LEAST_ROWS = 3
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that separate words become blanks, A-Z lower case.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -66,10 +67,15 @@ class Weights:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = 10, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, seed: int = 5) -> Weights:
-    """FTRL-proximal over sets of features. Rows of one feature set of the sample are dropped by the L1 term, not before."""
-    index, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    at = np.split(flat, np.cumsum([len(r) for r in rows])[:-1])
+def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, alpha: float = 2.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.1, seed: int = 5) -> Weights:
+    """FTRL-proximal over sets of features; those in fewer than ``LEAST_ROWS`` rows are left out."""
+    ranked = np.sort(np.concatenate(rows))
+    index = np.unique(ranked[LEAST_ROWS - 1 :][ranked[LEAST_ROWS - 1 :] == ranked[: len(ranked) - LEAST_ROWS + 1]])
+    del ranked
+    at = []
+    for r in rows:
+        k = np.minimum(np.searchsorted(index, r), max(len(index) - 1, 0))
+        at.append(k[index[k] == r].astype(np.int32) if len(index) else np.zeros(0, np.int32))
     z, n = np.zeros(len(index)), np.zeros(len(index))
     zb = nb = 0.0
 
