@@ -54,6 +54,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, fit(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_components
 
@@ -74,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_toxicity, op5_simhash, op6_quality_rules, op7_license_scans, op8_url_filter, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_toxicity, op4_pii, op5_simhash, op6_quality_rules, op7_license_scans, op8_url_filter, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
