@@ -84,11 +84,17 @@ def _digits(docs: DataFrame, bucket_rows: int) -> int:
 _EXTRA = "CASE WHEN cut_place IS NULL OR _place > cut_place THEN 0L WHEN _place < cut_place THEN _size ELSE (cut_words * _size) div cut_size END"
 
 
+def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan: broadcast up to a counted 20,000 sources, else a join that Spark may split."""
+    sources = written(sources, "sources")
+    return rows.join(F.broadcast(sources) if sources.count() <= 20_000 else sources, "_key")
+
+
 def mix(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``."""
     sized = written(_keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "_key", "_size", "_place"), "sized")
     sources = plan(sized, cap, digits=_digits(sized, bucket_rows))
-    return sized.join(sources, "_key").select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") * F.col("_size") + F.expr(_EXTRA)).alias("taken"))
+    return _by_source(sized, sources).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") * F.col("_size") + F.expr(_EXTRA)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -101,7 +107,7 @@ def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows:
     sized = written(keyed.select("_key", "_size", "_place"), "sized")
     sources = plan(sized, cap, digits=_digits(sized, bucket_rows))
     extra = F.expr(_EXTRA)
-    rows = keyed.join(sources, "_key").withColumn("_extra", extra)
+    rows = _by_source(keyed, sources).withColumn("_extra", extra)
     whole = rows.where("whole > 0 OR _extra > 0")
     copies = F.col("whole").cast("int") + (F.col("_extra") > 0).cast("int")
     out = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
