@@ -1,21 +1,32 @@
 """Operator 5: near-duplicates by SimHash and multi-index hashing.
 
 A fingerprint has a bit where more than half of a text's shingle hashes have
-it. Two fingerprints of distance 4 or less have a 32-bit half on which they
-differ in at most 2 bits. So each fingerprint enters, for each half, the 33
-tables entries within one bit of that half: two fingerprints meet where their
-halves are within 2 bits, and complete distances are then verified.
+it. It is cut into segments, and each fingerprint enters, for each segment, the
+table entries within one bit of that segment: two fingerprints meet where a
+segment differs in at most 2 bits, and complete distances are then verified.
+
+:func:`near_components` has 64 bits in two segments, so that it finds every
+pair of distance 4 or less (of 4 bits one half has at most 2). It is exact.
+
+:func:`keep_one` is for texts of similarity 0.8 and more, whose fingerprints
+differ in more bits. It takes 128 bits (two lanes) in six segments and links
+complete distances up to 24, the mean distance of texts of Jaccard similarity
+0.75. Pairs of distance 17 or less meet for certain, others by chance: at
+similarity 0.8, 0.85 and 0.9 about 0.83, 0.95 and 0.99 of pairs are linked.
 
 Copies collapse first: only distinct fingerprints are looked up. Inside a
 bucket the links found are a spanning forest, by breadth-first search over
 what is still unvisited, not all pairs; components are those of all links.
-A bucket of more than ``most_bucket`` members is never gathered. Such a bucket
-can only lie within one bit of a half that has over ``most_bucket / 33``
-fingerprints, which is counted first; there, members are dealt by the other
-half too: a member that has the bucket's half enters all entries within 2 bits
-of its other half, one that is a bit off enters those within 1 bit. Two members
-meet exactly where their distance is 4 or less by that path, so each entry is a
-class and its members hang on the smallest. No link is lost, at any size.
+
+At distance 4 a bucket of more than ``most_bucket`` members is never gathered.
+Such a bucket can only lie within one bit of a half that has over
+``most_bucket / 33`` fingerprints, which is counted first; there, members are
+dealt by the other half too: a member that has the bucket's half enters all
+entries within 2 bits of its other half, one that is a bit off enters those
+within 1 bit. Two members meet exactly where their distance is 4 or less by
+that path, so each entry is a class and its members hang on the smallest. No
+link is lost, at any size. With two lanes a bucket is searched by one task, in
+16 bytes for each of its distinct fingerprints.
 
 Null and empty texts have fingerprint zero, linked like any other. Fewer words
 than a shingle: the whole sequence is one. Null ids pass through and name a
@@ -25,7 +36,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -33,11 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, utf8, written
+from tessera.llm.common import ascii_lower, mix64, utf8, written
 from tessera.llm.components import components
 
 DISTANCE = 4
+WIDE_DISTANCE = 24
 MOST_BUCKET = 20_000
+#: Runs up to this size are compared pair by pair, up to MATRIX as a matrix.
+SMALL, MATRIX = 16, 512
+#: (lane, first bit, bits) of each segment, by lanes.
+SEGMENTS = {1: [(0, 32, 32), (0, 0, 32)], 2: [(k, at, n) for k in (0, 1) for at, n in ((0, 21), (21, 21), (42, 22))]}
 _FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(32, dtype=np.uint64)])
 _FLIPS2 = np.concatenate([_FLIPS, np.array([(1 << i) | (1 << j) for i in range(32) for j in range(i)], np.uint64)])
 _LOW = np.uint64(0xFFFFFFFF)
@@ -60,39 +76,66 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(plain.__getitem__, cuts), repeat(42)), np.uint64, len(parts) - words + 1)
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
+def fingerprint(text: bytes, words: int = 4, lanes: int = 1) -> list[int]:
+    """One 64-bit fingerprint for each lane; lane 0 takes the hashes as they are."""
     h = shingle_hashes(text, words)
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(h), 4096):
-        part = h[at : at + 4096].astype("<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+        for k in range(lanes):
+            part = h[at : at + 4096] if k == 0 else mix64(h[at : at + 4096] + np.uint64(k))
+            counts[k] += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(h), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each row of fingerprints: the fingerprint itself where there is one lane."""
+    out = fps[:, 0]
+    for k in range(1, fps.shape[1]):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + fps[:, k])
+    return out
+
 
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed 64-bit integer). No shuffle."""
+
+def _lanes(batch: pa.RecordBatch, first: int, lanes: int) -> np.ndarray:
+    return np.stack([batch.column(first + k).to_numpy().view(np.uint64) for k in range(lanes)], 1)
+
+
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
+    """``doc_id, node, fp0, ...`` (as signed 64-bit integers). No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t, words) for at in range(0, b.num_rows, 512) for t in utf8(b.column(1).slice(at, 512))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            found = [fingerprint(t, words, lanes) for at in range(0, b.num_rows, 512) for t in utf8(b.column(1).slice(at, 512))]
+            fps = np.array(found, np.uint64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(node_of(fps)), *(_signed(fps[:, k]) for k in range(lanes))], ["doc_id", "node", *(f"fp{k}" for k in range(lanes))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, " + ", ".join(f"fp{k} long" for k in range(lanes)))
 
 
 def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp >> _HALF, fp & _LOW
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under the 66 entries within one bit of its halves: ``side`` is the lowest bit of the key."""
-    for b in batches:
-        for at in range(0, b.num_rows, 2048):
-            fp = b.column(0).slice(at, 2048).to_numpy().view(np.uint64)
-            for side, half in enumerate(_halves(fp)):
-                key = ((half[:, None] ^ _FLIPS[None, :]) << np.uint64(1)) | np.uint64(side)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, 33).view(np.int64))], ["key", "fp"])
+def _keys(lanes: int):
+    """Each fingerprint under the entries within one bit of its segments; the low bits of a key number the segment."""
+    segments = SEGMENTS[lanes]
+    bits = np.uint64((len(segments) - 1).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                fps = _lanes(b.slice(at, 2048), 0, lanes)
+                for k, (lane, first, n) in enumerate(segments):
+                    segment = (fps[:, lane] >> np.uint64(first)) & np.uint64((1 << n) - 1)
+                    key = ((segment[:, None] ^ _FLIPS[None, : n + 1]) << bits) | np.uint64(k)
+                    many = np.repeat(fps, n + 1, axis=0)
+                    yield pa.RecordBatch.from_arrays([_signed(key.ravel()), *(_signed(many[:, x]) for x in range(lanes))], ["key", *(f"fp{x}" for x in range(lanes))])
+
+    return run
 
 
 def _subkeys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,82 +150,121 @@ def _subkeys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array((other ^ flips).view(np.int64)), pa.array(np.full(n, value))], ["key", "sub", "fp"])
 
 
-def forest(fp: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that span the components of ``fp`` at ``distance``, found without listing pairs."""
-    out, rest, queue = [], fp, []
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that span the components of ``fps`` at ``distance``, found without listing pairs."""
+    out, rest, queue = [], fps, []
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
         x = queue.pop()
-        near = np.bitwise_count(rest ^ x) <= distance
+        near = _apart(rest, x) <= distance
         if near.any():
             found = rest[near]
-            out.append((found, np.full(len(found), x)))
+            out.append((found, np.broadcast_to(x, found.shape)))
             queue.extend(found)
             rest = rest[~near]
     return out
 
 
-def _links(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(first, len(k)))
-            a, b = [f[first[size == 2]]], [f[first[size == 2] + 1]]
-            near = np.bitwise_count(a[0] ^ b[0]) <= distance
-            a, b = [a[0][near]], [b[0][near]]
-            for at, n in zip(first[size > 2], size[size > 2], strict=True):
-                for x, y in forest(f[at : at + n], distance):
-                    a.append(x)
-                    b.append(y)
-            if any(map(len, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.uint64).view(np.int64)) for x in (a, b)], ["a", "b"])
+def _in_run(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of one run: its pairs where they are few, else a forest."""
+    if len(fps) <= MATRIX:
+        a, b = np.nonzero(np.triu(_apart(fps[:, None], fps[None, :]) <= distance, 1))
+        if len(a) <= 4 * len(fps):
+            return [(fps[a], fps[b])] if len(a) else []
+    return forest(fps, distance)
+
+
+def _links(distance: int, lanes: int):
+    """``a, b`` from rows that are sorted by key: runs of equal keys are buckets."""
+
+    def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(first, len(k)))
+        left = np.where(np.repeat(size <= SMALL, size), np.repeat(first + size, size) - np.arange(len(k)) - 1, 0)  # rows of the run still to come
+        found = []
+        for j in range(1, SMALL):
+            i = np.flatnonzero(left >= j)
+            if not len(i):
+                break
+            i = i[_apart(f[i], f[i + j]) <= distance]
+            found.append((f[i], f[i + j]))
+        for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            found += _in_run(f[at : at + n], distance)
+        if any(len(a) for a, _ in found):
+            ends = [node_of(np.concatenate([x[k] for x in found])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([_signed(x) for x in ends], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, held = [], [], None
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            if len(keys):
-                upto = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
-                if upto:
-                    yield from linked(keys[:upto], fps[:upto])
-                    keys, fps = keys[upto:], fps[upto:]
-        if len(keys):
-            yield from linked(keys, fps)
+            k, f = batch.column(0).to_numpy(), _lanes(batch, 1, lanes)
+            if len(k):
+                keys.append(k)
+                fps.append(f)
+                if held != k[-1] or len(keys) > 64:  # the last run may go on
+                    keys, fps = [np.concatenate(keys)], [np.concatenate(fps)]
+                    upto = int(np.searchsorted(keys[0], k[-1]))
+                    if upto:
+                        yield from linked(keys[0][:upto], fps[0][:upto])
+                        keys, fps = [keys[0][upto:]], [fps[0][upto:]]
+                    held = k[-1]
+        if keys:
+            yield from linked(np.concatenate(keys), np.concatenate(fps))
 
     return run
 
 
+def _bucketed(keys: DataFrame, distance: int, lanes: int) -> DataFrame:
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance, lanes), "a long, b long")
+
+
 def fingerprint_links(fps: DataFrame, most_bucket: int = MOST_BUCKET) -> DataFrame:
-    """``a, b``: links whose components are those of all pairs of ``fps(fp)``, distinct, at distance 4 or less."""
+    """``a, b``: links whose components are those of all pairs of ``fps(fp0)``, distinct, at distance 4 or less."""
     dense = most_bucket // 33
-    halves = fps.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("half")))).alias("h")).select("h.*")
+    halves = fps.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp0", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp0").bitwiseAND(0xFFFFFFFF).alias("half")))))
     heavy = written(halves.groupBy("side", "half").count().where(F.col("count") > dense).select("side", "half"), "dense-halves")
-    keys = fps.select("fp").mapInArrow(_keys, "key long, fp long")
+    keys = fps.select("fp0").mapInArrow(_keys(1), "key long, fp0 long")
     if heavy.isEmpty():
-        return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(DISTANCE), "a long, b long").distinct()
+        return _bucketed(keys, DISTANCE, 1).distinct()
     flips = F.array(*(F.lit(int(x)).cast("long") for x in _FLIPS))
     hot = heavy.select(F.explode(F.transform(flips, lambda x: F.shiftleft(F.col("half").bitwiseXOR(x), 1).bitwiseOR(F.col("side").cast("long")))).alias("key")).distinct()
-    cool = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_links(DISTANCE), "a long, b long")
+    cool = _bucketed(keys.join(hot, "key", "left_anti"), DISTANCE, 1)
     dealt = keys.join(hot, "key", "left_semi").mapInArrow(_subkeys, "key long, sub long, fp long")
     least = dealt.groupBy("key", "sub").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = dealt.join(least, ["key", "sub"]).where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
     return cool.unionByName(classes).distinct()
 
 
+def _named(marked: DataFrame, links: Callable[[DataFrame], DataFrame], lanes: int) -> DataFrame:
+    """``node, component_id`` for every fingerprint of ``marked``."""
+    names = [f"fp{k}" for k in range(lanes)]
+    classes = written(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    roots = components(links(classes.select(*names)))
+    linked = roots.join(classes.select("node", "least"), "node")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_components(docs: DataFrame, words: int = 4, most_bucket: int = MOST_BUCKET) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id``."""
+    """One row per document: ``doc_id, fingerprint, component_id``, by 64 bits at distance 4."""
     marked = written(fingerprints(docs, words), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(fingerprint_links(classes.select("fp"), most_bucket)).withColumnRenamed("node", "fp")
-    linked = roots.join(classes, "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(marked, lambda fps: fingerprint_links(fps, most_bucket), 1)
+    return marked.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """``doc_id, component_id`` by 128 bits, for texts of similarity 0.8 and more."""
+    marked = written(fingerprints(docs, words, 2), "fingerprints")
+    links = lambda fps: _bucketed(fps.mapInArrow(_keys(2), "key long, fp0 long, fp1 long"), distance, 2).distinct()
+    return marked.join(_named(marked, links, 2), "node").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, most_bucket: int = MOST_BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
     """``docs`` with one document of each component: the one that names it. Ids are taken to be unique."""
-    gone = near_components(docs, words, most_bucket).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = wide_components(docs, words, distance).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
