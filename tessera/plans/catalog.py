@@ -1,11 +1,325 @@
-"""Registered graph queries and the SQL that states each of them."""
+"""Registered graph queries over the driver's tables, and the SQL that states each of them."""
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.operators import bfs, counts, graph, kmeans, pagerank, triangles
+from tessera.plans.loop import shared_dir
+from tessera.sources import files, views
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+MAX_ID = 750
+PATHS_MAX_ID = 300
+CHAIN = 20
+CHAIN_PASSES = 10
+TOP = 25
+K = 4
+CLUMPED = 10.0
+BFS_PASSES = 12
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.nodes(spark, sf_dir)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.edges(spark, sf_dir)
+
+
+def _scratch(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _counted(how: str) -> Query:
+    return lambda s, d: counts.follower_count(_edges(s, d), _nodes(s, d), how)
+
+
+def _edges_text(s: SparkSession, d: str) -> DataFrame:
+    path = _scratch(s, "edges-text")
+    files.write_csv(_edges(s, d), path)
+    return files.read_edges_text(s, path)
+
+
+def _adjacency_text(s: SparkSession, d: str) -> DataFrame:
+    return graph.adjacency(_edges(s, d), _nodes(s, d)).select(files.adjacency_line().alias("line"))
+
+
+def _adjacency_parse(s: SparkSession, d: str) -> DataFrame:
+    path = _scratch(s, "adjacency")
+    files.write_lines(graph.adjacency(_edges(s, d), _nodes(s, d)), path, files.adjacency_line())
+    parsed = files.parse_adjacency(s.read.text(path), with_self=True)
+    return parsed.select("id", F.array_join(F.col("adj").cast("array<string>"), ":").alias("adj"))
+
+
+def _state_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    e = _edges(s, d)
+    first = bfs.start(_nodes(s, d), [1]).withColumn("dist", F.coalesce("dist", F.lit(2147483647)))
+    path = _scratch(s, "states")
+    files.write_lines(bfs.states(e, graph.adjacency(e, _nodes(s, d)), first), path, files.state_line())
+    parsed = files.parse_state(s.read.text(path))
+    return parsed.select("id", F.col("sourcesDistance")["1"].alias("d"), F.col("isVertex").alias("is_vertex"), F.size("adjacencyList").alias("n_adj"))
+
+
+def _bfs(sources: list[int]) -> Query:
+    return lambda s, d: bfs.distances(_edges(s, d), _nodes(s, d), sources, BFS_PASSES)
+
+
+def _two_source(s: SparkSession, d: str) -> DataFrame:
+    return bfs.wide(_bfs([2, 6])(s, d), [2, 6])
+
+
+def _map_state(s: SparkSession, d: str) -> DataFrame:
+    e, n = _edges(s, d), _nodes(s, d)
+    found = bfs.states(e, graph.adjacency(e, n), bfs.distances(e, n, [1, 2], BFS_PASSES))
+    return found.select("id", F.col("sourcesDistance")["1"].alias("d1"), F.col("sourcesDistance")["2"].alias("d2"), F.size("adjacencyList").alias("n_adj"))
+
+
+def _diameter(s: SparkSession, d: str) -> DataFrame:
+    r = bfs.search(_edges(s, d), [1], BFS_PASSES)
+    return s.createDataFrame([(r.eccentricity, r.eccentricity + 1, r.eccentricity + 2)], "eccentricity int, counter_form int, confirming_form int")
+
+
+def _bfs_trace(s: SparkSession, d: str) -> DataFrame:
+    r = bfs.search(_edges(s, d), [1], BFS_PASSES)
+    return s.createDataFrame(list(enumerate(r.updates, 1)), "pass int, updated long")
+
+
+def _expand_once(s: SparkSession, d: str) -> DataFrame:
+    e = _edges(s, d)
+    out = bfs.expand(bfs.start(graph.vertices(e, _nodes(s, d)), [1]), e)
+    return out.select("id", F.coalesce("dist", F.lit(2147483647)).alias("dist"))
+
+
+def _converged(s: SparkSession, d: str) -> DataFrame:
+    e = _edges(s, d)
+    old = bfs.start(graph.vertices(e, _nodes(s, d)), [1])
+    new = bfs.expand(old, e).withColumnRenamed("dist", "new")
+    return old.join(new, ["id", "source"]).agg(F.every(F.col("dist").eqNullSafe(F.col("new"))).alias("converged"))
+
+
+def _chain_ranks(s: SparkSession, passes: int = CHAIN_PASSES, k: int = CHAIN) -> pagerank.Ranked:
+    return pagerank.run(graph.chain_graph(s, k), passes)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("v", F.round("pr", 12).alias("pr"))
+
+
+def _sums(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(i, round(x, 9)) for i, x in enumerate(_chain_ranks(s).sums, 1)], "pass int, total double")
+
+
+def _delta(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(i, round(x, 12)) for i, x in enumerate(_chain_ranks(s).deltas, 1)], "pass int, delta double")
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return counts.follower_count(_edges(s, d), _nodes(s, d), "double").select("id", F.col("cnt").alias("x"))
+
+
+def _clusters(s: SparkSession, d: str, kind: str) -> kmeans.Clustered:
+    points = _points(s, d)
+    highest = points.agg(F.max("x")).first()[0]
+    return kmeans.run(points, kmeans.starts(kind, K, highest, base=CLUMPED))
+
+
+def _final(kind: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        r = _clusters(s, d, kind)
+        return s.createDataFrame([(k, round(c, 6), round(e, 3)) for (k, c), e in zip(r.centroids, r.sse, strict=True)], "cluster int, centroid double, sse double")
+
+    return run
+
+
+def _kmeans_trace(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(list(enumerate(_clusters(s, d, "spread").totals, 1)), "pass int, total long")
+
+
+def _kmeans_step(s: SparkSession, d: str) -> DataFrame:
+    found = kmeans.step(_points(s, d), kmeans.starts("spread", K, 92))
+    return s.createDataFrame([(k, round(m, 6), round(e, 3)) for k, (m, e) in found.items()], "cluster int, centroid double, sse double")
+
+
+def _kmeans_empty(s: SparkSession, d: str) -> DataFrame:
+    r = kmeans.run(_points(s, d), [(1, 10.0), (2, 20.0), (3, -1000.0), (4, 5000.0)], max_passes=1)
+    return s.createDataFrame([(k, round(c, 6), round(e, 3)) for (k, c), e in zip(r.centroids, r.sse, strict=True)], "cluster int, centroid double, sse double")
+
+
+def _triangles(**options: object) -> Query:
+    return lambda s, d: triangles.triangles(_edges(s, d), **options)
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "scan_nodes": _nodes,
+        "scan_edges": _edges,
+        "scan_edges_text": _edges_text,
+        "edges_reversed": lambda s, d: graph.reversed_edges(_edges(s, d)),
+        "edges_max_filter": lambda s, d: graph.below(_edges(s, d), MAX_ID),
+        "tagged_union": lambda s, d: files.read_tagged((_edges(s, d).select(F.col("followed").alias("id"), F.lit(1).alias("n")), "EDGE"), (_nodes(s, d).select("id", F.lit(0).alias("n")), "NODE")),
+        "follower_count_reduce": _counted("reduce"),
+        "follower_count_fold": _counted("fold"),
+        "follower_count_aggregate": _counted("aggregate"),
+        "follower_count_group": _counted("group"),
+        "follower_count_double": _counted("double"),
+        "follower_rowcount_dataset": lambda s, d: counts.follower_rows(_edges(s, d), _nodes(s, d)),
+        "follower_histogram": lambda s, d: counts.histogram(_counted("reduce")(s, d)),
+        "follower_loglog": lambda s, d: counts.loglog(_counted("reduce")(s, d)),
+        "degree_in_out": lambda s, d: graph.degrees(_edges(s, d)),
+        "two_path_cardinality": lambda s, d: graph.two_path_cardinality(_edges(s, d)),
+        "two_paths": lambda s, d: triangles.two_paths(_edges(s, d), PATHS_MAX_ID, "merge").select("start", "end"),
+        "triangle_reduce_side": _triangles(strategy="merge"),
+        "triangle_shuffle": _triangles(strategy="shuffle_hash"),
+        "triangle_max_id": _triangles(max_id=MAX_ID),
+        "triangle_sql": lambda s, d: triangles.triangles_sql(_edges(s, d)),
+        "triangle_sql_broadcast": lambda s, d: triangles.triangles_sql(_edges(s, d), broadcast=True),
+        "triangle_replicated": _triangles(mode="replicated", strategy="broadcast"),
+        "triangle_broadcast_set": _triangles(mode="set", strategy="broadcast"),
+        "triangle_simple": _triangles(simple=True),
+        "join_nested_pair": lambda s, d: graph.nested_pairs(_edges(s, d), _nodes(s, d)).select("_1.follower", "_1.followed", "_2.id"),
+        "adjacency_list": lambda s, d: graph.adjacency(_edges(s, d), _nodes(s, d)).select("id", F.array_join(F.col("adj").cast("array<string>"), ":").alias("adj")),
+        "adjacency_set": lambda s, d: graph.adjacency(_edges(s, d), _nodes(s, d), "set").select("id", F.array_join(F.col("adj").cast("array<string>"), ":").alias("adj")),
+        "adjacency_text": _adjacency_text,
+        "adjacency_parse": _adjacency_parse,
+        "state_json_roundtrip": _state_roundtrip,
+        "bfs_init": lambda s, d: bfs.start(_nodes(s, d), [1]).select("id", F.coalesce("dist", F.lit(2147483647)).alias("dist")),
+        "bfs_expand_once": _expand_once,
+        "bfs_converged": _converged,
+        "bfs_single_source": lambda s, d: _bfs([1])(s, d).select("id", "dist"),
+        "bfs_two_source": _two_source,
+        "bfs_map_state": _map_state,
+        "bfs_diameter": _diameter,
+        "bfs_trace": _bfs_trace,
+        "chain_graph": lambda s, d: graph.chain_graph(s, CHAIN),
+        "pagerank_init": lambda s, d: _rounded(pagerank.initial(graph.chain_graph(s, CHAIN))),
+        "pagerank_delta": _delta,
+        "pagerank_sums": _sums,
+        "pagerank_chain": lambda s, d: _rounded(_chain_ranks(s).ranks),
+        "pagerank_topk": lambda s, d: pagerank.top(_chain_ranks(s).ranks, TOP),
+        "kmeans_assign": lambda s, d: kmeans.assign(_points(s, d), kmeans.starts("spread", K, 92)),
+        "kmeans_step": _kmeans_step,
+        "kmeans_good": _final("spread"),
+        "kmeans_bad": _final("clumped"),
+        "kmeans_trace": _kmeans_trace,
+        "kmeans_empty_cluster": _kmeans_empty,
+    }
+
+
+_GRAPH = """
+nodes AS (SELECT CAST(p_partkey AS INT) AS id FROM part),
+edges AS MATERIALIZED (
+  SELECT CAST(o_custkey AS INT) AS follower, CAST(l_partkey % (SELECT count(*) FROM customer) AS INT) AS followed
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+_ONES = "ones AS (SELECT followed AS id, 1 AS n FROM edges UNION ALL SELECT id, 0 FROM nodes)"
+_COUNTS = f"{_ONES}, counts AS (SELECT id, CAST(sum(n) AS BIGINT) AS cnt FROM ones GROUP BY id)"
+_ALL = "every AS (SELECT id FROM nodes UNION SELECT follower FROM edges UNION SELECT followed FROM edges)"
+_FAR = 2147483647
+
+
+def _sql(body: str, *parts: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{', '.join([_GRAPH.strip(), *parts])}\n{body}"
+
+
+def _walk(source: int, name: str) -> str:
+    return f"""{name}w(id, depth) AS (
+  SELECT CAST({source} AS INT), CAST(0 AS INT)
+  UNION SELECT e.followed, {name}w.depth + 1 FROM {name}w JOIN edges e ON e.follower = {name}w.id WHERE {name}w.depth < {BFS_PASSES}),
+{name} AS (SELECT id, min(depth) AS d FROM {name}w GROUP BY id)"""
+
+
+def _chain_sql(body: str) -> str:
+    n = CHAIN * CHAIN
+    return f"""WITH RECURSIVE passes(t, delta, pr) AS (
+  SELECT 0, CAST(0 AS DOUBLE), [CAST(1.0 AS DOUBLE) / {n} FOR x IN range({CHAIN})]
+  UNION ALL
+  SELECT t + 1, {CHAIN} * pr[{CHAIN}], list_prepend({CHAIN} * pr[{CHAIN}] / {n}, [x + {CHAIN} * pr[{CHAIN}] / {n} FOR x IN pr[1:{CHAIN - 1}]])
+  FROM passes WHERE t < {CHAIN_PASSES}),
+ranks AS (
+  SELECT CAST(i AS INT) AS v, round((SELECT pr FROM passes WHERE t = {CHAIN_PASSES})[(i - 1) % {CHAIN} + 1], 12) AS pr FROM range(1, {n + 1}) r(i)
+  UNION ALL SELECT 0, 0.0)
+{body}"""
+
+
+def _kmeans_sql(start: str, passes: int, body: str) -> str:
+    """Passes one after the other: assignment, errors against the old centroids, means."""
+    parts = [_COUNTS, "points AS MATERIALIZED (SELECT id, CAST(cnt AS DOUBLE) AS x FROM counts)", f"c0 AS MATERIALIZED ({start})"]
+    for t in range(1, passes + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT p.id, p.x, min(struct_pack(d := abs(p.x - c.centroid), k := c.cluster)).k AS cluster FROM points p CROSS JOIN c{t - 1} c GROUP BY p.id, p.x)")
+        parts.append(f"c{t} AS MATERIALIZED (SELECT c.cluster, coalesce(avg(a.x), c.centroid) AS centroid, coalesce(sum(pow(a.x - c.centroid, 2)), 0.0) AS sse FROM c{t - 1} c LEFT JOIN a{t} a ON a.cluster = c.cluster GROUP BY c.cluster, c.centroid)")
+    parts.append("totals AS (" + " UNION ALL ".join(f"SELECT {t} AS pass, CAST(sum(floor(sse)) AS BIGINT) AS total FROM c{t}" for t in range(1, passes + 1)) + ")")
+    parts.append("moves AS (SELECT pass, total, abs(total - coalesce(lag(total) OVER (ORDER BY pass), 0)) AS move FROM totals)")
+    parts.append(f"done AS (SELECT coalesce(min(pass) FILTER (WHERE move <= 2), {passes}) AS last FROM moves)")
+    every = " UNION ALL ".join(f"SELECT {t} AS pass, cluster, centroid, sse FROM c{t}" for t in range(1, passes + 1))
+    return _sql(body.replace("$EVERY", f"({every})"), *parts)
+
+
+_SPREAD = f"SELECT CAST(i + 1 AS INT) AS cluster, CAST(i * w + w / 2.0 AS DOUBLE) AS centroid FROM range({K}) r(i), (SELECT ceil(max(x) / {K}) AS w FROM points)"
+_SPREAD_92 = f"SELECT CAST(i + 1 AS INT) AS cluster, CAST(i * {math.ceil(92 / K)} + {math.ceil(92 / K) / 2} AS DOUBLE) AS centroid FROM range({K}) r(i)"
+_FINAL = "SELECT cluster, round(centroid, 6) AS centroid, round(sse, 3) AS sse FROM $EVERY WHERE pass = (SELECT last FROM done)"
+
+
+def oracle_sql() -> dict[str, str]:
+    counted = _sql("SELECT id, cnt FROM counts", _COUNTS)
+    walks = "FROM edges a JOIN edges b ON a.followed = b.follower JOIN edges c ON b.followed = c.follower AND c.followed = a.follower"
+    closing = "EXISTS (SELECT 1 FROM edges c WHERE c.follower = b.followed AND c.followed = a.follower)"
+    multiset = _sql(f"SELECT CAST(count(*) // 3 AS BIGINT) AS triangles {walks}")
+    distinct = "d AS (SELECT DISTINCT follower, followed FROM edges)"
+    owners = "pairs AS (SELECT id, CAST(NULL AS INT) AS other FROM nodes UNION ALL SELECT follower, followed FROM edges)"
+    listed = "lists AS (SELECT id, coalesce(string_agg(other, ':' ORDER BY other), '') AS adj FROM pairs GROUP BY id)"
+    init = f"CASE WHEN id = 1 THEN 0 ELSE {_FAR} END"
+    degree = "sizes AS (SELECT id, count(other) AS n_adj FROM pairs GROUP BY id)"
+    steps = f"steps AS (SELECT d AS pass, count(*) AS updated FROM a WHERE d > 0 GROUP BY d), trace AS (SELECT pass, updated FROM steps UNION ALL SELECT coalesce(max(pass), 0) + 1, 0 FROM steps HAVING coalesce(max(pass), 0) < {BFS_PASSES})"
+    return {
+        "scan_nodes": _sql("SELECT id FROM nodes"),
+        "scan_edges": _sql("SELECT follower, followed FROM edges"),
+        "scan_edges_text": _sql("SELECT follower, followed FROM edges"),
+        "edges_reversed": _sql("SELECT followed AS src, follower AS dst FROM edges"),
+        "edges_max_filter": _sql(f"SELECT follower, followed FROM edges WHERE follower < {MAX_ID} AND followed < {MAX_ID}"),
+        "tagged_union": _sql("SELECT followed AS id, 1 AS n, 'EDGE' AS tag FROM edges UNION ALL SELECT id, 0, 'NODE' FROM nodes"),
+        **dict.fromkeys(("follower_count_reduce", "follower_count_fold", "follower_count_aggregate", "follower_count_group"), counted),
+        "follower_count_double": _sql("SELECT id, CAST(cnt AS DOUBLE) AS cnt FROM counts", _COUNTS),
+        "follower_rowcount_dataset": _sql("SELECT id, count(*) AS cnt FROM ones GROUP BY id", _ONES),
+        "follower_histogram": _sql("SELECT cnt AS followers, count(*) AS users FROM counts GROUP BY cnt", _COUNTS),
+        "follower_loglog": _sql("SELECT round(CASE WHEN cnt = 0 THEN 0.0 ELSE ln(cnt + 1) END, 9) AS x, round(ln(count(*)), 9) AS y FROM counts GROUP BY cnt", _COUNTS),
+        "degree_in_out": _sql("SELECT id, count(*) FILTER (WHERE tag = 'TO') AS n_in, count(*) FILTER (WHERE tag = 'FROM') AS n_out FROM ends GROUP BY id", "ends AS (SELECT followed AS id, 'TO' AS tag FROM edges UNION ALL SELECT follower, 'FROM' FROM edges)"),
+        "two_path_cardinality": _sql("SELECT CAST(sum(i.n * o.n) AS BIGINT) AS cardinality FROM (SELECT followed AS id, count(*) AS n FROM edges GROUP BY 1) i JOIN (SELECT follower AS id, count(*) AS n FROM edges GROUP BY 1) o USING (id)"),
+        "two_paths": _sql(f"SELECT a.follower AS start, b.followed AS \"end\" FROM edges a JOIN edges b ON a.followed = b.follower WHERE greatest(a.follower, a.followed, b.followed) < {PATHS_MAX_ID}"),
+        **dict.fromkeys(("triangle_reduce_side", "triangle_shuffle", "triangle_sql", "triangle_sql_broadcast"), multiset),
+        "triangle_max_id": _sql(f"SELECT CAST(count(*) // 3 AS BIGINT) AS triangles {walks} WHERE greatest(a.follower, a.followed, b.followed) < {MAX_ID}"),
+        "triangle_replicated": _sql(f"SELECT CAST(count(*) // 3 AS BIGINT) AS triangles FROM edges a JOIN edges b ON a.followed = b.follower WHERE {closing}"),
+        "triangle_broadcast_set": _sql(f"SELECT CAST(count(*) // 3 AS BIGINT) AS triangles FROM edges a JOIN d b ON a.followed = b.follower WHERE {closing}", distinct),
+        "triangle_simple": _sql("SELECT CAST(count(*) // 3 AS BIGINT) AS triangles FROM d a JOIN d b ON a.followed = b.follower JOIN d c ON b.followed = c.follower AND c.followed = a.follower", "d AS (SELECT DISTINCT follower, followed FROM edges WHERE follower <> followed)"),
+        "join_nested_pair": _sql("SELECT follower, followed, id FROM edges JOIN nodes ON followed = id"),
+        "adjacency_list": _sql("SELECT id, adj FROM lists", owners, listed),
+        "adjacency_set": _sql("SELECT id, coalesce(string_agg(other, ':' ORDER BY other), '') AS adj FROM (SELECT DISTINCT id, other FROM pairs) GROUP BY id", owners),
+        "adjacency_text": _sql("SELECT concat(id, '-(', adj, ')') AS line FROM lists", owners, listed),
+        "adjacency_parse": _sql("SELECT id, concat(id, CASE WHEN adj = '' THEN '' ELSE ':' END, adj) AS adj FROM lists", owners, listed),
+        "state_json_roundtrip": _sql(f"SELECT id, CAST({init} AS INT) AS d, true AS is_vertex, CAST(n_adj AS INT) AS n_adj FROM nodes JOIN sizes USING (id)", owners, degree),
+        "bfs_init": _sql(f"SELECT id, CAST({init} AS INT) AS dist FROM nodes"),
+        "bfs_expand_once": _sql(f"SELECT id, CAST(CASE WHEN id = 1 THEN 0 WHEN id IN (SELECT followed FROM edges WHERE follower = 1) THEN 1 ELSE {_FAR} END AS INT) AS dist FROM every", _ALL),
+        "bfs_converged": _sql("SELECT NOT EXISTS (SELECT 1 FROM edges WHERE follower = 1 AND followed <> 1) AS converged"),
+        "bfs_single_source": _sql(f"SELECT id, CAST(coalesce(d, {_FAR}) AS INT) AS dist FROM every LEFT JOIN a USING (id)", _ALL, _walk(1, "a"), recursive=True),
+        "bfs_two_source": _sql(f"SELECT every.id, CAST(coalesce(a.d, {_FAR}) AS INT) AS d1, CAST(coalesce(b.d, {_FAR}) AS INT) AS d2 FROM every LEFT JOIN a ON a.id = every.id LEFT JOIN b ON b.id = every.id", _ALL, _walk(2, "a"), _walk(6, "b"), recursive=True),
+        "bfs_map_state": _sql(f"SELECT every.id, CAST(coalesce(a.d, {_FAR}) AS INT) AS d1, CAST(coalesce(b.d, {_FAR}) AS INT) AS d2, CAST(coalesce(n_adj, 0) AS INT) AS n_adj FROM every LEFT JOIN a ON a.id = every.id LEFT JOIN b ON b.id = every.id LEFT JOIN sizes s ON s.id = every.id", _ALL, _walk(1, "a"), _walk(2, "b"), owners, degree, recursive=True),
+        "bfs_diameter": _sql("SELECT CAST(max(d) AS INT) AS eccentricity, CAST(max(d) + 1 AS INT) AS counter_form, CAST(max(d) + 2 AS INT) AS confirming_form FROM a", _walk(1, "a"), recursive=True),
+        "bfs_trace": _sql("SELECT CAST(pass AS INT) AS pass, CAST(updated AS BIGINT) AS updated FROM trace", _walk(1, "a"), steps, recursive=True),
+        "chain_graph": f"SELECT CAST(i AS INT) AS src, CAST(CASE WHEN i % {CHAIN} = 0 THEN 0 ELSE i + 1 END AS INT) AS dst FROM range(1, {CHAIN * CHAIN + 1}) r(i)",
+        "pagerank_init": f"SELECT CAST(i AS INT) AS v, round(CASE WHEN i = 0 THEN 0.0 ELSE 1.0 / {CHAIN * CHAIN} END, 12) AS pr FROM range(0, {CHAIN * CHAIN + 1}) r(i)",
+        "pagerank_delta": _chain_sql("SELECT CAST(t AS INT) AS pass, round(delta, 12) AS delta FROM passes WHERE t > 0"),
+        "pagerank_sums": _chain_sql(f"SELECT CAST(t AS INT) AS pass, round({CHAIN} * list_sum(pr), 9) AS total FROM passes WHERE t > 0"),
+        "pagerank_chain": _chain_sql("SELECT v, pr FROM ranks"),
+        "pagerank_topk": _chain_sql(f"SELECT v, pr FROM ranks ORDER BY pr DESC, v LIMIT {TOP}"),
+        "kmeans_assign": _kmeans_sql(_SPREAD_92, 1, "SELECT id, x, cluster FROM a1"),
+        "kmeans_step": _kmeans_sql(_SPREAD_92, 1, "SELECT cluster, round(centroid, 6) AS centroid, round(sse, 3) AS sse FROM c1 WHERE cluster IN (SELECT cluster FROM a1)"),
+        "kmeans_good": _kmeans_sql(_SPREAD, 10, _FINAL),
+        "kmeans_bad": _kmeans_sql(f"SELECT CAST(i + 1 AS INT) AS cluster, CAST({CLUMPED} + i AS DOUBLE) AS centroid FROM range({K}) r(i)", 10, _FINAL),
+        "kmeans_trace": _kmeans_sql(_SPREAD, 10, "SELECT CAST(pass AS INT) AS pass, total FROM totals WHERE pass <= (SELECT last FROM done)"),
+        "kmeans_empty_cluster": _kmeans_sql("SELECT * FROM (VALUES (1, 10.0::DOUBLE), (2, 20.0::DOUBLE), (3, (-1000.0)::DOUBLE), (4, 5000.0::DOUBLE)) v(cluster, centroid)", 1, _FINAL),
+    }
