@@ -26,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ends_in_stop, utf8
 
 WINDOW = 2048
 SHARD_DOCS = 1024
 QUERY_TERMS = 48
 CANDIDATES = 64
 K1, B = 1.2, 0.75
-MEMO_WORDS, MEMO_BYTES = 600_000, 40
+MEMO_WORDS, MEMO_BYTES = 1_200_000, 40
+_MARKS = b".,!?;:*#$%&|"
 
 _loaded: dict[str, WordIds] = {}
 
@@ -45,8 +46,9 @@ class WordIds:
     """Ids of words as little-endian 16-bit strings, memoised.
 
     For a tokenizer that drops white space, lower-cases and marks word ends;
-    such words do not depend on one another. Unknown words of ASCII letters are
-    encoded many at a time, blank-separated, and told apart by the end marks.
+    such words do not depend on one another, and final marks after a letter are
+    a run of their own. Unknown words of letters are encoded many at a time,
+    blank-separated, and told apart by the end marks.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,18 +78,21 @@ class WordIds:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        stems = {w: (w[:-1], w[-1:]) if ends_in_stop(w) else (w,) for w in wanted}
+        stems = {}
+        for w in wanted:
+            stem = w.rstrip(_MARKS)
+            stems[w] = (stem, w[len(stem) :]) if 0 < len(stem) < len(w) and 97 <= stem[-1] <= 122 else (w,)
         new = {x for parts in stems.values() for x in parts if x not in memo}
-        plain = [x for x in new if x.isalpha() and x.islower()]
+        plain = [(x, t) for x in new if (t := x.decode("utf-8", "replace")).isalpha()]
         found: dict[bytes, bytes] = {}
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            ids = np.array(self.encoder.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.encoder.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u2")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 at_byte = [0, *(2 * cuts).tolist()]
                 data = ids.tobytes()
-                found.update((w, data[a:b]) for w, a, b in zip(some, at_byte, at_byte[1:], strict=False))
+                found.update((w, data[a:b]) for (w, _), a, b in zip(some, at_byte, at_byte[1:], strict=False))
         rest = [x for x in new if x not in found]
         found.update(zip(rest, self._encode([x.decode("utf-8", "replace") for x in rest]), strict=True))
         out = {w: b"".join([memo[x] if x in memo else found[x] for x in parts]) for w, parts in stems.items()}
@@ -95,18 +100,28 @@ class WordIds:
             memo.update((k, v) for k, v in d.items() if len(k) <= MEMO_BYTES)
         return out
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        memo = self.memo
-        got = [list(map(memo.get, words)) for words in split]
-        wanted = {w for words, g in zip(split, got, strict=True) if None in g for w, x in zip(words, g, strict=True) if x is None}
-        if wanted:
-            extra = self.learn(wanted)
-            for k, g in enumerate(got):
-                if None in g:
-                    words = split[k]
-                    got[k] = [extra[words[i]] if x is None else x for i, x in enumerate(g)]
-        return [b"".join(g) for g in got]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column of texts, one text after the other, and where each begins and ends.
+
+        Words are split and made distinct in Arrow, so Python sees each word of
+        a column once; their ids are then put in place by one gather.
+        """
+        texts = pc.fill_null(texts, "")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        distinct = split.flatten().dictionary_encode()
+        words = distinct.dictionary.cast(pa.binary()).to_pylist()
+        got = list(map(self.memo.get, words))
+        if None in got:
+            extra = self.learn({w for w, x in zip(words, got, strict=True) if x is None})
+            got = [extra[w] if x is None else x for w, x in zip(words, got, strict=True)]
+        flat, size = np.frombuffer(b"".join(got), "<u2"), np.fromiter(map(len, got), np.int64, len(got)) // 2
+        first, which = np.cumsum(size) - size, distinct.indices.to_numpy()
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat(first[which] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        words_upto = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        return flat[at], np.concatenate([[0], ends])[words_upto]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -117,13 +132,14 @@ def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
     """``doc_id, n, full, rest``: ids in all, checksums of the full windows, ids that are left. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds.of(tokenizer_path), np.array([end_id], "<u2").tobytes()
+        words, end = WordIds.of(tokenizer_path), np.array([end_id], "<u2")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 n, full, rest = [], [], []
-                for data in words.ids(utf8(part.column(1))):
-                    ids = np.frombuffer(data + end, "<u2")
+                every, bounds = words.ids(part.column(1))
+                for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = np.concatenate([every[first:last], end])
                     whole = len(ids) // window * window
                     n.append(len(ids))
                     full.append([crc(ids[i : i + window]) for i in range(0, whole, window)])
