@@ -247,7 +247,8 @@ def _named(marked: DataFrame, links: Callable[[DataFrame], DataFrame], lanes: in
     roots = components(links(classes.select(*names)))
     linked = roots.join(classes.select("node", "least"), "node")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    # A table of its own, so that the join of the documents to it stands alone and Spark may split a popular fingerprint.
+    return written(classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
 
 
 def near_components(docs: DataFrame, words: int = 4, most_bucket: int = MOST_BUCKET) -> DataFrame:
