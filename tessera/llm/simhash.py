@@ -14,9 +14,10 @@ complete distances up to 24, the mean distance of texts of Jaccard similarity
 0.75. Pairs of distance 17 or less meet for certain, others by chance: at
 similarity 0.8, 0.85 and 0.9 about 0.83, 0.95 and 0.99 of pairs are linked.
 
-Copies collapse first: only distinct fingerprints are looked up. Inside a
-bucket the links found are a spanning forest, by breadth-first search over
-what is still unvisited, not all pairs; components are those of all links.
+Copies collapse first: only distinct fingerprints are looked up. A bucket does
+not give all its near pairs: pairs that a third member joins are left out, and
+large buckets give a spanning forest, by breadth-first search over what is
+still unvisited. Components are those of all links.
 
 At distance 4 a bucket of more than ``most_bucket`` members is never gathered.
 Such a bucket can only lie within one bit of a half that has over
@@ -50,7 +51,7 @@ from tessera.llm.components import components
 DISTANCE = 4
 WIDE_DISTANCE = 24
 MOST_BUCKET = 20_000
-#: Runs up to this size are compared pair by pair, up to MATRIX as a matrix.
+#: Runs up to MATRIX are compared as a matrix, those up to SMALL many at a time.
 SMALL, MATRIX = 16, 512
 #: (lane, first bit, bits) of each segment, by lanes.
 SEGMENTS = {1: [(0, 32, 32), (0, 0, 32)], 2: [(k, at, n) for k in (0, 1) for at, n in ((0, 21), (21, 21), (42, 22))]}
@@ -170,32 +171,36 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _in_run(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of one run: its pairs where they are few, else a forest."""
-    if len(fps) <= MATRIX:
-        a, b = np.nonzero(np.triu(_apart(fps[:, None], fps[None, :]) <= distance, 1))
-        if len(a) <= 4 * len(fps):
-            return [(fps[a], fps[b])] if len(a) else []
-    return forest(fps, distance)
+def _pairs(runs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of several runs of one size, ``runs[run, member, lane]``.
+
+    A pair is left out where a member before both is near both: it then hangs
+    together by that one, so a dense run gives a star and not all its pairs.
+    """
+    near = np.triu(_apart(runs[:, :, None], runs[:, None, :]) <= distance, 1)
+    if not near.any():
+        return runs[:0, 0], runs[:0, 0]
+    up = near.astype(np.float32)
+    near &= np.matmul(up.transpose(0, 2, 1), up) == 0
+    run, a, b = np.nonzero(near)
+    return runs[run, a], runs[run, b]
 
 
 def _links(distance: int, lanes: int):
-    """``a, b`` from rows that are sorted by key: runs of equal keys are buckets."""
+    """``a, b`` from rows that are sorted by key and fingerprint: runs of equal keys are buckets."""
 
     def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(first, len(k)))
-        left = np.where(np.repeat(size <= SMALL, size), np.repeat(first + size, size) - np.arange(len(k)) - 1, 0)  # rows of the run still to come
         found = []
-        for j in range(1, SMALL):
-            i = np.flatnonzero(left >= j)
-            if not len(i):
-                break
-            i = i[_apart(f[i], f[i + j]) <= distance]
-            found.append((f[i], f[i + j]))
+        for n in range(2, SMALL + 1):
+            at = first[size == n]
+            step = max(1, 500_000 // (n * n))
+            found += [_pairs(f[at[i : i + step, None] + np.arange(n)], distance) for i in range(0, len(at), step)]
         for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            found += _in_run(f[at : at + n], distance)
-        if any(len(a) for a, _ in found):
+            found += [_pairs(f[None, at : at + n], distance)] if n <= MATRIX else forest(f[at : at + n], distance)
+        found = [x for x in found if len(x[0])]
+        if found:
             ends = [node_of(np.concatenate([x[k] for x in found])) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([_signed(x) for x in ends], ["a", "b"])
 
@@ -220,7 +225,7 @@ def _links(distance: int, lanes: int):
 
 
 def _bucketed(keys: DataFrame, distance: int, lanes: int) -> DataFrame:
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance, lanes), "a long, b long")
+    return keys.repartition("key").sortWithinPartitions("key", "fp0").mapInArrow(_links(distance, lanes), "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, most_bucket: int = MOST_BUCKET) -> DataFrame:
