@@ -85,13 +85,41 @@ def test_forest_spans_what_pairs_span():
     assert len({(up(x), want[x]) for x in parent}) == len(set(want.values())) == len({up(x) for x in parent})
 
 
-def test_keep_one(corpus, no_docs):
-    kept = {r.doc_id for r in simhash.keep_one(corpus).collect()}
-    texts = {r.doc_id: r.text for r in corpus.collect()}
-    shingles = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in texts.items()}
-    alike = lambda a, b: len(shingles[a] & shingles[b]) / max(1, len(shingles[a] | shingles[b]))
-    gone = [d for d in texts if d not in kept]
-    assert all(max(alike(d, k) for k in texts if k != d) >= 0.5 for d in gone)
-    pairs = [(a, b) for a in texts for b in texts if a < b and alike(a, b) >= 0.85]
+def shingle_sets(docs):
+    return {r.doc_id: set(zip(*(r.text.lower().split()[k:] for k in range(5)), strict=False)) for r in docs.collect()}
+
+
+def alike(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+@pytest.mark.parametrize("part_rows", [2, 500])
+def test_keep_one(corpus, no_docs, part_rows):
+    kept = {r.doc_id for r in simhash.keep_one(corpus, part_rows=part_rows).collect()}
+    sets = shingle_sets(corpus)
+    gone = [d for d in sets if d not in kept]
+    assert gone and all(max(alike(sets[d], sets[k]) for k in sets if k != d) >= 0.8 for d in gone)
+    pairs = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8]
     assert sum(a in kept and b in kept for a, b in pairs) <= 0.1 * len(pairs)
+    for a, b in pairs:
+        assert a in kept or b in kept or any(k in kept for k in sets if alike(sets[b], sets[k]) >= 0.5)
     assert simhash.keep_one(no_docs).count() == 0 and simhash.near_components(no_docs).count() == 0
+
+
+def test_keep_one_odd_rows(odd_docs):
+    out = simhash.keep_one(odd_docs)
+    assert out.columns == odd_docs.columns
+    got = [r.doc_id for r in out.collect()]
+    assert got.count(6) == 2 and 7 not in got and {1, 5, 8, 9, 10} <= set(got)
+
+
+def test_prefix_index_finds_what_all_pairs_find():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 10**6, 60).astype(np.uint64))
+    kept, stay = simhash.Kept(0.8), []
+    for i in range(200):
+        s = np.unique(np.concatenate([rng.choice(base, rng.integers(20, len(base)), replace=False), rng.integers(0, 10**6, rng.integers(0, 12)).astype(np.uint64)]))
+        want = any(alike(set(s.tolist()), t) >= 0.8 for t in stay)
+        assert kept.twin((i, i), s) == want
+        if not want:
+            stay.append(set(s.tolist()))
