@@ -137,6 +137,34 @@ class PrefixCounts:
         return self.starts[k] + max(j for j, n in enumerate(within) if self.before[k] + n <= budget)
 
 
+def prefix_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``P`` stored: ``doc_id, chars, tokens``, the characters up to each segment border and the tokens before it, from (0, 0) on.
+
+    Both arrays rise, so :func:`cut_at` and other questions are array look-ups.
+    """
+    from itertools import accumulate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs = SegmentCosts.of(tokenizer_path)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = utf8(part.column(1))
+                chars = [[0, *accumulate(len(s.decode("utf-8", "replace")) for s in costs.segments(t))] for t in texts]
+                tokens = [[0, *accumulate(c)] for c in costs.counts(texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "chars", "tokens"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, chars array<int>, tokens array<int>")
+
+
+def cut_at(table: DataFrame, budget: int) -> DataFrame:
+    """``doc_id, cut_chars, cut_tokens``: the longest prefix of whole segments within ``budget`` tokens. No text is read."""
+    fits = F.size(F.filter("tokens", lambda n: n <= budget))
+    return table.select("doc_id", F.element_at("chars", fits).alias("cut_chars"), F.element_at("tokens", fits).alias("cut_tokens"))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, tokens, and whether the tokens exceed ``limit``.
 

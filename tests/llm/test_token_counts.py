@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm.queries import tokenizer
-from tessera.llm.token_counts import PrefixCounts, count_tokens
+from tessera.llm.token_counts import PrefixCounts, count_tokens, cut_at, prefix_table
 
 tokenizers = pytest.importorskip("tokenizers")
 PATH = tokenizer("byte_bpe_50k.json")
@@ -41,3 +41,17 @@ def test_counts(odd_docs, no_docs, corpus):
         got = count_tokens(docs, PATH, limit=20).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want and all(r.over_limit == (r.n_tokens > 20) for r in got)
     assert count_tokens(no_docs, PATH).count() == 0
+
+
+def test_stored_prefixes_answer_budgets(odd_docs, corpus):
+    for docs in (odd_docs, corpus):
+        texts = sorted(((str(r.doc_id), r.text or "") for r in docs.collect()))
+        table = prefix_table(docs, PATH)
+        stored = sorted((str(r.doc_id), r.chars[-1], r.tokens[-1]) for r in table.collect())
+        assert stored == sorted((d, len(t), library(t)) for d, t in texts)
+        known = {d: t for d, t in texts if d not in ("None", "6")}
+        for r in cut_at(table, 25).collect():
+            if str(r.doc_id) in known:
+                text = known[str(r.doc_id)]
+                assert library(text[: r.cut_chars]) == r.cut_tokens <= 25
+                assert r.cut_chars == len(text) or PrefixCounts(text, PATH).longest_within(25) >= r.cut_chars
