@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -95,9 +94,6 @@ class WordHashes:
         return np.array(found, dtype=np.uint64)
 
 
-_TAIL = re.compile(rb"[A-Za-z][.,]\Z")
-
-
 def ends_in_stop(word: bytes) -> bool:
     """An ASCII letter and then one final full stop or comma."""
     return len(word) > 2 and word[-1] in b".," and (65 <= word[-2] <= 90 or 97 <= word[-2] <= 122)
