@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, whole_text, written
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def size_of(text: Column) -> Column:
