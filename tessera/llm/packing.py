@@ -36,7 +36,7 @@ SHARD_DOCS = 1024
 QUERY_TERMS = 48
 CANDIDATES = 64
 K1, B = 1.2, 0.75
-MEMO_WORDS, MEMO_BYTES = 1_200_000, 40
+MEMO_WORDS, MEMO_BYTES = 500_000, 40
 _MARKS = b".,!?;:*#$%&|"
 
 _loaded: dict[str, WordIds] = {}
@@ -74,31 +74,30 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        stems = {}
+    def learn(self, wanted: list[bytes]) -> dict[bytes, bytes]:
+        memo, marked, new = self.memo, [], []
         for w in wanted:
             stem = w.rstrip(_MARKS)
-            stems[w] = (stem, w[len(stem) :]) if 0 < len(stem) < len(w) and 97 <= stem[-1] <= 122 else (w,)
-        new = {x for parts in stems.values() for x in parts if x not in memo}
-        plain = [(x, t) for x in new if (t := x.decode("utf-8", "replace")).isalpha()]
+            if 0 < len(stem) < len(w) and 97 <= stem[-1] <= 122:
+                marked.append((w, stem, w[len(stem) :]))
+            else:
+                new.append(w)
+        known = memo.keys()
+        new += {x for _, *parts in marked for x in parts if x not in known}.difference(new)
+        texts = [x.decode("utf-8", "replace") for x in new]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
         found: dict[bytes, bytes] = {}
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.encoder.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                at_byte = [0, *(2 * cuts).tolist()]
-                data = ids.tobytes()
-                found.update((w, data[a:b]) for (w, _), a, b in zip(some, at_byte, at_byte[1:], strict=False))
-        rest = [x for x in new if x not in found]
-        found.update(zip(rest, self._encode([x.decode("utf-8", "replace") for x in rest]), strict=True))
-        out = {w: b"".join([memo[x] if x in memo else found[x] for x in parts]) for w, parts in stems.items()}
-        for d in (found, out):
-            memo.update((k, v) for k, v in d.items() if len(k) <= MEMO_BYTES)
-        return out
+        chunks = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for chunk, data in zip(chunks, self._encode([" ".join([texts[k] for k in chunk]) for chunk in chunks]), strict=True):
+            cuts = (2 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u2")]) + 1)).tolist()
+            if len(cuts) == len(chunk):
+                found.update(zip([new[k] for k in chunk], map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        rest = [k for k, x in enumerate(new) if x not in found]
+        found.update(zip([new[k] for k in rest], self._encode([texts[k] for k in rest]), strict=True))
+        for w, *parts in marked:
+            found[w] = b"".join([found[x] if x in found else memo[x] for x in parts])
+        memo.update({k: v for k, v in found.items() if len(k) <= MEMO_BYTES})
+        return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow column of texts, one text after the other, and where each begins and ends.
@@ -112,8 +111,10 @@ class WordIds:
         words = distinct.dictionary.cast(pa.binary()).to_pylist()
         got = list(map(self.memo.get, words))
         if None in got:
-            extra = self.learn({w for w, x in zip(words, got, strict=True) if x is None})
+            extra = self.learn([w for w, x in zip(words, got, strict=True) if x is None])
             got = [extra[w] if x is None else x for w, x in zip(words, got, strict=True)]
+        if len(self.memo) > MEMO_WORDS:  # what this column holds is kept: frequent words are among it
+            self.memo = {w: x for w, x in zip(words, got, strict=True) if len(w) <= MEMO_BYTES}
         flat, size = np.frombuffer(b"".join(got), "<u2"), np.fromiter(map(len, got), np.int64, len(got)) // 2
         first, which = np.cumsum(size) - size, distinct.indices.to_numpy()
         sizes = size[which]
@@ -145,6 +146,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
                     full.append([crc(ids[i : i + window]) for i in range(0, whole, window)])
                     rest.append(ids[whole:].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["doc_id", "n", "full", "rest"])
+        pa.default_memory_pool().release_unused()  # a worker may idle beside others for a while
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, full array<long>, rest binary")
@@ -243,7 +245,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """One row per piece: the columns of :data:`PIECES`. One shuffle, of the remainders' ids."""
     shards = max(1, -(-docs.count() // shard_docs))
     rows = encoded(docs, tokenizer_path, window, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "rest"), F.lit(shards)))
-    parts = min(shards, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(shards, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(shard: int, first: int, block: list[tuple]) -> tuple[pa.RecordBatch, int]:
