@@ -79,8 +79,8 @@ def drop_duplicates(docs: DataFrame, keep: str = "smallest", **options: object)
     Ids are taken to be unique here, as the rows that stay are looked up by id;
     where rows of one id differ in text they stay if any of them does.
     """
-    gone = exact_groups(docs, keep, **options).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = exact_groups(docs, keep, **options).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 SQL = """

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, whole_text, written
+from tessera.llm.common import WORD, written
 
 BUCKET_ROWS = 512
 
@@ -36,13 +36,14 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """Source as a key that is never null and keeps the order, size, and the place in the seeded order."""
-    return docs.withColumns({
-        "_key": F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")),
-        "_size": size_of(whole_text()),
-        "_place": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
-    })
+def _keyed(docs: DataFrame, seed: int, whole: bool = False) -> DataFrame:
+    """Source as a key that is never null and keeps the order, size, and the place in the seeded order; with ``whole`` the row too, as ``_doc``."""
+    return docs.select(
+        *([F.struct(*(docs[c] for c in docs.columns)).alias("_doc")] if whole else [docs["doc_id"]]),
+        F.when(docs["source"].isNull(), "1").otherwise(F.concat(F.lit("0"), docs["source"])).alias("_key"),
+        size_of(F.coalesce(docs["text"], F.lit(""))).alias("_size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))).alias("_place"),
+    )
 
 
 def plan(sized: DataFrame, cap: int = 3, cycle: int = 3, digits: int = 2) -> DataFrame:
@@ -92,7 +93,7 @@ def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``."""
-    sized = written(_keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "_key", "_size", "_place"), "sized")
+    sized = written(_keyed(docs, seed), "sized")
     sources = plan(sized, cap, digits=_digits(sized, bucket_rows))
     return _by_source(sized, sources).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") * F.col("_size") + F.expr(_EXTRA)).alias("taken"))
 
@@ -103,18 +104,19 @@ def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows:
     The document at a source's border appears once with its first words only,
     and ``n_chars``, where there is one, follows its text.
     """
-    keyed = _keyed(docs, seed)
+    keyed = _keyed(docs, seed, whole=True)
     sized = written(keyed.select("_key", "_size", "_place"), "sized")
     sources = plan(sized, cap, digits=_digits(sized, bucket_rows))
-    extra = F.expr(_EXTRA)
-    rows = _by_source(keyed, sources).withColumn("_extra", extra)
-    whole = rows.where("whole > 0 OR _extra > 0")
-    copies = F.col("whole").cast("int") + (F.col("_extra") > 0).cast("int")
-    out = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    part = (F.col("_copy") > F.col("whole")) & (F.col("_extra") < F.col("_size"))
-    first = F.array_join(F.slice(F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.col("_extra"), F.lit(1)).cast("int")), " ")
-    text = F.when(part, first).otherwise(F.col("text"))
-    fields = {c: text if c == "text" else F.when(part, F.length(first)).otherwise(F.col(c)).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c) for c in docs.columns}
+    rows = _by_source(keyed, sources).select("_doc", "_size", "whole", F.expr(_EXTRA).alias("extra")).where("whole > 0 OR extra > 0")
+    copies = F.col("whole").cast("int") + (F.col("extra") > 0).cast("int")
+    out = rows.select("_doc", "whole", "extra", "_size", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    part = (F.col("copy") > F.col("whole")) & (F.col("extra") < F.col("_size"))
+    text = F.col("_doc")["text"]
+    first = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest("extra", F.lit(1).cast("long")).cast("int")), " ")
+    fields = {c: F.col("_doc")[c] for c in docs.columns}
+    fields["text"] = F.when(part, first).otherwise(text)
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(part, F.length(first)).otherwise(fields["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*(v.alias(k) for k, v in fields.items()))
 
 

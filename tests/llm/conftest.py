@@ -1,7 +1,7 @@
 import pytest
 
 #: Names that operators use inside; a table may have them too.
-CLASHES = "rid string, key string, node string, fp0 string, n string, shard string, digest string, salt string, words string, bucket string, _key string, size string, label string, keep_id string, score string, rest string, hit string"
+CLASHES = "rid string, key string, node string, fp0 string, n string, shard string, digest string, salt string, words string, bucket string, _key string, size string, label string, keep_id string, score string, rest string, hit string, gone string, target string, whole string, extra string, copy string, _doc string, _place string, component_id string, kept string, run string"
 N = len(CLASHES.split(","))
 
 

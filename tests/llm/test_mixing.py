@@ -74,3 +74,11 @@ def test_documents_of_the_mix(corpus, no_docs, odd_docs):
 def test_native(corpus):
     plan = mix(corpus)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_keep_their_values(odd_docs):
+    from pyspark.sql import functions as F
+
+    filled = odd_docs.withColumns({c: F.lit("mine") for c in ("target", "_key", "_doc", "whole", "copy")})
+    rows = mixed_documents(filled).collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in ("target", "_key", "_doc", "whole", "copy"))
