@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "8m"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes: a batch counts rows by default, and texts can be long.
+
+    The bound is a setting of the session, made only where it is unset.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -74,7 +89,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words with a bounded memo."""
 
-    def __init__(self, most: int = 200_000, seed: int = 7) -> None:
+    def __init__(self, most: int = 120_000, seed: int = 7) -> None:
         self.most, self.seed, self.memo = most, seed, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

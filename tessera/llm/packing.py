@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_arrow
 
 WINDOW = 2048
 SHARD_DOCS = 1024
@@ -149,7 +150,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
         pa.default_memory_pool().release_unused()  # a worker may idle beside others for a while
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, full array<long>, rest binary")
+    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, n long, full array<long>, rest binary")
 
 
 class Index:
@@ -282,4 +283,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "n", F.crc32("rest"))
-    return dealt.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.transform(in_arrow, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, utf8
+from tessera.llm.common import WordHashes, in_arrow, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -180,7 +180,7 @@ def _with_statistics(rows: DataFrame, model: Trees | None, features: bool) -> Da
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, p_good double" + ", features array<double>" * features)
+    return rows.transform(in_arrow, run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, p_good double" + ", features array<double>" * features)
 
 
 def labelled_sample(labels: DataFrame, label: str, most_rows: int) -> DataFrame:
@@ -224,4 +224,4 @@ def keep_good(docs: DataFrame, model: Trees | None, **options: float) -> DataFra
             keep = [f[0] >= least and 100 * f[4] <= most * f[0] and q >= threshold for f, q in zip(found, p, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ends_in_stop, utf8
+from tessera.llm.common import ends_in_stop, in_arrow, utf8
 
 SEGMENT = re.compile(rb"\s*\S+|\s+")
 #: White space beyond ASCII, with the separators that not all libraries count: fixed values of the Unicode standard.
@@ -156,7 +156,7 @@ def prefix_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, chars array<int>, tokens array<int>")
+    return rows.transform(in_arrow, run, f"doc_id {kind}, chars array<int>, tokens array<int>")
 
 
 def cut_at(table: DataFrame, budget: int) -> DataFrame:
@@ -184,4 +184,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.transform(in_arrow, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, mix64, utf8
+from tessera.llm.common import WordHashes, in_arrow, mix64, utf8
 
 BITS = 30
 MOST_ROWS = 10_000
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Weigh
             yield pd.DataFrame({"feature": [-1], "weight": [np.log(share / (1 - share))]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = rows.select("doc_id", "text", "label").mapInArrow(collected, f"doc_id {kind}, f binary, label int")
+    sample = rows.select("doc_id", "text", "label").transform(in_arrow, collected, f"doc_id {kind}, f binary, label int")
     found = sample.repartition(1).sortWithinPartitions("doc_id", "f").mapInPandas(learn, "feature long, weight double").collect()
     bias = next((r.weight for r in found if r.feature < 0), -500.0)
     kept = [r for r in found if r.feature >= 0]
@@ -141,5 +141,5 @@ def score_texts(docs: DataFrame, model: Weights, threshold: float = 0.7) -> Data
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
