@@ -39,7 +39,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, mix64, utf8, written
+from tessera.llm.common import ascii_lower, in_arrow, mix64, utf8, written
 from tessera.llm.components import components
 
 DISTANCE = 4
@@ -118,27 +118,30 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), _signed(node_of(fps)), *(_signed(fps[:, k]) for k in range(lanes))], ["doc_id", "node", *(f"fp{k}" for k in range(lanes))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, " + ", ".join(f"fp{k} long" for k in range(lanes)))
+    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, node long, " + ", ".join(f"fp{k} long" for k in range(lanes)))
 
 
 def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp >> _HALF, fp & _LOW
 
 
-def _keys(lanes: int):
-    """Each fingerprint under the entries within one bit of its segments; the low bits of a key number the segment."""
+def _keys(lanes: int, ball: int = 1, labelled: bool = False):
+    """Each fingerprint under the entries within ``ball`` (0 or 1) bits of its segments; the low bits of a key number the segment."""
     segments = SEGMENTS[lanes]
     bits = np.uint64((len(segments) - 1).bit_length())
+    names = ["key", *(f"fp{x}" for x in range(lanes)), *(["label"] if labelled else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                fps = _lanes(b.slice(at, 2048), 0, lanes)
+                part = b.slice(at, 2048)
+                fps = _lanes(part, 0, lanes)
                 for k, (lane, first, n) in enumerate(segments):
                     segment = (fps[:, lane] >> np.uint64(first)) & np.uint64((1 << n) - 1)
-                    key = ((segment[:, None] ^ _FLIPS[None, : n + 1]) << bits) | np.uint64(k)
-                    many = np.repeat(fps, n + 1, axis=0)
-                    yield pa.RecordBatch.from_arrays([_signed(key.ravel()), *(_signed(many[:, x]) for x in range(lanes))], ["key", *(f"fp{x}" for x in range(lanes))])
+                    flips = _FLIPS[None, : 1 + n * ball]
+                    key = ((segment[:, None] ^ flips) << bits) | np.uint64(k)
+                    rest = [np.repeat(part.column(x).to_numpy(), flips.shape[1]) for x in range(lanes + labelled)]
+                    yield pa.RecordBatch.from_arrays([_signed(key.ravel()), *map(pa.array, rest)], names)
 
     return run
 
@@ -159,14 +162,14 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def forest(fps: np.ndarray, distance: int, lanes: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that span the components of ``fps`` at ``distance``, found without listing pairs."""
     out, rest, queue = [], fps, []
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
         x = queue.pop()
-        near = _apart(rest, x) <= distance
+        near = _apart(rest[:, :lanes], x[:lanes]) <= distance
         if near.any():
             found = rest[near]
             out.append((found, np.broadcast_to(x, found.shape)))
@@ -175,13 +178,13 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _pairs(runs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(runs: np.ndarray, distance: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of several runs of one size, ``runs[run, member, lane]``.
 
     A pair is left out where a member before both is near both: it then hangs
     together by that one, so a dense run gives a star and not all its pairs.
     """
-    near = np.triu(_apart(runs[:, :, None], runs[:, None, :]) <= distance, 1)
+    near = np.triu(_apart(runs[:, :, None, :lanes], runs[:, None, :, :lanes]) <= distance, 1)
     if not near.any():
         return runs[:0, 0], runs[:0, 0]
     up = near.astype(np.float32)
@@ -190,8 +193,12 @@ def _pairs(runs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return runs[run, a], runs[run, b]
 
 
-def _links(distance: int, lanes: int):
-    """``a, b`` from rows that are sorted by key and fingerprint: runs of equal keys are buckets."""
+def _links(distance: int, lanes: int, labelled: bool = False):
+    """``a, b`` from rows that are sorted by key and fingerprint: runs of equal keys are buckets.
+
+    With labels (the last lane, which distances leave out) the ends are labels,
+    and links within one label are left out.
+    """
 
     def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -200,18 +207,22 @@ def _links(distance: int, lanes: int):
         for n in range(2, SMALL + 1):
             at = first[size == n]
             step = max(1, 500_000 // (n * n))
-            found += [_pairs(f[at[i : i + step, None] + np.arange(n)], distance) for i in range(0, len(at), step)]
+            found += [_pairs(f[at[i : i + step, None] + np.arange(n)], distance, lanes) for i in range(0, len(at), step)]
         for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            found += [_pairs(f[None, at : at + n], distance)] if n <= MATRIX else forest(f[at : at + n], distance)
+            found += [_pairs(f[None, at : at + n], distance, lanes)] if n <= MATRIX else forest(f[at : at + n], distance, lanes)
         found = [x for x in found if len(x[0])]
         if found:
-            ends = [node_of(np.concatenate([x[k] for x in found])) for k in (0, 1)]
+            ends = [np.concatenate([x[k] for x in found]) for k in (0, 1)]
+            ends = [x[:, lanes] if labelled else node_of(x) for x in ends]
+            if labelled:
+                apart = ends[0] != ends[1]
+                ends = [x[apart] for x in ends]
             yield pa.RecordBatch.from_arrays([_signed(x) for x in ends], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps, held = [], [], None
         for batch in batches:
-            k, f = batch.column(0).to_numpy(), _lanes(batch, 1, lanes)
+            k, f = batch.column(0).to_numpy(), _lanes(batch, 1, lanes + labelled)
             if len(k):
                 keys.append(k)
                 fps.append(f)
@@ -228,8 +239,8 @@ def _links(distance: int, lanes: int):
     return run
 
 
-def _bucketed(keys: DataFrame, distance: int, lanes: int) -> DataFrame:
-    return keys.repartition("key").sortWithinPartitions("key", "fp0").mapInArrow(_links(distance, lanes), "a long, b long")
+def _bucketed(keys: DataFrame, distance: int, lanes: int, labelled: bool = False) -> DataFrame:
+    return keys.repartition("key").sortWithinPartitions("key", "fp0").transform(in_arrow, _links(distance, lanes, labelled), "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, most_bucket: int = MOST_BUCKET) -> DataFrame:
@@ -237,23 +248,22 @@ def fingerprint_links(fps: DataFrame, most_bucket: int = MOST_BUCKET) -> DataFra
     dense = most_bucket // 33
     halves = fps.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp0", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp0").bitwiseAND(0xFFFFFFFF).alias("half")))))
     heavy = written(halves.groupBy("side", "half").count().where(F.col("count") > dense).select("side", "half"), "dense-halves")
-    keys = fps.select("fp0").mapInArrow(_keys(1), "key long, fp0 long")
+    keys = fps.select("fp0").transform(in_arrow, _keys(1), "key long, fp0 long")
     if heavy.isEmpty():
         return _bucketed(keys, DISTANCE, 1).distinct()
     flips = F.array(*(F.lit(int(x)).cast("long") for x in _FLIPS))
     hot = heavy.select(F.explode(F.transform(flips, lambda x: F.shiftleft(F.col("half").bitwiseXOR(x), 1).bitwiseOR(F.col("side").cast("long")))).alias("key")).distinct()
     cool = _bucketed(keys.join(hot, "key", "left_anti"), DISTANCE, 1)
-    dealt = keys.join(hot, "key", "left_semi").mapInArrow(_subkeys, "key long, sub long, fp long")
+    dealt = keys.join(hot, "key", "left_semi").transform(in_arrow, _subkeys, "key long, sub long, fp long")
     least = dealt.groupBy("key", "sub").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = dealt.join(least, ["key", "sub"]).where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
     return cool.unionByName(classes).distinct()
 
 
-def _named(marked: DataFrame, links: Callable[[DataFrame], DataFrame], lanes: int) -> DataFrame:
-    """``node, component_id`` for every fingerprint of ``marked``."""
-    names = [f"fp{k}" for k in range(lanes)]
-    classes = written(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(links(classes.select(*names)))
+def _named(marked: DataFrame, most_bucket: int) -> DataFrame:
+    """``node, component_id`` for every 64-bit fingerprint of ``marked``."""
+    classes = written(marked.groupBy("node", "fp0").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    roots = components(fingerprint_links(classes.select("fp0"), most_bucket))
     linked = roots.join(classes.select("node", "least"), "node")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     # A table of its own, so that the join of the documents to it stands alone and Spark may split a popular fingerprint.
@@ -263,15 +273,30 @@ def _named(marked: DataFrame, links: Callable[[DataFrame], DataFrame], lanes: in
 def near_components(docs: DataFrame, words: int = 4, most_bucket: int = MOST_BUCKET) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``, by 64 bits at distance 4."""
     marked = written(fingerprints(docs, words), "fingerprints")
-    named = _named(marked, lambda fps: fingerprint_links(fps, most_bucket), 1)
+    named = _named(marked, most_bucket)
     return marked.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """``doc_id, component_id`` by 128 bits, for texts of similarity 0.8 and more."""
+    """``doc_id, component_id, documents`` (of the component) by 128 bits, for texts of similarity 0.8 and more.
+
+    In two steps, so that a dense group does not give a link for each bucket
+    that two of its members share: first only equal segments link; then whole
+    balls, and only what the first step left apart.
+    """
     marked = written(fingerprints(docs, words, 2), "fingerprints")
-    links = lambda fps: _bucketed(fps.mapInArrow(_keys(2), "key long, fp0 long, fp1 long"), distance, 2).distinct()
-    return marked.join(_named(marked, links, 2), "node").select("doc_id", "component_id")
+    classes = written(marked.groupBy("node", "fp0", "fp1").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
+    same = _bucketed(classes.select("fp0", "fp1").transform(in_arrow, _keys(2, ball=0), "key long, fp0 long, fp1 long"), distance, 2)
+    label = F.coalesce("root", "node").alias("label")
+    labelled = written(classes.join(components(same), "node", "left").select("node", "fp0", "fp1", "least", "n", label, F.col("root").isNotNull().alias("linked")), "labelled")
+    keys = labelled.select("fp0", "fp1", "label").transform(in_arrow, _keys(2, labelled=True), "key long, fp0 long, fp1 long, label long")
+    joined = components(_bucketed(keys, distance, 2, labelled=True)).withColumnRenamed("node", "label")
+    rooted = labelled.join(joined, "label", "left").select("node", "least", "n", F.coalesce("root", "label").alias("root"), (F.col("linked") | F.col("root").isNotNull()).alias("linked"))
+    linked = written(rooted.where("linked").drop("linked"), "linked")
+    groups = written(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("documents")), "groups")
+    named = linked.join(groups, "root").select("node", "component_id", "documents")
+    of_class = written(classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("documents", "n").alias("documents")), "named")
+    return marked.join(of_class, "node").select("doc_id", "component_id", "documents")
 
 
 class Kept:
@@ -327,21 +352,20 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = SIMILARITY, dis
     A group of more than ``part_rows`` documents is dealt over several tasks;
     those that stay in each part then meet in a second pass.
     """
-    found = wide_components(docs, words, distance)
-    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(found.join(sizes, "component_id").select("doc_id", "component_id", F.ceil(F.col("n") / part_rows).cast("long").alias("parts")).distinct(), "members")
+    found = wide_components(docs, words, distance).where("documents > 1")
+    members = written(found.select("doc_id", "component_id", F.ceil(F.col("documents") / part_rows).cast("long").alias("parts")).distinct(), "members")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"component_id {kind}, parts long, doc_id {kind}, digest long, gone boolean, shingles binary"
     order = ("component_id", "part", "parts", "doc_id", "digest")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
     rows = texts.join(members, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    first = written(rows.select(*order, "text").repartition("component_id", "part").sortWithinPartitions(*order).mapInArrow(_sift(words, least), schema), "sifted")
+    first = written(rows.select(*order, "text").repartition("component_id", "part").sortWithinPartitions(*order).transform(in_arrow, _sift(words, least), schema), "sifted")
     again = first.where("NOT gone AND parts > 1").select("component_id", F.lit(-1).cast("long").alias("part"), "parts", "doc_id", "digest", F.col("shingles").alias("text"))
-    second = again.repartition("component_id").sortWithinPartitions(*order).mapInArrow(_sift(words, least), schema)
+    second = again.repartition("component_id").sortWithinPartitions(*order).transform(in_arrow, _sift(words, least), schema)
     return first.where("gone").select("doc_id", "digest").unionByName(second.where("gone").select("doc_id", "digest")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY, distance: int = WIDE_DISTANCE, part_rows: int = PART_ROWS) -> DataFrame:
     """``docs`` without the rows of :func:`similar_rows`. Rows with a null id stay."""
-    gone = similar_rows(docs, words, least, distance, part_rows).withColumnsRenamed({"doc_id": "_gone_id", "digest": "_gone_digest"})
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_digest")), "left_anti")
+    gone = similar_rows(docs, words, least, distance, part_rows).select(F.col("doc_id").alias("gone"), "digest")
+    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["digest"]), "left_anti")
