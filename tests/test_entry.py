@@ -41,10 +41,10 @@ def test_scans_read_only_what_is_used(spark):
     from tessera.sources.files import explain_text
 
     plan = explain_text(__spark_entry__.queries()["follower_count_reduce"](spark, DIR))
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan and "ReadSchema: struct<p_partkey:bigint>" in plan
 
 
-def test_cut_off_reaches_the_scan(spark):
+def test_null_filters_reach_the_scan(spark):
     from tessera.sources.files import explain_text
 
     assert "PushedFilters: [IsNotNull(o_custkey)" in explain_text(__spark_entry__.queries()["edges_max_filter"](spark, DIR))
