@@ -9,11 +9,15 @@ segment differs in at most 2 bits, and complete distances are then verified.
 pair of distance 4 or less (of 4 bits one half has at most 2). It is exact.
 
 :func:`keep_one` is for texts of Jaccard similarity 0.8 and more, whose
-fingerprints differ in more bits. It takes 128 bits (two lanes) in six segments
-and distances up to 30, and its components are candidates only: inside each the
-documents are gone through by id, and one goes if its exact similarity to one
-that stayed is 0.8 or more. So no document goes without such a twin. At
-similarity 0.8 about 0.94 of pairs meet in a segment, at 0.9 0.99.
+fingerprints differ in more bits. It first links sets of shingles by 128 bits
+(two lanes) that have one of six segments in common and a distance up to 30;
+that is quick but finds only a part. An exact path then completes them: in one
+order of all shingles, rare ones first, two sets of similarity 0.8 share one of
+the first ``n - ceil(0.8 n) + 1``, so sets meet under each of those, and parity
+bits and sizes rule out only pairs that cannot be so similar. No pair is missed.
+The components are candidates only: inside each the documents are gone through
+by id, and one goes if its exact similarity to one that stayed is 0.8 or more.
+So no document goes without such a twin.
 
 Copies collapse first: only distinct fingerprints are looked up. A bucket does
 not give all its near pairs: pairs that a third member joins are left out, and
@@ -27,8 +31,8 @@ dealt by the other half too: a member that has the bucket's half enters all
 entries within 2 bits of its other half, one that is a bit off enters those
 within 1 bit. Two members meet exactly where their distance is 4 or less by
 that path, so each entry is a class and its members hang on the smallest. No
-link is lost, at any size. With two lanes a bucket is searched by one task, in
-16 bytes for each of its distinct fingerprints.
+link is lost, at any size. Buckets of :func:`keep_one` are searched by one task
+each, in 16 bytes for each distinct fingerprint or 48 for each set of shingles.
 
 Null and empty texts have fingerprint zero, linked like any other, and are alike
 to :func:`keep_one`, which keeps rows with null ids. Fewer words
@@ -54,6 +58,9 @@ DISTANCE = 4
 WIDE_DISTANCE = 30
 SIMILARITY = 0.8
 PART_ROWS = 500
+#: Words of parity bits of a set; documents sampled for the order of shingles, which are common from COMMON of them on.
+PARITY = 4
+SAMPLE_DOCS, COMMON, MOST_COMMON = 10_000, 4, 200_000
 MOST_BUCKET = 20_000
 #: Runs up to MATRIX are compared as a matrix, those up to SMALL many at a time.
 SMALL, MATRIX = 16, 512
@@ -83,7 +90,10 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 4, lanes: int = 1) -> list[int]:
     """One 64-bit fingerprint for each lane; lane 0 takes the hashes as they are."""
-    h = shingle_hashes(text, words)
+    return _bits(shingle_hashes(text, words), lanes)
+
+
+def _bits(h: np.ndarray, lanes: int) -> list[int]:
     counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(h), 4096):
         for k in range(lanes):
@@ -125,11 +135,11 @@ def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp >> _HALF, fp & _LOW
 
 
-def _keys(lanes: int, ball: int = 1, labelled: bool = False):
+def _keys(lanes: int, ball: int = 1):
     """Each fingerprint under the entries within ``ball`` (0 or 1) bits of its segments; the low bits of a key number the segment."""
     segments = SEGMENTS[lanes]
     bits = np.uint64((len(segments) - 1).bit_length())
-    names = ["key", *(f"fp{x}" for x in range(lanes)), *(["label"] if labelled else [])]
+    names = ["key", *(f"fp{x}" for x in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +150,7 @@ def _keys(lanes: int, ball: int = 1, labelled: bool = False):
                     segment = (fps[:, lane] >> np.uint64(first)) & np.uint64((1 << n) - 1)
                     flips = _FLIPS[None, : 1 + n * ball]
                     key = ((segment[:, None] ^ flips) << bits) | np.uint64(k)
-                    rest = [np.repeat(part.column(x).to_numpy(), flips.shape[1]) for x in range(lanes + labelled)]
+                    rest = [np.repeat(part.column(x).to_numpy(), flips.shape[1]) for x in range(lanes)]
                     yield pa.RecordBatch.from_arrays([_signed(key.ravel()), *map(pa.array, rest)], names)
 
     return run
@@ -162,14 +172,28 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def forest(fps: np.ndarray, distance: int, lanes: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+def _near(a: np.ndarray, b: np.ndarray, distance: float, lanes: int) -> np.ndarray:
+    """Whether fingerprints are within a distance, or (below 1) whether sets by their parity bits and sizes may be that similar.
+
+    Sets of sizes n and m and similarity s differ in at most (n + m)(1 - s) / (1 + s)
+    members, parity bits in no more than that, and the smaller has s of the larger's
+    size at least: so no pair that is as similar is ever ruled out.
+    """
+    apart = _apart(a[..., :lanes], b[..., :lanes])
+    if distance >= 1:
+        return apart <= distance
+    n, m = a[..., lanes].astype(np.int64), b[..., lanes].astype(np.int64)
+    return (apart * (1 + distance) <= (n + m) * (1 - distance) + 1e-6) & (np.minimum(n, m) >= distance * np.maximum(n, m) - 1e-6)
+
+
+def forest(fps: np.ndarray, distance: float, lanes: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that span the components of ``fps`` at ``distance``, found without listing pairs."""
     out, rest, queue = [], fps, []
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
         x = queue.pop()
-        near = _apart(rest[:, :lanes], x[:lanes]) <= distance
+        near = _near(rest, x, distance, lanes)
         if near.any():
             found = rest[near]
             out.append((found, np.broadcast_to(x, found.shape)))
@@ -178,13 +202,13 @@ def forest(fps: np.ndarray, distance: int, lanes: int = 1) -> list[tuple[np.ndar
     return out
 
 
-def _pairs(runs: np.ndarray, distance: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(runs: np.ndarray, distance: float, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of several runs of one size, ``runs[run, member, lane]``.
 
     A pair is left out where a member before both is near both: it then hangs
     together by that one, so a dense run gives a star and not all its pairs.
     """
-    near = np.triu(_apart(runs[:, :, None, :lanes], runs[:, None, :, :lanes]) <= distance, 1)
+    near = np.triu(_near(runs[:, :, None], runs[:, None], distance, lanes), 1)
     if not near.any():
         return runs[:0, 0], runs[:0, 0]
     up = near.astype(np.float32)
@@ -193,12 +217,13 @@ def _pairs(runs: np.ndarray, distance: int, lanes: int) -> tuple[np.ndarray, np.
     return runs[run, a], runs[run, b]
 
 
-def _links(distance: int, lanes: int, labelled: bool = False):
+def _links(distance: float, lanes: int, labelled: bool = False):
     """``a, b`` from rows that are sorted by key and fingerprint: runs of equal keys are buckets.
 
-    With labels (the last lane, which distances leave out) the ends are labels,
-    and links within one label are left out.
+    With labels (the last column, after the set's size where ``distance`` is a
+    similarity) the ends are labels, and links within one label are left out.
     """
+    width = lanes + labelled + (distance < 1)
 
     def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -213,7 +238,7 @@ def _links(distance: int, lanes: int, labelled: bool = False):
         found = [x for x in found if len(x[0])]
         if found:
             ends = [np.concatenate([x[k] for x in found]) for k in (0, 1)]
-            ends = [x[:, lanes] if labelled else node_of(x) for x in ends]
+            ends = [x[:, -1] if labelled else node_of(x) for x in ends]
             if labelled:
                 apart = ends[0] != ends[1]
                 ends = [x[apart] for x in ends]
@@ -222,7 +247,7 @@ def _links(distance: int, lanes: int, labelled: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps, held = [], [], None
         for batch in batches:
-            k, f = batch.column(0).to_numpy(), _lanes(batch, 1, lanes + labelled)
+            k, f = batch.column(0).to_numpy(), _lanes(batch, 1, width)
             if len(k):
                 keys.append(k)
                 fps.append(f)
@@ -239,7 +264,7 @@ def _links(distance: int, lanes: int, labelled: bool = False):
     return run
 
 
-def _bucketed(keys: DataFrame, distance: int, lanes: int, labelled: bool = False) -> DataFrame:
+def _bucketed(keys: DataFrame, distance: float, lanes: int, labelled: bool = False) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "fp0").transform(in_arrow, _links(distance, lanes, labelled), "a long, b long")
 
 
@@ -277,26 +302,95 @@ def near_components(docs: DataFrame, words: int = 4, most_bucket: int = MOST_BUC
     return marked.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """``doc_id, component_id, documents`` (of the component) by 128 bits, for texts of similarity 0.8 and more.
+def common_shingles(docs: DataFrame, words: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and in how many: an order for prefixes, nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                found = [np.unique(shingle_hashes(t, words)) for t in utf8(b.column(0).slice(at, 512))]
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found))], ["h"])
+
+    share = max(1, docs.count() // sample_docs)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    often = sample.transform(in_arrow, run, "h long").groupBy("h").count().where(f"count >= {COMMON}").orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    h, n = often.column("h").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefix(h: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ``n - ceil(least n) + 1`` members of a set, those that are rare in the sample first."""
+    often = np.zeros(len(h), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        often = np.where(common[0][at] == h, common[1][at], 0)
+    return h[np.lexsort((h, often))][: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+
+
+def _parity(h: np.ndarray) -> list[int]:
+    """A bit for each residue of the hashes, set where an odd number of them has it."""
+    odd = np.bincount((mix64(h) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").tolist()
+
+
+def marks(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """``doc_id, digest, node`` (the set's name), ``fp0, fp1, p0, ..., size, prefix`` of documents with an id. No shuffle after the sample."""
+    import xxhash
+
+    docs = docs.where("doc_id IS NOT NULL")
+    common = common_shingles(docs, words)
+    longs = ["node", "fp0", "fp1", *(f"p{k}" for k in range(PARITY)), "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part, rows, prefixes = b.slice(at, 512), [], []
+                for t in utf8(part.column(2)):
+                    h = np.unique(shingle_hashes(t, words))
+                    rows.append([xxhash.xxh64_intdigest(h.tobytes(), 11), *_bits(h, 2), *_parity(h), len(h)])
+                    prefixes.append(_prefix(h, least, common).view(np.int64))
+                values = np.array(rows, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(_signed(values[:, k]) for k in range(len(longs))), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "digest", *longs, "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    return rows.transform(in_arrow, run, f"doc_id {kind}, digest long, {', '.join(f'{x} long' for x in longs)}, prefix array<long>")
+
+
+def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id, documents`` (of the component): all pairs of similarity ``least`` and more are within components.
 
     In two steps, so that a dense group does not give a link for each bucket
-    that two of its members share: first only equal segments link; then whole
-    balls, and only what the first step left apart.
+    that two of its members share: first fingerprints with an equal segment
+    link; then sets that share a shingle of their prefixes, which all similar
+    ones do, and only what the first step left apart.
     """
-    marked = written(fingerprints(docs, words, 2), "fingerprints")
-    classes = written(marked.groupBy("node", "fp0", "fp1").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
-    same = _bucketed(classes.select("fp0", "fp1").transform(in_arrow, _keys(2, ball=0), "key long, fp0 long, fp1 long"), distance, 2)
-    label = F.coalesce("root", "node").alias("label")
-    labelled = written(classes.join(components(same), "node", "left").select("node", "fp0", "fp1", "least", "n", label, F.col("root").isNotNull().alias("linked")), "labelled")
-    keys = labelled.select("fp0", "fp1", "label").transform(in_arrow, _keys(2, labelled=True), "key long, fp0 long, fp1 long, label long")
-    joined = components(_bucketed(keys, distance, 2, labelled=True)).withColumnRenamed("node", "label")
-    rooted = labelled.join(joined, "label", "left").select("node", "least", "n", F.coalesce("root", "label").alias("root"), (F.col("linked") | F.col("root").isNotNull()).alias("linked"))
-    linked = written(rooted.where("linked").drop("linked"), "linked")
-    groups = written(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("documents")), "groups")
-    named = linked.join(groups, "root").select("node", "component_id", "documents")
-    of_class = written(classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("documents", "n").alias("documents")), "named")
-    return marked.join(of_class, "node").select("doc_id", "component_id", "documents")
+    marked = written(marks(docs, words, least), "marks")
+    parity = [f"p{k}" for k in range(PARITY)]
+    sets = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("fp0", "fp1", *parity, "size", "prefix")))
+    classes = written(sets, "set-classes")
+    prints = classes.select("fp0", "fp1").distinct()
+    same = _bucketed(prints.select("fp0", "fp1").transform(in_arrow, _keys(2, ball=0), "key long, fp0 long, fp1 long"), distance, 2)
+    step = components(same).withColumnRenamed("node", "print")
+    by_print = _print_names(prints).join(step, "print", "left").select("fp0", "fp1", F.coalesce("root", "print").alias("label"))
+    labelled = written(classes.join(by_print, ["fp0", "fp1"]), "labelled")
+    keys = labelled.select(F.explode("prefix").alias("key"), *parity, "size", "label").withColumnRenamed("p0", "fp0")
+    joined = components(_bucketed(keys, least, PARITY, labelled=True)).withColumnRenamed("node", "label")
+    rooted = written(labelled.select("node", "label", "least", "n").join(joined, "label", "left").select("node", "least", "n", F.coalesce("root", "label").alias("root")), "rooted")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("documents"))
+    named = written(rooted.join(groups, "root").select("node", "component_id", "documents"), "named")
+    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id", "documents")
+
+
+def _print_names(prints: DataFrame) -> DataFrame:
+    """``fp0, fp1, print``: the name that links of two lanes use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(node_of(_lanes(b, 0, 2)))], ["fp0", "fp1", "print"])
+
+    return prints.select("fp0", "fp1").transform(in_arrow, run, "fp0 long, fp1 long, print long")
 
 
 class Kept:
@@ -352,7 +446,7 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = SIMILARITY, dis
     A group of more than ``part_rows`` documents is dealt over several tasks;
     those that stay in each part then meet in a second pass.
     """
-    found = wide_components(docs, words, distance).where("documents > 1")
+    found = wide_components(docs, words, distance, least).where("documents > 1")
     members = written(found.select("doc_id", "component_id", F.ceil(F.col("documents") / part_rows).cast("long").alias("parts")).distinct(), "members")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"component_id {kind}, parts long, doc_id {kind}, digest long, gone boolean, shingles binary"

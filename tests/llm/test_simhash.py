@@ -123,3 +123,19 @@ def test_prefix_index_finds_what_all_pairs_find():
         assert kept.twin((i, i), s) == want
         if not want:
             stay.append(set(s.tolist()))
+
+
+def test_every_pair_of_the_similarity_is_within_a_component(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 7))
+    texts = []
+    for _ in range(150):  # near 0.8: 40 shingles, of which the copy's last or first few are others
+        words = [word() for _ in range(44)]
+        k = int(rng.integers(3, 5))
+        texts += [" ".join(words), " ".join(words[:-k] + [word() for _ in range(k)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = shingle_sets(docs)
+    pairs = [(a, a + 1) for a in range(0, 300, 2) if alike(sets[a], sets[a + 1]) >= 0.8]
+    of = {r.doc_id: r.component_id for r in simhash.wide_components(docs).collect()}
+    assert len(pairs) > 100 and all(of[a] == of[b] for a, b in pairs)
+    assert len(set(of.values())) == 150
