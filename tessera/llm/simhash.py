@@ -15,9 +15,9 @@ that is quick but finds only a part. An exact path then completes them: in one
 order of all shingles, rare ones first, two sets of similarity 0.8 share one of
 the first ``n - ceil(0.8 n) + 1``, so sets meet under each of those, and parity
 bits and sizes rule out only pairs that cannot be so similar. No pair is missed.
-The components are candidates only: inside each the documents are gone through
-by id, and one goes if its exact similarity to one that stayed is 0.8 or more.
-So no document goes without such a twin.
+The components are candidates only: inside each all pairs are verified, and of
+each component of verified pairs the document with the smallest id stays. So
+every document that goes is linked by pairs of 0.8 or more to the one that stays.
 
 Copies collapse first: only distinct fingerprints are looked up. A bucket does
 not give all its near pairs: pairs that a third member joins are left out, and
@@ -358,8 +358,10 @@ def marks(docs: DataFrame, words: int, least: float) -> DataFrame:
     return rows.transform(in_arrow, run, f"doc_id {kind}, digest long, {', '.join(f'{x} long' for x in longs)}, prefix array<long>")
 
 
-def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, component_id, documents`` (of the component): all pairs of similarity ``least`` and more are within components.
+def _candidates(docs: DataFrame, words: int, distance: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """:func:`marks` and ``node, root, first, sets``: all pairs of similarity ``least`` and more have one root.
+
+    ``first`` is the first row of a set, ``sets`` the number of sets of a root.
 
     In two steps, so that a dense group does not give a link for each bucket
     that two of its members share: first fingerprints with an equal segment
@@ -368,19 +370,26 @@ def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTAN
     """
     marked = written(marks(docs, words, least), "marks")
     parity = [f"p{k}" for k in range(PARITY)]
-    sets = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("fp0", "fp1", *parity, "size", "prefix")))
+    sets = marked.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
     classes = written(sets, "set-classes")
     prints = classes.select("fp0", "fp1").distinct()
-    same = _bucketed(prints.select("fp0", "fp1").transform(in_arrow, _keys(2, ball=0), "key long, fp0 long, fp1 long"), distance, 2)
+    same = _bucketed(prints.transform(in_arrow, _keys(2, ball=0), "key long, fp0 long, fp1 long"), distance, 2)
     step = components(same).withColumnRenamed("node", "print")
     by_print = _print_names(prints).join(step, "print", "left").select("fp0", "fp1", F.coalesce("root", "print").alias("label"))
-    labelled = written(classes.join(by_print, ["fp0", "fp1"]), "labelled")
-    keys = labelled.select(F.explode("prefix").alias("key"), *parity, "size", "label").withColumnRenamed("p0", "fp0")
+    labelled = written(classes.join(by_print, ["fp0", "fp1"]).select("node", "label", "first"), "labelled")
+    # Prefixes are read where they were written, from the first row of each set, and not carried along.
+    once = marked.join(labelled, "node").where("doc_id = first.doc_id AND digest = first.digest").select("node", "label", "size", "prefix", *parity)
+    keys = once.select(F.explode("prefix").alias("key"), *parity, "size", "label").withColumnRenamed("p0", "fp0")
     joined = components(_bucketed(keys, least, PARITY, labelled=True)).withColumnRenamed("node", "label")
-    rooted = written(labelled.select("node", "label", "least", "n").join(joined, "label", "left").select("node", "least", "n", F.coalesce("root", "label").alias("root")), "rooted")
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("documents"))
-    named = written(rooted.join(groups, "root").select("node", "component_id", "documents"), "named")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id", "documents")
+    rooted = written(labelled.select("node", "label", "first").join(joined, "label", "left").select("node", "first", F.coalesce("root", "label").alias("root")), "rooted")
+    return marked, written(rooted.join(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets")), "root").select("node", "root", "first", "sets"), "named")
+
+
+def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id`` of the groups of candidates."""
+    marked, named = _candidates(docs, words, distance, least)
+    ids = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    return marked.select("doc_id", "node").join(named.select("node", "root"), "node").join(ids, "root").select("doc_id", "component_id")
 
 
 def _print_names(prints: DataFrame) -> DataFrame:
@@ -394,7 +403,7 @@ def _print_names(prints: DataFrame) -> DataFrame:
 
 
 class Kept:
-    """The documents of a group that stayed, by their shingles.
+    """Noted documents, by their shingles.
 
     Two sets of similarity ``least`` share one of the first ``n - ceil(least n) + 1``
     members of either, in any fixed order, so only those are indexed and looked up.
@@ -403,60 +412,108 @@ class Kept:
     def __init__(self, least: float) -> None:
         self.least, self.sets, self.names, self.index = least, [], [], {}
 
-    def twin(self, name: tuple, shingles: np.ndarray) -> bool:
-        """Whether an earlier document is that similar; if none is, this one stays and is noted."""
+    def _first(self, shingles: np.ndarray) -> list[int]:
         n = len(shingles)
-        first = shingles[: n - int(np.ceil(self.least * n - 1e-9)) + 1].tolist() if n else [-1]
-        for k in sorted({k for h in first for k in self.index.get(h, ())}):
-            m = len(self.sets[k])
-            if min(n, m) >= self.least * max(n, m) - 1e-9:
-                both = len(np.intersect1d(self.sets[k], shingles, assume_unique=True))
-                if not n + m or both >= self.least * (n + m - both) - 1e-9:
-                    return name != self.names[k]  # repeated rows of one document stay or go together
-        for h in first:
+        return shingles[: n - int(np.ceil(self.least * n - 1e-9)) + 1].tolist() if n else [-1]
+
+    def meets(self, shingles: np.ndarray) -> list[int]:
+        """Places of the noted sets that may be as similar."""
+        return sorted({k for h in self._first(shingles) for k in self.index.get(h, ())})
+
+    def similar(self, k: int, shingles: np.ndarray) -> bool:
+        n, m = len(shingles), len(self.sets[k])
+        if min(n, m) < self.least * max(n, m) - 1e-9:
+            return False
+        both = len(np.intersect1d(self.sets[k], shingles, assume_unique=True))
+        return not n + m or both >= self.least * (n + m - both) - 1e-9
+
+    def add(self, name: object, shingles: np.ndarray) -> None:
+        for h in self._first(shingles):
             self.index.setdefault(h, []).append(len(self.sets))
         self.sets.append(shingles)
         self.names.append(name)
+
+    def twin(self, name: object, shingles: np.ndarray) -> bool:
+        """Whether an earlier document is that similar; if none is, this one stays and is noted."""
+        for k in self.meets(shingles):
+            if self.similar(k, shingles):
+                return name != self.names[k]  # repeated rows of one document stay or go together
+        self.add(name, shingles)
         return False
 
 
-def _sift(words: int, least: float):
-    """Rows sorted by group, part and id: which go, and the shingles of those that stay in a group of several parts."""
+def _verified(least: float):
+    """``a, b``: spanning links of the pairs of similarity ``least`` in blocks, from rows sorted by block, side and node.
+
+    Sets of side 0 are noted, those of side 1 are held against them only; in a
+    block of one part sets are held against those before them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, kept, parent = None, Kept(least), {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        last = None
+        for b in batches:
+            found = []
+            for group, i, j, side, node, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if block != (group, i, j):
+                    block, kept, parent, last = (group, i, j), Kept(least), {}, None
+                if node == last:
+                    continue  # repeated rows
+                last, shingles = node, np.frombuffer(data, "<u8")
+                if i == j or side:
+                    for k in kept.meets(shingles):
+                        x, y = root(node), root(kept.names[k])
+                        if x != y and kept.similar(k, shingles):
+                            parent[x] = y
+                            found.append((node, kept.names[k]))
+                if not side:
+                    kept.add(node, shingles)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _sets(words: int):
+    """The shingles of the last column in place of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, kept = None, Kept(least)
         for b in batches:
-            texts = utf8(b.column(5))
-            keys = list(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
-            gone, rests = [], []
-            for (component, part, parts, doc, digest), text in zip(keys, texts, strict=True):
-                if group != (component, part):
-                    group, kept = (component, part), Kept(least)
-                shingles = np.frombuffer(text, "<u8") if part < 0 else np.unique(shingle_hashes(text, words))
-                gone.append(kept.twin((doc, digest), shingles))
-                rests.append(shingles.astype("<u8").tobytes() if parts > 1 and not gone[-1] else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2, 3, 4)), pa.array(gone, pa.bool_()), pa.array(rests, pa.binary())], ["component_id", "parts", "doc_id", "digest", "gone", "shingles"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in utf8(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(sets, pa.binary())], ["root", "parts", "node", "shingles"])
 
     return run
 
 
 def similar_rows(docs: DataFrame, words: int = 5, least: float = SIMILARITY, distance: int = WIDE_DISTANCE, part_rows: int = PART_ROWS) -> DataFrame:
-    """``doc_id, digest`` (of the text) of documents to which an earlier one of their group is similar.
+    """``doc_id, digest`` (of the text) of documents that are not the first of their group.
 
-    A group of more than ``part_rows`` documents is dealt over several tasks;
-    those that stay in each part then meet in a second pass.
+    Groups are the components of all pairs of similarity ``least`` and more.
+    Within a group of candidates sets are compared in blocks: those of more than
+    ``part_rows`` sets are dealt in parts, and every two parts meet in a task.
     """
-    found = wide_components(docs, words, distance, least).where("documents > 1")
-    members = written(found.select("doc_id", "component_id", F.ceil(F.col("documents") / part_rows).cast("long").alias("parts")).distinct(), "members")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"component_id {kind}, parts long, doc_id {kind}, digest long, gone boolean, shingles binary"
-    order = ("component_id", "part", "parts", "doc_id", "digest")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
-    rows = texts.join(members, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    first = written(rows.select(*order, "text").repartition("component_id", "part").sortWithinPartitions(*order).transform(in_arrow, _sift(words, least), schema), "sifted")
-    again = first.where("NOT gone AND parts > 1").select("component_id", F.lit(-1).cast("long").alias("part"), "parts", "doc_id", "digest", F.col("shingles").alias("text"))
-    second = again.repartition("component_id").sortWithinPartitions(*order).transform(in_arrow, _sift(words, least), schema)
-    return first.where("gone").select("doc_id", "digest").unionByName(second.where("gone").select("doc_id", "digest")).distinct()
+    marked, named = _candidates(docs, words, distance, least)
+    members = named.where("sets > 1").select("node", "root", "first", F.ceil(F.col("sets") / part_rows).cast("long").alias("parts"))
+    members = members.select("node", "root", "parts", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(members, ["doc_id", "digest"])
+    sets = written(texts.select("root", "parts", "node", "text").transform(in_arrow, _sets(words), "root long, parts long, node long, shingles binary"), "member-sets")
+    part = sets.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    other = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = other.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("side"), "node", "shingles")
+    order = ("root", "i", "j", "side", "node")
+    links = blocks.repartition("root", "i", "j").sortWithinPartitions(*order).transform(in_arrow, _verified(least), "a long, b long")
+    roots = components(links).withColumnRenamed("root", "group")
+    grouped = written(named.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("group", "node").alias("group")), "grouped")
+    stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
+    of_set = written(grouped.join(stays, "group").select("node", "stays"), "stays")
+    return marked.select("doc_id", "digest", "node").join(of_set, "node").where("doc_id <> stays.doc_id OR digest <> stays.digest").select("doc_id", "digest").distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY, distance: int = WIDE_DISTANCE, part_rows: int = PART_ROWS) -> DataFrame:

@@ -139,3 +139,13 @@ def test_every_pair_of_the_similarity_is_within_a_component(spark):
     of = {r.doc_id: r.component_id for r in simhash.wide_components(docs).collect()}
     assert len(pairs) > 100 and all(of[a] == of[b] for a, b in pairs)
     assert len(set(of.values())) == 150
+
+
+@pytest.mark.parametrize("part_rows", [1, 500])
+def test_one_of_a_chain_of_near_copies_stays(spark, part_rows):
+    words = [f"w{i}" for i in range(84)]  # 80 shingles
+    left, right = [f"l{i}" for i in range(8)] + words[8:], words[:-8] + [f"r{i}" for i in range(8)]
+    docs = spark.createDataFrame([(1, " ".join(left)), (2, " ".join(words)), (3, " ".join(right)), (4, "quite another text " * 3)], "doc_id long, text string")
+    sets = shingle_sets(docs)
+    assert alike(sets[1], sets[2]) >= 0.8 and alike(sets[2], sets[3]) >= 0.8 and alike(sets[1], sets[3]) < 0.8
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, part_rows=part_rows).collect()) == [1, 4]
