@@ -175,6 +175,7 @@ def queries() -> dict[str, Query]:
         "degree_in_out": lambda s, d: graph.degrees(_edges(s, d)),
         "two_path_cardinality": lambda s, d: graph.two_path_cardinality(_edges(s, d)),
         "two_paths": lambda s, d: triangles.two_paths(_edges(s, d), PATHS_MAX_ID, "merge").select("start", "end"),
+        "two_paths_whole": lambda s, d: triangles.two_paths(_edges(s, d), strategy="merge").select("start", "end"),
         "triangle_reduce_side": _triangles(strategy="merge"),
         "triangle_shuffle": _triangles(strategy="shuffle_hash"),
         "triangle_max_id": _triangles(max_id=MAX_ID),

@@ -171,3 +171,12 @@ def test_nested_pairs_and_tags(mini_edges, mini_nodes):
     assert graph.nested_pairs(mini_edges, mini_nodes).select("_1.follower", "_2.id").count() == 8
     tagged = files.read_tagged((mini_edges.select(F.col("followed").alias("id")), "EDGE"), (mini_nodes, "NODE"))
     assert {r.tag: r["count"] for r in tagged.groupBy("tag").count().collect()} == {"EDGE": 8, "NODE": 9}
+
+
+def test_two_paths_whole_leaves_no_id_out(spark, monkeypatch):
+    from tessera.plans import catalog
+
+    pairs = [(1, 2), (1, 2), (2, 3), (3, 3), (299, 300), (300, 301), (301, 15_000), (15_000, 1)]
+    monkeypatch.setattr(catalog, "_edges", lambda s, d: spark.createDataFrame(pairs, "follower int, followed int"))
+    want = sorted((a, d) for a, b in pairs for c, d in pairs if b == c)
+    assert rows(catalog.queries()["two_paths_whole"](spark, "")) == want
