@@ -22,6 +22,7 @@ CHAIN_PASSES = 10
 TOP = 25
 K = 4
 CLUMPED = 10.0
+#: Bounds the walks of the SQL only; the queries search until nothing changes.
 BFS_PASSES = 12
 
 
@@ -68,7 +69,7 @@ def _state_roundtrip(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bfs(sources: list[int]) -> Query:
-    return lambda s, d: bfs.distances(_edges(s, d), _nodes(s, d), sources, BFS_PASSES)
+    return lambda s, d: bfs.distances(_edges(s, d), _nodes(s, d), sources)
 
 
 def _two_source(s: SparkSession, d: str) -> DataFrame:
@@ -77,17 +78,17 @@ def _two_source(s: SparkSession, d: str) -> DataFrame:
 
 def _map_state(s: SparkSession, d: str) -> DataFrame:
     e, n = _edges(s, d), _nodes(s, d)
-    found = bfs.states(e, graph.adjacency(e, n), bfs.distances(e, n, [1, 2], BFS_PASSES))
+    found = bfs.states(e, graph.adjacency(e, n), bfs.distances(e, n, [1, 2]))
     return found.select("id", F.col("sourcesDistance")["1"].alias("d1"), F.col("sourcesDistance")["2"].alias("d2"), F.size("adjacencyList").alias("n_adj"))
 
 
 def _diameter(s: SparkSession, d: str) -> DataFrame:
-    r = bfs.search(_edges(s, d), [1], BFS_PASSES)
+    r = bfs.search(_edges(s, d), [1])
     return s.createDataFrame([(r.eccentricity, r.eccentricity + 1, r.eccentricity + 2)], "eccentricity int, counter_form int, confirming_form int")
 
 
 def _bfs_trace(s: SparkSession, d: str) -> DataFrame:
-    r = bfs.search(_edges(s, d), [1], BFS_PASSES)
+    r = bfs.search(_edges(s, d), [1])
     return s.createDataFrame(list(enumerate(r.updates, 1)), "pass int, updated long")
 
 

@@ -180,3 +180,15 @@ def test_two_paths_whole_leaves_no_id_out(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_edges", lambda s, d: spark.createDataFrame(pairs, "follower int, followed int"))
     want = sorted((a, d) for a, b in pairs for c, d in pairs if b == c)
     assert rows(catalog.queries()["two_paths_whole"](spark, "")) == want
+
+
+def test_registered_searches_go_beyond_the_bound_of_the_sql(spark, monkeypatch):
+    from tessera.plans import catalog
+
+    n = catalog.BFS_PASSES + 4
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, n)], "follower int, followed int")
+    monkeypatch.setattr(catalog, "_edges", lambda s, d: edges)
+    monkeypatch.setattr(catalog, "_nodes", lambda s, d: spark.createDataFrame([(i,) for i in range(1, n + 1)], "id int"))
+    q = catalog.queries()
+    assert rows(q["bfs_single_source"](spark, "")) == [(i, i - 1) for i in range(1, n + 1)]
+    assert q["bfs_diameter"](spark, "").first().eccentricity == n - 1
