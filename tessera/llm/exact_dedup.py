@@ -12,13 +12,21 @@ from their id, so that a group is dealt over many tasks, each of which sorts
 and compares a part. The first text of each part then meets the others of its
 digest in a second comparison. No text is compared by digest alone.
 
+:func:`drop_duplicates` is the same sort with whole rows in it: texts cross the
+network once, and the first row of each run stays (of a hot group, the best of
+the first rows of its parts), so no row is looked up by its id.
+
 Nulls count as empty; null ids come last and stay only where no other does; of
-repeated rows of one id one stays. Extra columns are not read. DataFrame
+repeated rows of one id one stays, and one id may have several texts. Ties
+between rows of one id and text go to the smallest hash of the row. Very long
+texts are compared whole. An empty table gives an empty result. Extra columns
+are not read, or returned as they are by :func:`drop_duplicates`. DataFrame
 functions only.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,27 +38,32 @@ from tessera.llm.common import whole_text, written
 HEAD_BYTES = 16
 
 
-def exact_groups(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Column], Column] = lambda text: text, hot_rows: int = 1000, hot_share: int = 10_000) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+def _best_first(keep: str) -> tuple[Callable[[str], Column], Column]:
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
-    best = F.min if keep == "smallest" else F.max
-    by_id = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
+    return (F.min, F.col("doc_id").asc_nulls_last()) if keep == "smallest" else (F.max, F.col("doc_id").desc_nulls_last())
 
+
+def _dealt(docs: DataFrame, extra: dict[str, Column], normalise: Callable[[Column], Column], hot_rows: int, hot_share: int) -> DataFrame:
+    """``doc_id`` and ``extra`` of each row with its place in the sort: ``digest, head, hot, salt``; range-partitioned."""
     text = normalise(whole_text()).cast("binary")
-    keyed = docs.select("doc_id", text.alias("bytes")).select("doc_id", "bytes", F.unhex(F.sha2("bytes", 256)).alias("digest"))
+    keyed = docs.select("doc_id", *(c.alias(k) for k, c in extra.items()), F.unhex(F.sha2(text, 256)).alias("digest"), F.substring(text, 1, HEAD_BYTES).alias("head"))
     line = max(hot_rows, docs.count() // hot_share)
     hot = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > line)
     parts = F.ceil(F.col("rows") / (line / 4)).cast("long")
     salted = keyed.join(F.broadcast(hot), "digest", "left").select(
-        "doc_id", "bytes", "digest", F.substring("bytes", 1, HEAD_BYTES).alias("head"), F.col("rows").isNotNull().alias("hot"),
-        F.coalesce(F.pmod(F.xxhash64("doc_id"), parts), F.lit(0)).alias("salt"),
-    )
+        "doc_id", *extra, "digest", "head", F.col("rows").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("doc_id"), parts), F.lit(0)).alias("salt")
+    )
+    return salted.repartitionByRange("head", "digest", "salt")
 
+
+def exact_groups(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Column], Column] = lambda text: text, hot_rows: int = 1000, hot_share: int = 10_000) -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    best, by_id = _best_first(keep)
     near = W.partitionBy("head", "digest", "salt").orderBy("bytes", by_id)
     before = F.lag("bytes").over(near)
     run = (
-        salted.repartitionByRange("head", "digest", "salt")
+        _dealt(docs, {"bytes": normalise(whole_text()).cast("binary")}, normalise, hot_rows, hot_share)
         .withColumn("opens", before.isNull() | (before != F.col("bytes")))
         .select("doc_id", "head", "digest", "salt", "hot", "opens", F.sum(F.col("opens").cast("long")).over(near).alias("run"), F.when(F.col("hot") & F.col("opens"), F.col("bytes")).alias("first_text"))
     )
@@ -73,14 +86,18 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", normalise: Callable[[C
     )
 
 
-def drop_duplicates(docs: DataFrame, keep: str = "smallest", **options: object) -> DataFrame:
-    """``docs`` without the rows whose text another row of its group keeps; all columns stay.
-
-    Ids are taken to be unique here, as the rows that stay are looked up by id;
-    where rows of one id differ in text they stay if any of them does.
-    """
-    gone = exact_groups(docs, keep, **options).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+def drop_duplicates(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Column], Column] = lambda text: text, hot_rows: int = 1000, hot_share: int = 10_000) -> DataFrame:
+    """``docs`` without the rows whose text another row keeps: exactly one row stays for each text, with all its columns."""
+    _, by_id = _best_first(keep)
+    hashed = [F.col("_doc")[f.name] for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    dealt = _dealt(docs, {"_doc": F.struct(*(docs[c] for c in docs.columns))}, normalise, hot_rows, hot_share)
+    rows = dealt.select("doc_id", "_doc", "digest", "head", "hot", "salt", normalise(F.coalesce(F.col("_doc")["text"], F.lit(""))).cast("binary").alias("bytes"), F.xxhash64(*hashed).alias("tie"))
+    before = F.lag("bytes").over(W.partitionBy("head", "digest", "salt").orderBy("bytes", by_id, "tie"))
+    first = rows.withColumn("before", before).where("before IS NULL OR before <> bytes")
+    place = F.row_number().over(W.partitionBy("digest", "bytes").orderBy(by_id, "tie"))
+    best_of_hot = first.where("hot").withColumn("place", place).where("place = 1")  # the same range exchange, read again; one row for each part
+    stay = first.where("NOT hot").select("_doc").unionByName(best_of_hot.select("_doc"))
+    return stay.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 SQL = """
