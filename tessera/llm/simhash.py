@@ -1,71 +1,71 @@
 """Operator 5: near-duplicates by SimHash and multi-index hashing.
 
 A fingerprint has a bit where more than half of a text's shingle hashes have
-it. It is cut into segments, and each fingerprint enters, for each segment, the
-table entries within one bit of that segment: two fingerprints meet where a
-segment differs in at most 2 bits, and complete distances are then verified.
-
-:func:`near_components` has 64 bits in two segments, so that it finds every
-pair of distance 4 or less (of 4 bits one half has at most 2). It is exact.
-
-:func:`keep_one` is for texts of Jaccard similarity 0.8 and more, whose
-fingerprints differ in more bits. It first links sets of shingles by 128 bits
-(two lanes) that have one of six segments in common and a distance up to 30;
-that is quick but finds only a part. An exact path then completes them: in one
-order of all shingles, rare ones first, two sets of similarity 0.8 share one of
-the first ``n - ceil(0.8 n) + 1``, so sets meet under each of those, and parity
-bits and sizes rule out only pairs that cannot be so similar. No pair is missed.
-The components are candidates only: inside each all pairs are verified, and of
-each component of verified pairs the document with the smallest id stays. So
-every document that goes is linked by pairs of 0.8 or more to the one that stays.
+it. It is cut into two halves, and each fingerprint enters, for each half, the
+table entries within one bit of that half: two fingerprints meet where a half
+differs in at most 2 bits, which every pair of distance 4 or less does, and
+complete distances are then verified. So :func:`near_components` is exact.
 
 Copies collapse first: only distinct fingerprints are looked up. A bucket does
 not give all its near pairs: pairs that a third member joins are left out, and
 large buckets give a spanning forest, by breadth-first search over what is
 still unvisited. Components are those of all links.
 
-At distance 4 a bucket of more than ``most_bucket`` members is never gathered.
-Such a bucket can only lie within one bit of a half that has over
-``most_bucket / 33`` fingerprints, which is counted first; there, members are
-dealt by the other half too: a member that has the bucket's half enters all
-entries within 2 bits of its other half, one that is a bit off enters those
-within 1 bit. Two members meet exactly where their distance is 4 or less by
-that path, so each entry is a class and its members hang on the smallest. No
-link is lost, at any size. Buckets of :func:`keep_one` are searched by one task
-each, in 16 bytes for each distinct fingerprint or 48 for each set of shingles.
-
-Null and empty texts have fingerprint zero, linked like any other, and are alike
-to :func:`keep_one`, which keeps rows with null ids. Fewer words
-than a shingle: the whole sequence is one. Null ids pass through and name a
-component only where no other id does. Repeated rows give one result each.
-Extra columns are not read.
+A bucket of more than ``most_bucket`` members is never gathered. Such a bucket
+can only lie within one bit of a half that has over ``most_bucket / 33``
+fingerprints, which is counted first; there, members are dealt by the other
+half too: a member that has the bucket's half enters all entries within 2 bits
+of its other half, one that is a bit off enters those within 1 bit. Two members
+meet exactly where their distance is 4 or less by that path, so each entry is a
+class and its members hang on the smallest. No link is lost, at any size.
+
+:func:`keep_one` is for texts of Jaccard similarity 0.8 and more, which is not
+the same as distance 4: the links of fingerprints come first and join most
+near copies, and an exact path finds the rest. In one order of all shingles,
+rare ones first, two sets of similarity 0.8 share one of the first
+``n - ceil(0.8 n) + 1``. Only shingles that sets of different components have
+there are kept, and in their buckets parity bits, as many as a set has members
+or more, and sizes rule out pairs that cannot be so similar. No pair is missed.
+What is found so far are candidates: inside each component of them all pairs
+are verified, and of each component of verified pairs the document with the
+smallest id stays. So every document that goes is linked by pairs of 0.8 or
+more to the one that stays, whatever the size of the parts that it is done in.
+A bucket of :func:`keep_one` is searched by one task.
+
+Null and empty texts have fingerprint zero, linked like any other; to
+:func:`keep_one` they are alike among themselves only. Very long texts are read
+whole. Fewer words than a shingle: the whole sequence is one. Null ids pass
+through and name a component only where no other id does; in :func:`keep_one`
+they come after all others. Repeated rows give one result each, and one of them
+stays in :func:`keep_one`. Empty tables give empty results. Extra columns are
+not read, or returned as they are by :func:`keep_one`.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, in_arrow, mix64, utf8, written
+from tessera.llm.common import ascii_lower, discard, in_arrow, mix64, utf8, written
 from tessera.llm.components import components
 
 DISTANCE = 4
-WIDE_DISTANCE = 30
 SIMILARITY = 0.8
 PART_ROWS = 500
-#: Words of parity bits of a set; documents sampled for the order of shingles, which are common from COMMON of them on.
-PARITY = 4
+#: Parity bits that a set has at least; documents sampled for the order of shingles, which are common from COMMON of them on.
+LEAST_BITS = 256
 SAMPLE_DOCS, COMMON, MOST_COMMON = 10_000, 4, 200_000
 MOST_BUCKET = 20_000
 #: Runs up to MATRIX are compared as a matrix, those up to SMALL many at a time.
 SMALL, MATRIX = 16, 512
-#: (lane, first bit, bits) of each segment, by lanes.
-SEGMENTS = {1: [(0, 32, 32), (0, 0, 32)], 2: [(k, at, n) for k in (0, 1) for at, n in ((0, 21), (21, 21), (42, 22))]}
 _FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(32, dtype=np.uint64)])
 _FLIPS2 = np.concatenate([_FLIPS, np.array([(1 << i) | (1 << j) for i in range(32) for j in range(i)], np.uint64)])
 _LOW = np.uint64(0xFFFFFFFF)
@@ -88,127 +88,123 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(plain.__getitem__, cuts), repeat(42)), np.uint64, len(parts) - words + 1)
 
 
-def fingerprint(text: bytes, words: int = 4, lanes: int = 1) -> list[int]:
-    """One 64-bit fingerprint for each lane; lane 0 takes the hashes as they are."""
-    return _bits(shingle_hashes(text, words), lanes)
+def fingerprint(text: bytes, words: int = 4) -> int:
+    return _bits(shingle_hashes(text, words))
 
 
-def _bits(h: np.ndarray, lanes: int) -> list[int]:
-    counts = np.zeros((lanes, 64), np.int64)
+def _bits(h: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
-        for k in range(lanes):
-            part = h[at : at + 4096] if k == 0 else mix64(h[at : at + 4096] + np.uint64(k))
-            counts[k] += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return np.packbits(2 * counts > len(h), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
-
-
-def node_of(fps: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each row of fingerprints: the fingerprint itself where there is one lane."""
-    out = fps[:, 0]
-    for k in range(1, fps.shape[1]):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + fps[:, k])
-    return out
+        counts += np.unpackbits(h[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _lanes(batch: pa.RecordBatch, first: int, lanes: int) -> np.ndarray:
-    return np.stack([batch.column(first + k).to_numpy().view(np.uint64) for k in range(lanes)], 1)
-
-
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
-    """``doc_id, node, fp0, ...`` (as signed 64-bit integers). No shuffle."""
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """``doc_id, fp`` (as a signed 64-bit integer). No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t, words, lanes) for at in range(0, b.num_rows, 512) for t in utf8(b.column(1).slice(at, 512))]
-            fps = np.array(found, np.uint64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed(node_of(fps)), *(_signed(fps[:, k]) for k in range(lanes))], ["doc_id", "node", *(f"fp{k}" for k in range(lanes))])
+            found = [fingerprint(t, words) for at in range(0, b.num_rows, 512) for t in utf8(b.column(1).slice(at, 512))]
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(np.array(found, np.uint64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, node long, " + ", ".join(f"fp{k} long" for k in range(lanes)))
+    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, fp long")
 
 
 def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp >> _HALF, fp & _LOW
 
 
-def _keys(lanes: int, ball: int = 1):
-    """Each fingerprint under the entries within ``ball`` (0 or 1) bits of its segments; the low bits of a key number the segment."""
-    segments = SEGMENTS[lanes]
-    bits = np.uint64((len(segments) - 1).bit_length())
-    names = ["key", *(f"fp{x}" for x in range(lanes))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                fps = _lanes(part, 0, lanes)
-                for k, (lane, first, n) in enumerate(segments):
-                    segment = (fps[:, lane] >> np.uint64(first)) & np.uint64((1 << n) - 1)
-                    flips = _FLIPS[None, : 1 + n * ball]
-                    key = ((segment[:, None] ^ flips) << bits) | np.uint64(k)
-                    rest = [np.repeat(part.column(x).to_numpy(), flips.shape[1]) for x in range(lanes)]
-                    yield pa.RecordBatch.from_arrays([_signed(key.ravel()), *map(pa.array, rest)], names)
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under the entries within one bit of its halves; the low bit of a key numbers the half."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            fp = b.column(0).slice(at, 2048).to_numpy().view(np.uint64)
+            for side, half in enumerate(_halves(fp)):
+                key = ((half[:, None] ^ _FLIPS) << np.uint64(1)) | np.uint64(side)
+                yield pa.RecordBatch.from_arrays([_signed(key.ravel()), _signed(np.repeat(fp, len(_FLIPS)))], ["key", "fp"])
 
 
 def _subkeys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of hot buckets under entries of their other half as well."""
     for b in batches:
-        for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            fp = np.array([value], np.int64).view(np.uint64)
-            halves = _halves(fp)
-            own, other = halves[key & 1], halves[1 - (key & 1)]
-            flips = _FLIPS2 if int(own[0]) == key >> 1 else _FLIPS
-            n = len(flips)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array((other ^ flips).view(np.int64)), pa.array(np.full(n, value))], ["key", "sub", "fp"])
+        for at in range(0, b.num_rows, 2048):
+            key, fp = (b.column(k).slice(at, 2048).to_numpy().view(np.uint64) for k in (0, 1))
+            high, low = _halves(fp)
+            side = key & np.uint64(1)
+            own, other = np.where(side == 0, high, low), np.where(side == 0, low, high)
+            exact = own == key >> np.uint64(1)
+            for which, flips in ((exact, _FLIPS2), (~exact, _FLIPS)):
+                if which.any():
+                    n = len(flips)
+                    yield pa.RecordBatch.from_arrays([_signed(np.repeat(key[which], n)), _signed((other[which][:, None] ^ flips).ravel()), _signed(np.repeat(fp[which], n))], ["key", "sub", "fp"])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: float, lanes: int) -> np.ndarray:
-    """Whether fingerprints are within a distance, or (below 1) whether sets by their parity bits and sizes may be that similar.
+class Prints:
+    """Fingerprints, near within a distance."""
+
+    def __init__(self, values: np.ndarray, distance: int = DISTANCE) -> None:
+        self.values, self.distance = values, distance
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[a] ^ self.values[b]) <= self.distance
+
+    def names(self, at: np.ndarray) -> np.ndarray:
+        return self.values[at]
+
+
+class Parities:
+    """Sets by their parity bits (all of one width) and sizes, near where they may have the similarity.
 
     Sets of sizes n and m and similarity s differ in at most (n + m)(1 - s) / (1 + s)
     members, parity bits in no more than that, and the smaller has s of the larger's
     size at least: so no pair that is as similar is ever ruled out.
     """
-    apart = _apart(a[..., :lanes], b[..., :lanes])
-    if distance >= 1:
-        return apart <= distance
-    n, m = a[..., lanes].astype(np.int64), b[..., lanes].astype(np.int64)
-    return (apart * (1 + distance) <= (n + m) * (1 - distance) + 1e-6) & (np.minimum(n, m) >= distance * np.maximum(n, m) - 1e-6)
 
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, least: float = SIMILARITY) -> None:
+        self.bits, self.sizes, self.labels, self.least = bits, sizes, labels, least
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m, s = self.sizes[a], self.sizes[b], self.least
+        return (_apart(self.bits[a], self.bits[b]) * (1 + s) <= (n + m) * (1 - s) + 1e-6) & (np.minimum(n, m) >= s * np.maximum(n, m) - 1e-6)
+
+    def names(self, at: np.ndarray) -> np.ndarray:
+        return self.labels[at]
 
-def forest(fps: np.ndarray, distance: float, lanes: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that span the components of ``fps`` at ``distance``, found without listing pairs."""
-    out, rest, queue = [], fps, []
+
+def forest(members: Prints | Parities, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of the members at ``rest``, found without listing pairs."""
+    a, b, queue = [], [], []
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
         x = queue.pop()
-        near = _near(rest, x, distance, lanes)
+        near = members.near(rest, np.full(len(rest), x))
         if near.any():
             found = rest[near]
-            out.append((found, np.broadcast_to(x, found.shape)))
-            queue.extend(found)
+            a.append(found)
+            b.append(np.full(len(found), x))
+            queue.extend(found.tolist())
             rest = rest[~near]
-    return out
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _pairs(runs: np.ndarray, distance: float, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of several runs of one size, ``runs[run, member, lane]``.
+def _pairs(members: Prints | Parities, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of several runs of one size, ``runs[run, member]``.
 
     A pair is left out where a member before both is near both: it then hangs
     together by that one, so a dense run gives a star and not all its pairs.
     """
-    near = np.triu(_near(runs[:, :, None], runs[:, None], distance, lanes), 1)
+    near = np.triu(members.near(runs[:, :, None], runs[:, None]), 1)
     if not near.any():
         return runs[:0, 0], runs[:0, 0]
     up = near.astype(np.float32)
@@ -217,68 +213,83 @@ def _pairs(runs: np.ndarray, distance: float, lanes: int) -> tuple[np.ndarray, n
     return runs[run, a], runs[run, b]
 
 
-def _links(distance: float, lanes: int, labelled: bool = False):
-    """``a, b`` from rows that are sorted by key and fingerprint: runs of equal keys are buckets.
+def _linked(members: Prints | Parities, first: np.ndarray, size: np.ndarray, cells: int) -> Iterator[pa.RecordBatch]:
+    """Links of the runs that begin at ``first``; a pair takes ``cells`` words."""
+    found = []
+    for n in range(2, SMALL + 1):
+        at = first[size == n]
+        step = max(1, 500_000 // (n * n * cells))
+        found += [_pairs(members, at[i : i + step, None] + np.arange(n)) for i in range(0, len(at), step)]
+    for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        run = np.arange(at, at + n)
+        found.append(_pairs(members, run[None]) if n * n * cells <= MATRIX * MATRIX else forest(members, run))
+    for x, y in found:
+        a, b = members.names(x), members.names(y)
+        apart = a != b
+        if apart.any():
+            yield pa.RecordBatch.from_arrays([_signed(a[apart]), _signed(b[apart])], ["a", "b"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by their first column, cut at its changes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(0).to_numpy()
+        upto = int(np.searchsorted(k, k[-1]))
+        if upto or (held and held[-1].column(0)[-1].as_py() != k[0]):
+            yield pa.Table.from_batches([*held, b.slice(0, upto)]).combine_chunks().to_batches()[0] if held or upto else b
+            held = []
+        held.append(b.slice(upto))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    With labels (the last column, after the set's size where ``distance`` is a
-    similarity) the ends are labels, and links within one label are left out.
-    """
-    width = lanes + labelled + (distance < 1)
-
-    def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.append(first, len(k)))
-        found = []
-        for n in range(2, SMALL + 1):
-            at = first[size == n]
-            step = max(1, 500_000 // (n * n))
-            found += [_pairs(f[at[i : i + step, None] + np.arange(n)], distance, lanes) for i in range(0, len(at), step)]
-        for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            found += [_pairs(f[None, at : at + n], distance, lanes)] if n <= MATRIX else forest(f[at : at + n], distance, lanes)
-        found = [x for x in found if len(x[0])]
-        if found:
-            ends = [np.concatenate([x[k] for x in found]) for k in (0, 1)]
-            ends = [x[:, -1] if labelled else node_of(x) for x in ends]
-            if labelled:
-                apart = ends[0] != ends[1]
-                ends = [x[apart] for x in ends]
-            yield pa.RecordBatch.from_arrays([_signed(x) for x in ends], ["a", "b"])
+
+def _borders(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return first, np.diff(np.append(first, len(k)))
+
+
+def _print_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b`` from ``key, fp`` sorted by key: runs of equal keys are buckets."""
+    for b in _runs(batches):
+        yield from _linked(Prints(b.column(1).to_numpy().view(np.uint64)), *_borders(b.column(0).to_numpy()), 1)
+
+
+def _set_links(least: float):
+    """``a, b`` (labels) from ``key, label, size, bits`` sorted by key; all sets of a key have equally many bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, held = [], [], None
-        for batch in batches:
-            k, f = batch.column(0).to_numpy(), _lanes(batch, 1, width)
-            if len(k):
-                keys.append(k)
-                fps.append(f)
-                if held != k[-1] or len(keys) > 64:  # the last run may go on
-                    keys, fps = [np.concatenate(keys)], [np.concatenate(fps)]
-                    upto = int(np.searchsorted(keys[0], k[-1]))
-                    if upto:
-                        yield from linked(keys[0][:upto], fps[0][:upto])
-                        keys, fps = [keys[0][upto:]], [fps[0][upto:]]
-                    held = k[-1]
-        if keys:
-            yield from linked(np.concatenate(keys), np.concatenate(fps))
+        for b in _runs(batches):
+            first, size = _borders(b.column(0).to_numpy())
+            wide = pc.binary_length(b.column(3)).to_numpy()[first] // 8
+            for words in np.unique(wide).tolist():
+                some = wide == words
+                rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(f, f + n) for f, n in zip(first[some].tolist(), size[some].tolist(), strict=True))])
+                part = b.take(pa.array(rows))
+                bits = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u8").reshape(-1, words)
+                members = Parities(bits, part.column(2).to_numpy(), part.column(1).to_numpy().view(np.uint64), least)
+                yield from _linked(members, np.cumsum(size[some]) - size[some], size[some], words)
 
     return run
 
 
-def _bucketed(keys: DataFrame, distance: float, lanes: int, labelled: bool = False) -> DataFrame:
-    return keys.repartition("key").sortWithinPartitions("key", "fp0").transform(in_arrow, _links(distance, lanes, labelled), "a long, b long")
+def _bucketed(keys: DataFrame, run) -> DataFrame:
+    return keys.repartition("key").sortWithinPartitions("key").transform(in_arrow, run, "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, most_bucket: int = MOST_BUCKET) -> DataFrame:
-    """``a, b``: links whose components are those of all pairs of ``fps(fp0)``, distinct, at distance 4 or less."""
+    """``a, b``: links whose components are those of all pairs of ``fps(fp)``, distinct, at distance 4 or less."""
     dense = most_bucket // 33
-    halves = fps.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp0", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp0").bitwiseAND(0xFFFFFFFF).alias("half")))))
+    halves = fps.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("half")))))
     heavy = written(halves.groupBy("side", "half").count().where(F.col("count") > dense).select("side", "half"), "dense-halves")
-    keys = fps.select("fp0").transform(in_arrow, _keys(1), "key long, fp0 long")
+    keys = fps.select("fp").transform(in_arrow, _keys, "key long, fp long")
     if heavy.isEmpty():
-        return _bucketed(keys, DISTANCE, 1).distinct()
+        return _bucketed(keys, _print_links).distinct()
     flips = F.array(*(F.lit(int(x)).cast("long") for x in _FLIPS))
     hot = heavy.select(F.explode(F.transform(flips, lambda x: F.shiftleft(F.col("half").bitwiseXOR(x), 1).bitwiseOR(F.col("side").cast("long")))).alias("key")).distinct()
-    cool = _bucketed(keys.join(hot, "key", "left_anti"), DISTANCE, 1)
+    cool = _bucketed(keys.join(hot, "key", "left_anti"), _print_links)
     dealt = keys.join(hot, "key", "left_semi").transform(in_arrow, _subkeys, "key long, sub long, fp long")
     least = dealt.groupBy("key", "sub").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = dealt.join(least, ["key", "sub"]).where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
@@ -286,20 +297,22 @@ def fingerprint_links(fps: DataFrame, most_bucket: int = MOST_BUCKET) -> DataFra
 
 
 def _named(marked: DataFrame, most_bucket: int) -> DataFrame:
-    """``node, component_id`` for every 64-bit fingerprint of ``marked``."""
-    classes = written(marked.groupBy("node", "fp0").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(fingerprint_links(classes.select("fp0"), most_bucket))
-    linked = roots.join(classes.select("node", "least"), "node")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    """``fp, component_id`` for every fingerprint of ``marked``."""
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    roots = components(fingerprint_links(classes.select("fp"), most_bucket)).withColumnRenamed("node", "fp")
+    linked = roots.join(classes, "fp")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     # A table of its own, so that the join of the documents to it stands alone and Spark may split a popular fingerprint.
-    return written(classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
+    out = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    discard(classes)
+    return out
 
 
 def near_components(docs: DataFrame, words: int = 4, most_bucket: int = MOST_BUCKET) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``, by 64 bits at distance 4."""
     marked = written(fingerprints(docs, words), "fingerprints")
     named = _named(marked, most_bucket)
-    return marked.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def common_shingles(docs: DataFrame, words: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
@@ -328,78 +341,89 @@ def _prefix(h: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray])
     return h[np.lexsort((h, often))][: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
 
 
-def _parity(h: np.ndarray) -> list[int]:
-    """A bit for each residue of the hashes, set where an odd number of them has it."""
-    odd = np.bincount((mix64(h) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").tolist()
+def _parity(h: np.ndarray, width: int) -> bytes:
+    """A bit for each residue of the hashes, set where an odd number of them has it. ``width`` is a power of two."""
+    odd = np.bincount((mix64(h) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _widths(n: int, least: float) -> list[int]:
+    """Parity bits of a set of ``n``: a power of two from ``n`` on, and the next one too where a set of that width may be as similar."""
+    own = max(LEAST_BITS, 1 << max(0, n - 1).bit_length())
+    return [own, 2 * own] if n >= least * own else [own]
 
 
 def marks(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """``doc_id, digest, node`` (the set's name), ``fp0, fp1, p0, ..., size, prefix`` of documents with an id. No shuffle after the sample."""
+    """``a, b`` (the row's name: hashes of its id and text), ``doc_id, node`` (the set's name), ``fp, size, bits, prefix``. No shuffle after the sample."""
     import xxhash
 
-    docs = docs.where("doc_id IS NOT NULL")
     common = common_shingles(docs, words)
-    longs = ["node", "fp0", "fp1", *(f"p{k}" for k in range(PARITY)), "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part, rows, prefixes = b.slice(at, 512), [], []
-                for t in utf8(part.column(2)):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, rows, bits, prefixes = batch.slice(at, 512), [], [], []
+                for t in utf8(part.column(3)):
                     h = np.unique(shingle_hashes(t, words))
-                    rows.append([xxhash.xxh64_intdigest(h.tobytes(), 11), *_bits(h, 2), *_parity(h), len(h)])
+                    rows.append([xxhash.xxh64_intdigest(h.tobytes(), 11), _bits(h), len(h)])
+                    bits.append([_parity(h, w) for w in _widths(len(h), least)])
                     prefixes.append(_prefix(h, least, common).view(np.int64))
                 values = np.array(rows, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(_signed(values[:, k]) for k in range(len(longs))), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "digest", *longs, "prefix"])
+                arrays = [*(part.column(k) for k in range(3)), *(_signed(values[:, k]) for k in range(3)), pa.array(bits, pa.list_(pa.binary())), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "doc_id", "node", "fp", "size", "bits", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    return rows.transform(in_arrow, run, f"doc_id {kind}, digest long, {', '.join(f'{x} long' for x in longs)}, prefix array<long>")
+    return _named_rows(docs.select("doc_id", "text")).select("_a", "_b", "doc_id", "text").transform(in_arrow, run, f"a long, b long, doc_id {kind}, node long, fp long, size long, bits array<binary>, prefix array<long>")
 
 
-def _candidates(docs: DataFrame, words: int, distance: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """:func:`marks` and ``node, root, first, sets``: all pairs of similarity ``least`` and more have one root.
+def _named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_a, _b``, the name of a row: ids may repeat, and ids and texts may be null."""
+    return docs.withColumns({"_a": F.xxhash64(docs["doc_id"]), "_b": F.xxhash64(docs["text"])})
 
-    ``first`` is the first row of a set, ``sets`` the number of sets of a root.
 
-    In two steps, so that a dense group does not give a link for each bucket
-    that two of its members share: first fingerprints with an equal segment
-    link; then sets that share a shingle of their prefixes, which all similar
-    ones do, and only what the first step left apart.
-    """
-    marked = written(marks(docs, words, least), "marks")
-    parity = [f"p{k}" for k in range(PARITY)]
-    sets = marked.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
-    classes = written(sets, "set-classes")
-    prints = classes.select("fp0", "fp1").distinct()
-    same = _bucketed(prints.transform(in_arrow, _keys(2, ball=0), "key long, fp0 long, fp1 long"), distance, 2)
-    step = components(same).withColumnRenamed("node", "print")
-    by_print = _print_names(prints).join(step, "print", "left").select("fp0", "fp1", F.coalesce("root", "print").alias("label"))
-    labelled = written(classes.join(by_print, ["fp0", "fp1"]).select("node", "label", "first"), "labelled")
-    # Prefixes are read where they were written, from the first row of each set, and not carried along.
-    once = marked.join(labelled, "node").where("doc_id = first.doc_id AND digest = first.digest").select("node", "label", "size", "prefix", *parity)
-    keys = once.select(F.explode("prefix").alias("key"), *parity, "size", "label").withColumnRenamed("p0", "fp0")
-    joined = components(_bucketed(keys, least, PARITY, labelled=True)).withColumnRenamed("node", "label")
-    rooted = written(labelled.select("node", "label", "first").join(joined, "label", "left").select("node", "first", F.coalesce("root", "label").alias("root")), "rooted")
-    return marked, written(rooted.join(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets")), "root").select("node", "root", "first", "sets"), "named")
+def set_links(sets: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links between the labels of ``sets(node, label, size, bits, prefix)``, over all pairs that may have the similarity.
 
+    Shingles go first, in narrow rows; a bucket is one of those and one width of
+    parity bits. Only members of buckets with more than one label are given
+    their bits.
+    """
+    each = sets.select("node", "label", "size", F.posexplode("bits").alias("up", "bits"))
+    entries = sets.select("node", "label", "prefix", F.posexplode(F.transform("bits", F.octet_length)).alias("up", "width"))
+    entries = entries.select("node", "label", "up", "width", F.explode("prefix").alias("h")).select(F.xxhash64("h", "width").alias("key"), "node", "label", "up")
+    by_key = W.partitionBy("key")
+    shared = entries.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).where("low < high").select("key", "node", "up")
+    return _bucketed(shared.join(each, ["node", "up"]).select("key", "label", "size", "bits"), _set_links(least))
 
-def wide_components(docs: DataFrame, words: int = 5, distance: int = WIDE_DISTANCE, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, component_id`` of the groups of candidates."""
-    marked, named = _candidates(docs, words, distance, least)
-    ids = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    return marked.select("doc_id", "node").join(named.select("node", "root"), "node").join(ids, "root").select("doc_id", "component_id")
 
+def _candidates(docs: DataFrame, words: int, least: float, most_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b, node`` of all rows, and ``node, root, first, sets``: all pairs of similarity ``least`` and more have one root.
 
-def _print_names(prints: DataFrame) -> DataFrame:
-    """``fp0, fp1, print``: the name that links of two lanes use."""
+    ``first`` is the first row of a set, with the number of rows of its name; ``sets`` the number of sets of a root.
+    """
+    marked = written(marks(docs, words, least), "marks")
+    names = marked.groupBy("node", "a", "b").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.min("fp").alias("fp"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "rows")
+    classes = written(names.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp")), "set-classes")
+    near = components(fingerprint_links(classes.select("fp").distinct(), most_bucket)).withColumnRenamed("node", "fp")
+    labelled = written(classes.join(near, "fp", "left").select("node", "first", F.coalesce("root", "fp").alias("label")), "labelled")
+    once = marked.join(labelled, "node").where("a = first.a AND b = first.b").dropDuplicates(["node"])  # the join has dealt them by node
+    sets = written(once.select("node", "label", "size", "bits", "prefix"), "sets")
+    rows = written(marked.select("a", "b", "node").distinct(), "row-names")
+    discard(marked, classes)
+    joined = components(set_links(sets, least)).withColumnRenamed("node", "label")
+    rooted = written(labelled.select("node", "label", "first").join(joined, "label", "left").select("node", "first", F.coalesce("root", "label").alias("root")), "rooted")
+    named = written(rooted.join(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets")), "root").select("node", "root", "first", "sets"), "named")
+    discard(sets, labelled, rooted)
+    return rows, named
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(node_of(_lanes(b, 0, 2)))], ["fp0", "fp1", "print"])
 
-    return prints.select("fp0", "fp1").transform(in_arrow, run, "fp0 long, fp1 long, print long")
+def wide_components(docs: DataFrame, words: int = 5, least: float = SIMILARITY, most_bucket: int = MOST_BUCKET) -> DataFrame:
+    """``doc_id, component_id`` of the groups of candidates."""
+    rows, named = _candidates(docs, words, least, most_bucket)
+    ids = named.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
+    of_row = rows.join(named.select("node", "root"), "node").join(ids, "root").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "component_id")
+    return _named_rows(docs.select("doc_id", "text")).join(of_row, ["_a", "_b"]).select("doc_id", "component_id")
 
 
 class Kept:
@@ -492,17 +516,17 @@ def _sets(words: int):
     return run
 
 
-def similar_rows(docs: DataFrame, words: int = 5, least: float = SIMILARITY, distance: int = WIDE_DISTANCE, part_rows: int = PART_ROWS) -> DataFrame:
-    """``doc_id, digest`` (of the text) of documents that are not the first of their group.
+def similar_rows(docs: DataFrame, words: int = 5, least: float = SIMILARITY, part_rows: int = PART_ROWS, most_bucket: int = MOST_BUCKET) -> DataFrame:
+    """``_a, _b, repeated``: names of the rows that are not the first of their group, and of first ones of which there are several (``repeated``).
 
     Groups are the components of all pairs of similarity ``least`` and more.
     Within a group of candidates sets are compared in blocks: those of more than
     ``part_rows`` sets are dealt in parts, and every two parts meet in a task.
     """
-    marked, named = _candidates(docs, words, distance, least)
-    members = named.where("sets > 1").select("node", "root", "first", F.ceil(F.col("sets") / part_rows).cast("long").alias("parts"))
-    members = members.select("node", "root", "parts", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(members, ["doc_id", "digest"])
+    rows, named = _candidates(docs, words, least, most_bucket)
+    members = named.where("sets > 1").select(F.col("first.a").alias("_a"), F.col("first.b").alias("_b"), "root", F.ceil(F.col("sets") / part_rows).cast("long").alias("parts"), "node")
+    # Members and rows that go grow with the corpus: never broadcast, at any size.
+    texts = _named_rows(docs.select("doc_id", "text")).join(members.hint("merge"), ["_a", "_b"])
     sets = written(texts.select("root", "parts", "node", "text").transform(in_arrow, _sets(words), "root long, parts long, node long, shingles binary"), "member-sets")
     part = sets.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     other = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -511,12 +535,21 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = SIMILARITY, dis
     links = blocks.repartition("root", "i", "j").sortWithinPartitions(*order).transform(in_arrow, _verified(least), "a long, b long")
     roots = components(links).withColumnRenamed("root", "group")
     grouped = written(named.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("group", "node").alias("group")), "grouped")
-    stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
-    of_set = written(grouped.join(stays, "group").select("node", "stays"), "stays")
-    return marked.select("doc_id", "digest", "node").join(of_set, "node").where("doc_id <> stays.doc_id OR digest <> stays.digest").select("doc_id", "digest").distinct()
+    stays = grouped.join(grouped.groupBy("group").agg(F.min("first").alias("stays")), "group").select("node", "stays")
+    marked = rows.join(stays, "node").withColumn("stay", (F.col("a") == F.col("stays.a")) & (F.col("b") == F.col("stays.b"))).where("NOT stay OR stays.rows > 1")
+    out = written(marked.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("stay").alias("repeated")), "similar")
+    discard(rows, named, sets, grouped)
+    return out
 
 
-def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY, distance: int = WIDE_DISTANCE, part_rows: int = PART_ROWS) -> DataFrame:
-    """``docs`` without the rows of :func:`similar_rows`. Rows with a null id stay."""
-    gone = similar_rows(docs, words, least, distance, part_rows).select(F.col("doc_id").alias("gone"), "digest")
-    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["digest"]), "left_anti")
+def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILARITY, part_rows: int = PART_ROWS, most_bucket: int = MOST_BUCKET) -> DataFrame:
+    """``docs`` with one row of each group of :func:`similar_rows`: the one with the smallest id."""
+    gone = similar_rows(docs, words, least, part_rows, most_bucket)
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.xxhash64(docs["doc_id"]).alias("_a"), F.xxhash64(docs["text"]).alias("_b"))
+    flagged = whole.join(gone.hint("merge"), ["_a", "_b"], "left")
+    out = flagged.where("repeated IS NULL").select("_doc")
+    if not gone.where("repeated").isEmpty():
+        hashed = [F.col("_doc")[f.name] for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+        place = F.row_number().over(W.partitionBy("_a", "_b").orderBy(F.xxhash64(*hashed)))
+        out = out.unionByName(flagged.where("repeated").withColumn("_place", place).where("_place = 1").select("_doc"))
+    return out.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
