@@ -1,46 +1,131 @@
-"""Operator 9: token counts at every prefix of a text, by dynamic programming.
+"""Operator 9: exact token counts at every prefix of a text, by dynamic programming.
 
-A text falls into segments: a run of white space with the run of other
-characters behind it. The tokenizer splits text before its merges so that no
-token spans a segment border and no segment's tokens depend on its neighbours.
-So with ``P[i]`` the tokens of the first ``i`` characters and ``s`` the start
-of the segment that holds ``i``,
+``P[i]`` is the number of tokens that the tokenizer gives for the first ``i``
+characters. A text falls into segments, a run of white space with the run of
+other characters behind it; no token spans a segment border and no segment's
+tokens depend on its neighbours, so with ``s`` the start of the segment of ``i``
 
-    P[i] = P[s] + cost(text[s:i])
+    P[i] = P[s] + P_segment[i - s]
 
-``P`` at segment borders is a running sum of memoised segment costs; inside a
-segment the costs of its prefixes are stored once a segment is asked for. Every
-count is the library's own, nothing is estimated, and questions about budgets
-and cuts read ``P`` without encoding the text again.
+Inside a word the merges of a byte-level tokenizer admit one last token for
+each prefix: the token ``t`` that ends there and stands beside the last token
+of the prefix before it, which merges leave as two. So
+
+    P_word[i] = P_word[i - len(t)] + 1
+
+which one pass over the word finds, however long it is, with a memo of the
+pairs that merges leave alone. Words of Latin letters, and all long ones, are
+counted so; every prefix of another short segment is counted by the library
+once. Segments are remembered by their counts, so a text is split, looked up
+and joined, never encoded as a whole and never a second time.
+
+:func:`prefix_table` stores ``P`` as its step at each character, with ``P`` and
+its least value for each block of characters. Totals, limits, truncation to a
+budget (:func:`cut_at`) and the count of any prefix (:func:`tokens_before`) are
+read from that table in the JVM.
 
 Nulls count as empty; an empty text has 0 bytes and 0 tokens; null ids pass
-through; repeated rows give one result each; columns besides the two named are
-not read, so clashing names are harmless. A text with white space beyond ASCII
-(or with U+001C to U+001F, on which libraries differ) is one segment.
+through; repeated rows give one result each; very long texts, words and runs of
+white space take time in proportion to their length; an empty table gives an
+empty result; columns besides the two named are not read, so clashing names are
+harmless.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ends_in_stop, in_arrow, utf8
+from tessera.llm.common import in_arrow, utf8
 
-SEGMENT = re.compile(rb"\s*\S+|\s+")
-#: White space beyond ASCII, with the separators that not all libraries count: fixed values of the Unicode standard.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_ENTRIES, MEMO_BYTES = 250_000, 64
+SEGMENT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: White space beyond ASCII: fixed values of the Unicode standard.
+_ODD = "\x85\xa0  -     　"
+ODD_SPACE = re.compile(f"[{_ODD}]")
+BLANKS = re.compile(f"[ \t-\r{_ODD}]*")
+ODD_SEGMENT = re.compile(f"[ \t-\r{_ODD}]*[^ \t-\r{_ODD}]+|[ \t-\r{_ODD}]+")
+#: A line end or blank, Latin letters, and a final mark, which is a word of its own.
+PLAIN = re.compile("(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,]?)")
+MEMO_ENTRIES, MEMO_BYTES, MEMO_PAIRS, SHORT, BLOCK = 400_000, 48, 500_000, 64, 256
 
-_loaded: dict[str, SegmentCosts] = {}
+_loaded: dict[str, PrefixCosts] = {}
 
 
-class SegmentCosts:
-    """A tokenizer with memoised counts of segments."""
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, all others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class Merges:
+    """A byte-level vocabulary with its merges, counted prefix by prefix."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        alphabet = byte_alphabet()
+        data = lambda token: bytes(alphabet[c] for c in token)
+        self.ids = {data(t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
+        self.longest = max(map(len, self.ids))
+        self.bytes_of = {i: t for t, i in self.ids.items()}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.ranks = {(self.ids[data(a)], self.ids[data(b)]): rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = {(a, b): self.ids[self.bytes_of[a] + self.bytes_of[b]] for a, b in self.ranks}
+        self.pairs: dict[int, bool] = {}
+
+    def encode(self, word: bytes) -> list[int]:
+        """The merges as they are defined, for short words."""
+        parts = [self.ids[word[k : k + 1]] for k in range(len(word))]
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == 1 << 60:
+                break
+            parts[at : at + 2] = [self.merged[parts[at], parts[at + 1]]]
+        return parts
+
+    def _apart(self, key: int, before: int, token: int) -> bool:
+        """Whether merges leave two tokens as they are; ``before`` is -1 at the start of a word."""
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
+        if before < 0:
+            found = self.encode(self.bytes_of[token]) == [token]
+        else:
+            found = self.encode(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+        self.pairs[key] = found
+        return found
+
+    def prefixes(self, word: bytes) -> list[int]:
+        """Tokens of ``word[:i]`` for each ``i`` from 0 on."""
+        ids, pairs, longest = self.ids, self.pairs, self.longest
+        count, last = [0], [-1]
+        for i in range(1, len(word) + 1):
+            for j in range(i - longest if i > longest else 0, i):
+                token = ids.get(word[j:i])
+                if token is not None:
+                    before = last[j]
+                    key = (before << 24) + token
+                    fits = pairs.get(key)
+                    if fits or (fits is None and self._apart(key, before, token)):
+                        count.append(count[j] + 1)
+                        last.append(token)
+                        break
+        return count
+
+
+def _steps(counts: list[int]) -> bytes:
+    return np.diff(np.array(counts, np.int64)).astype(np.int8).tobytes()
+
+
+class PrefixCosts:
+    """A tokenizer with remembered prefix counts of segments, as the step at each character."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,10 +134,14 @@ class SegmentCosts:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
-        self.memo: dict[bytes, int] = {}
+        self.merges = Merges(path)
+        if self.merges.longest > 128:
+            raise ValueError("tokens of more than 128 bytes: a step may not fit in one byte")
+        self.added = re.compile("(" + "|".join(re.escape(t.content) for t in self.encoder.get_added_tokens_decoder().values()) + ")")
+        self.memo: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> SegmentCosts:
+    def of(cls, path: str) -> PrefixCosts:
         if path not in _loaded:
             _loaded[path] = cls(path)
         return _loaded[path]
@@ -62,126 +151,152 @@ class SegmentCosts:
 
     @staticmethod
     def segments(text: bytes) -> list[bytes]:
-        if (text.isascii() and not ODD_SPACE.search(text.decode("ascii"))) or not ODD_SPACE.search(text.decode("utf-8", "replace")):
-            return SEGMENT.findall(text)
-        return [text]
-
-    def learn(self, wanted: set[bytes]) -> dict[bytes, int]:
-        """Counts of segments; a final stop after a letter is a token run of its own, so the rest may be known already."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo, stems = self.memo, {}
+        if not text.isascii() and ODD_SPACE.search(known := text.decode("utf-8", "replace")):
+            return [s.encode() for s in ODD_SEGMENT.findall(known)]
+        return SEGMENT.findall(text)
+
+    def _word(self, word: str) -> list[int]:
+        """Counts at each character of a piece that the tokenizer's pattern does not split, nor any prefix of it."""
+        data = word.encode()
+        counts = self.merges.prefixes(data)
+        return counts if len(data) == len(word) else [counts[k] for k in [0, *np.cumsum([len(c.encode()) for c in word]).tolist()]]
+
+    def _long(self, text: str) -> list[int]:
+        """Counts at each character of any segment, piece by piece."""
+        counts, at, total, piece = [0], 0, 0, (0, 0)
+        for k, chunk in enumerate(self.added.split(text)):
+            if k % 2:  # an added token: until its last character it is ordinary text behind the piece before
+                first, before = piece
+                counts += [before + n for n in self.encoded([text[first : at + j] for j in range(1, len(chunk))])]
+                total += 1
+                counts.append(total)
+                at += len(chunk)
+                piece = (at, total)
+                continue
+            blank = BLANKS.match(chunk).end()
+            run = self._word(chunk[:blank])
+            for _, (a, b) in self.encoder.pre_tokenizer.pre_tokenize_str(chunk):
+                word, piece = chunk[a:b], (at + a, total)
+                inside = self._word(word) if len(word) > 8 else [0, *self.encoded([word[:j] for j in range(1, len(word) + 1)])]
+                # A prefix that ends in white space has its whole run as one piece.
+                counts += [run[a + j] + counts[at] if a + j <= blank else total + inside[j] for j in range(1, len(word) + 1)]
+                total += inside[-1]
+            at += len(chunk)
+        return counts
+
+    def learn(self, wanted: set[bytes]) -> dict[bytes, bytes]:
+        """Steps of segments; new words without their final marks are counted once."""
+        memo, out, words, whole = self.memo, {}, {}, []
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
         for seg in wanted:
-            stems[seg] = (seg[:-1], seg[-1:]) if ends_in_stop(seg) else (seg,)
-        new = list({x for parts in stems.values() for x in parts if x not in memo})
-        found = dict(zip(new, self.encoded([x.decode("utf-8", "replace") for x in new]), strict=True))
-        out = {seg: sum(memo[x] if x in memo else found[x] for x in parts) for seg, parts in stems.items()}
-        for x in (found, out):
+            text = seg.decode("utf-8", "replace")
+            plain = PLAIN.fullmatch(text)
+            if plain and not (plain[1] and plain[2][0] == " "):
+                stem = plain[2].encode()
+                steps = memo.get(stem) or words.get(stem)
+                if steps is None:
+                    steps = words[stem] = _steps(self._word(plain[2]))
+                out[seg] = b"\1" * len(plain[1]) + steps + b"\1" * len(plain[3])
+            elif len(text) > SHORT:
+                out[seg] = _steps(self._long(text))
+            else:
+                whole.append((seg, text))
+        found = self.encoded([text[:j] for _, text in whole for j in range(1, len(text) + 1)])
+        at = 0
+        for seg, text in whole:
+            out[seg] = _steps([0, *found[at : at + len(text)]])
+            at += len(text)
+        for x in (words, out):
             memo.update((k, v) for k, v in x.items() if len(k) <= MEMO_BYTES)
         return out
 
-    def counts(self, texts: list[bytes]) -> list[list[int]]:
-        """For each text the costs of its segments."""
-        split = [self.segments(t) for t in texts]
-        memo = self.memo
-        costs = [list(map(memo.get, segs)) for segs in split]
-        wanted = {s for segs, c in zip(split, costs, strict=True) if None in c for s, n in zip(segs, c, strict=True) if n is None}
-        if wanted:
-            extra = self.learn(wanted)
-            for k, c in enumerate(costs):
-                if None in c:
-                    segs = split[k]
-                    costs[k] = [extra[segs[i]] if n is None else n for i, n in enumerate(c)]
-        return costs
-
-
-class PrefixCounts:
-    """``P`` of one text: exact token counts of its prefixes, by characters."""
-
-    def __init__(self, text: str, path: str) -> None:
-        self.costs = SegmentCosts.of(path)
-        data = text.encode()
-        self.text, self.starts, self.before = text, [0], [0]
-        for seg, n in zip(self.costs.segments(data), self.costs.counts([data])[0], strict=True):
-            self.starts.append(self.starts[-1] + len(seg.decode()))
-            self.before.append(self.before[-1] + n)
-        self.inside: dict[int, list[int]] = {}
-
-    @property
-    def total(self) -> int:
-        return self.before[-1]
-
-    def _within(self, k: int) -> list[int]:
-        if k not in self.inside:
-            seg = self.text[self.starts[k] : self.starts[k + 1]]
-            self.inside[k] = [0, *self.costs.encoded([seg[:j] for j in range(1, len(seg))])]
-        return self.inside[k]
-
-    def __getitem__(self, i: int) -> int:
-        """Tokens of ``text[:i]``."""
-        from bisect import bisect_right
-
-        if not 0 <= i <= len(self.text):
-            raise IndexError(i)
-        k = bisect_right(self.starts, i) - 1
-        return self.before[k] + (self._within(k)[i - self.starts[k]] if i > self.starts[k] else 0)
-
-    def longest_within(self, budget: int) -> int:
-        """Characters of the longest prefix that has no more tokens than ``budget``."""
-        from bisect import bisect_right
-
-        k = bisect_right(self.before, budget) - 1
-        if k + 1 == len(self.before):
-            return len(self.text)
-        within = self._within(k)
-        return self.starts[k] + max(j for j, n in enumerate(within) if self.before[k] + n <= budget)
+    def steps(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The steps of all characters of the texts, one text after the other, and the characters of each text."""
+        split = list(map(self.segments, texts))
+        flat = [s for segs in split for s in segs]
+        found = list(map(self.memo.get, flat))
+        if None in found:
+            extra = self.learn({s for s, x in zip(flat, found, strict=True) if x is None})
+            found = [extra[s] if x is None else x for s, x in zip(flat, found, strict=True)]
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        borders = np.concatenate([[0], np.cumsum([len(segs) for segs in split])]).astype(np.int64)
+        return np.frombuffer(b"".join(found), np.int8), np.diff(upto[borders])
+
+
+TABLE = "n_bytes long, n_chars long, n_tokens long, starts array<int>, lows array<int>, steps array<tinyint>"
 
 
 def prefix_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``P`` stored: ``doc_id, chars, tokens``, the characters up to each segment border and the tokens before it, from (0, 0) on.
+    """``P`` of every text, stored: ``doc_id, n_bytes, n_chars, n_tokens, starts, lows, steps``.
 
-    Both arrays rise, so :func:`cut_at` and other questions are array look-ups.
+    ``steps`` has ``P[i + 1] - P[i]`` for each character, ``starts`` and ``lows``
+    have the first and the least ``P`` of each block of 256 prefixes. A narrow
+    plan: one scan of two columns and no shuffle. A task holds one Arrow batch
+    and a memo of bounded size.
     """
-    from itertools import accumulate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = SegmentCosts.of(tokenizer_path)
+        costs = PrefixCosts.of(tokenizer_path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = utf8(part.column(1))
-                chars = [[0, *accumulate(len(s.decode("utf-8", "replace")) for s in costs.segments(t))] for t in texts]
-                tokens = [[0, *accumulate(c)] for c in costs.counts(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "chars", "tokens"])
+                steps, chars = costs.steps(texts)
+                ends = np.cumsum(chars)
+                # P of all texts, each from 0 on: a text has one prefix more than characters.
+                one_more = np.insert(steps.astype(np.int32), ends - chars, 0)
+                first = ends - chars + np.arange(len(chars))
+                p = np.cumsum(one_more, dtype=np.int64)
+                p -= np.repeat(p[first], chars + 1)
+                blocks = chars // BLOCK + 1
+                block = np.repeat(first - BLOCK * (np.cumsum(blocks) - blocks), blocks) + BLOCK * np.arange(blocks.sum())
+                lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(chars), pa.array(p[first + chars]), lists(pa.array(p[block].astype(np.int32)), blocks), lists(pa.array(np.minimum.reduceat(p, block).astype(np.int32)), blocks), lists(pa.array(steps), chars)],
+                    ["doc_id", "n_bytes", "n_chars", "n_tokens", "starts", "lows", "steps"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.transform(in_arrow, run, f"doc_id {kind}, chars array<int>, tokens array<int>")
+    return rows.transform(in_arrow, run, f"doc_id {kind}, {TABLE}")
 
 
-def cut_at(table: DataFrame, budget: int) -> DataFrame:
-    """``doc_id, cut_chars, cut_tokens``: the longest prefix of whole segments within ``budget`` tokens. No text is read."""
-    fits = F.size(F.filter("tokens", lambda n: n <= budget))
-    return table.select("doc_id", F.element_at("chars", fits).alias("cut_chars"), F.element_at("tokens", fits).alias("cut_tokens"))
+def _sum(steps: Column, start: Column) -> Column:
+    return F.aggregate(steps, start.cast("int"), lambda p, d: p + d.cast("int"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: bytes, tokens, and whether the tokens exceed ``limit``.
+def tokens_before(chars: int) -> Column:
+    """``P`` at a number of characters (or at the end, where the text is shorter), from the columns of :func:`prefix_table`."""
+    at = F.least(F.lit(chars), F.col("n_chars")).cast("int")
+    block = F.floor(at / BLOCK).cast("int")
+    return _sum(F.slice("steps", block * BLOCK + 1, at - block * BLOCK), F.get("starts", block)).cast("long")
 
-    A narrow plan: one scan of two columns and no shuffle. A task holds one
-    Arrow batch and a memo of bounded size.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = SegmentCosts.of(tokenizer_path)
-        for b in batches:
-            tokens, sizes = [], []
-            for at in range(0, b.num_rows, 256):
-                texts = utf8(b.column(1).slice(at, 256))
-                sizes += map(len, texts)
-                tokens += map(sum, costs.counts(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+def cut_at(table: DataFrame, budget: int, *more: str) -> DataFrame:
+    """``doc_id, cut_chars, cut_tokens`` and ``more`` columns: the longest prefix of no more than ``budget`` tokens. No text is read."""
+    if budget < 0:
+        raise ValueError(f"budget: {budget}")
+    block = F.array_max(F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda k: F.get("lows", k) <= budget))
+    rows = table.withColumn("_block", block)
+    state = lambda at, p, cut, tokens: F.struct(at.alias("at"), p.alias("p"), cut.alias("cut"), tokens.alias("tokens"))
+    none, first, start = F.lit(None).cast("int"), F.col("_block") * BLOCK, F.get("starts", F.col("_block"))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.transform(in_arrow, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    def step(s: Column, d: Column) -> Column:
+        p = s["p"] + d.cast("int")
+        return state(s["at"] + 1, p, F.when(p <= budget, s["at"] + 1).otherwise(s["cut"]), F.when(p <= budget, p).otherwise(s["tokens"]))
+
+    began = state(first, start, F.when(start <= budget, first).otherwise(none), F.when(start <= budget, start).otherwise(none))
+    found = rows.withColumn("_found", F.aggregate(F.slice("steps", first + 1, F.lit(BLOCK - 1)), began, step))
+    return found.select("doc_id", *more, F.col("_found.cut").alias("cut_chars"), F.col("_found.tokens").alias("cut_tokens"))
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, from :func:`prefix_table`: bytes, tokens, whether they exceed ``limit``, and the longest prefix within it.
+
+    The last, as ``cut_chars, cut_tokens``, is where to truncate a text.
+    """
+    table = prefix_table(docs, tokenizer_path, id_col, text_col)
+    over = (F.col("n_tokens") > limit).alias("over_limit")
+    cut = cut_at(table, limit, "n_bytes", "n_tokens")
+    return cut.select("doc_id", "n_bytes", "n_tokens", over, "cut_chars", "cut_tokens")
