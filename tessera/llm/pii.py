@@ -4,18 +4,24 @@ The base finds e-mail addresses, IP addresses, card numbers and telephone
 numbers by pattern, leftmost and non-overlapping for each kind, over whole
 texts; matches that fail their test are dropped. The CRF adds spans the
 patterns miss (numbers without ``+``, addresses that spell out their marks).
-It scores whole segments of up to four blank-separated tokens by features of
+It scores whole segments of up to five blank-separated tokens by features of
 the segment (shape, digits, marks, checks, neighbours) and sums over all
 segmentations of a window in training; decoding picks the best joint choice of
 borders and kinds. Only tokens with a digit, ``@`` or a spelt-out mark can be
-part of an entity, so windows around those tokens hold every decision; equal
-windows, up to what features can see, are decoded once.
-
-Weights come from a bounded sample: windows of at most ``most_docs`` documents
-with the base's own spans as truth, and generated variants. Added spans never
-overlap base spans, and every base span stays. Offsets count code points, ends
-are exclusive. Nulls count as empty. Repeated rows give one result each, null
-ids pass through, extra columns are not read. No shuffle.
+part of an entity, so windows around those tokens hold every decision. A window
+has any length, as the dynamic program is linear in it, and windows are
+disjoint, so added spans never overlap one another. A segment's scores depend
+on its own text and the shapes beside it, and are remembered under just these:
+results do not depend on what was read before.
+
+Weights come from a bounded sample: windows of at most ``most_docs`` distinct
+texts with the base's own spans as truth (``most_windows`` of them, which is
+all that reaches the driver), and generated variants. Added spans never overlap
+base spans, and every base span stays. Offsets count code points, ends are
+exclusive. Of equally good segmentations the one with the earliest start of its
+last segment wins, and the first kind. Nulls count as empty, very long texts
+are read whole, repeated rows give one result each, null ids pass through, an
+empty table gives an empty result, extra columns are not read. No shuffle of texts.
 """
 
 from __future__ import annotations
@@ -143,37 +149,34 @@ class Window:
             self.shapes.append(_shape(text[a + x : a + y]))
         self.text = text
 
-    def key(self) -> tuple:
-        checks = []
-        for (a, b), s in zip(self.cores, self.shapes, strict=True):
-            t = self.text[a:b]
-            checks.append((s, _is_card(t), _is_ip(t) if t.count(".") == 3 and not any(c.isalpha() for c in t) and re.fullmatch("[0-9.]+", t) and ".." not in t and t[0] != "." and t[-1] != "." else False))
-        whole = "".join(self.text[a:b] for a, b in self.cores)
-        return tuple(checks), len(_NOT_DIGITS.sub("", whole)) > 12 and hash(whole)
+    def segment(self, i: int, j: int) -> tuple[str, str, str] | None:
+        """All that features see of a segment, its text between cores and the shapes beside it; None where it can be no segment."""
+        part = self.shapes[i:j]
+        if j - i > 1 and "AT" not in part[1:-1] and any(x[0] == "w" for x in part):  # words join an entity around a spelt-out mark only
+            return None
+        before = self.shapes[i - 1][:1] if i else "^"
+        after = self.shapes[j][:1] if j < len(self.shapes) else "$"
+        return self.text[self.cores[i][0] : self.cores[j - 1][1]], before, after
 
     def segments(self) -> dict[tuple[int, int], list[str]]:
         n, out = len(self.shapes), {}
         for i in range(n):
             for j in range(i + 1, min(n, i + LONGEST) + 1):
-                part = tuple(self.shapes[i:j])
-                if j - i > 1 and "AT" not in part[1:-1] and any(x[0] == "w" for x in part):  # words join an entity around a spelt-out mark only
-                    continue
-                before = self.shapes[i - 1][:1] if i else "^"
-                after = self.shapes[j][:1] if j < n else "$"
-                out[i, j] = _segment_features(self.text[self.cores[i][0] : self.cores[j - 1][1]], part, before, after)
+                if seen := self.segment(i, j):
+                    out[i, j] = _segment_features(seen[0], tuple(self.shapes[i:j]), *seen[1:])
         return out
 
 
 def windows(text: str) -> Iterator[Window]:
     """Windows of tokens within :data:`CONTEXT` of an anchor, merged where they touch."""
-    if not _ANCHOR.search(text):
+    if not _ANCHOR.search(text) and ("at" not in text or "dot" not in text):
         return
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     marks = [i for i, (a, b) in enumerate(tokens) if _ANCHOR.search(text, a, b) or text[a:b] in ("at", "dot") and 0 < i < len(tokens) - 1 and _spelt(text, tokens, i)]
     at = 0
     while at < len(marks):
         first = last = marks[at]
-        while at + 1 < len(marks) and marks[at + 1] - last <= 2 * CONTEXT and marks[at + 1] - first < 40:
+        while at + 1 < len(marks) and marks[at + 1] - last <= 2 * CONTEXT:
             at += 1
             last = marks[at]
         at += 1
@@ -189,7 +192,7 @@ def _spelt(text: str, tokens: list[tuple[int, int]], i: int) -> bool:
 class SemiCrf:
     def __init__(self, weights: dict[str, list[float]] | None = None) -> None:
         self.weights = weights or {}
-        self.memo: dict[tuple, list[tuple[int, int, int]]] = {}
+        self.memo: dict[tuple[str, str, str], list[float]] = {}
 
     def scores(self, features: list[str]) -> list[float]:
         total = [0.0] * 5
@@ -203,29 +206,37 @@ class SemiCrf:
     def _allowed(self, i: int, j: int) -> range:
         return range(5) if j == i + 1 else range(4)
 
+    def _segment_scores(self, window: Window, i: int, j: int) -> list[float] | None:
+        seen = window.segment(i, j)
+        if seen is None:
+            return None
+        found = self.memo.get(seen)
+        if found is None:
+            found = self.scores(_segment_features(seen[0], tuple(window.shapes[i:j]), *seen[1:]))
+            if len(seen[0]) <= 80:
+                if len(self.memo) > 200_000:
+                    self.memo.clear()
+                self.memo[seen] = found
+        return found
+
     def decode(self, window: Window) -> list[tuple[int, int, int]]:
         """Best segmentation: (kind, first token, end token) of its entities."""
-        key = window.key()
-        if key not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            n, segs = len(window.shapes), window.segments()
-            best: list[tuple[float, tuple[int, int] | None]] = [(0.0, None)] + [(-1e300, None)] * n
-            for j in range(1, n + 1):
-                for i in range(max(0, j - LONGEST), j):
-                    if (i, j) in segs:
-                        s = self.scores(segs[i, j])
-                        for y in self._allowed(i, j):
-                            if best[i][0] + s[y] > best[j][0]:
-                                best[j] = (best[i][0] + s[y], (i, y))
-            out, j = [], n
-            while j:
-                i, y = best[j][1]
-                if y != OTHER:
-                    out.append((y, i, j))
-                j = i
-            self.memo[key] = out[::-1]
-        return self.memo[key]
+        n = len(window.shapes)
+        best: list[tuple[float, tuple[int, int] | None]] = [(0.0, None)] + [(-1e300, None)] * n
+        for j in range(1, n + 1):
+            for i in range(max(0, j - LONGEST), j):
+                s = self._segment_scores(window, i, j)
+                if s is not None:
+                    for y in self._allowed(i, j):
+                        if best[i][0] + s[y] > best[j][0]:
+                            best[j] = (best[i][0] + s[y], (i, y))
+        out, j = [], n
+        while j:
+            i, y = best[j][1]
+            if y != OTHER:
+                out.append((y, i, j))
+            j = i
+        return out[::-1]
 
     def train(self, examples: list[tuple[Window, set[tuple[int, int, int]]]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4, seed: int = 3) -> SemiCrf:
         """Stochastic gradient on the conditional log-likelihood, by forward and backward sums over segmentations."""
@@ -268,21 +279,40 @@ def _logsum(xs: list[float]) -> float:
 
 
 def variants(seed: int = 9, each: int = 60) -> list[tuple[str, list[tuple[int, str]]]]:
-    """Generated lines with the entities they hold: forms that the patterns miss, and look-alikes that are none."""
+    """Generated lines with the entities they hold, in their order: forms that the patterns miss, lists of them, and look-alikes that are none."""
     rng, out = random.Random(seed), []
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    year = lambda: f"{rng.choice(['19', '20'])}{d(2)}"
+    number = lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}"])
     for _ in range(each):
-        phone = rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}"])
+        phone = number()
         mail = rng.choice([f"{word()} at {word()} dot com", f"{word()} (at) {word()} (dot) org", f"{word()}.{d(2)} [at] {word()}.net"])
         plain = rng.choice([f"{word()}.{d(2)}@{word()}{d(1)}.{word()}.com", f"{word()}@{word()}.org"])
         ip = ".".join(str(rng.randint(0, 255)) for _ in range(4))
         for kind, text in ((3, phone), (0, mail), (0, plain), (1, ip), (3, f"+1 ({d(3)}) {d(3)}-{d(4)}")):
             out.append((f"{word()} {word()} {text}{rng.choice(['', ',', '.'])} {word()} {word()}", [(kind, text)]))
-        none = rng.choice([d(rng.randint(1, 8)), f"{d(1)}.{d(1)}.", f"{d(4)}-{d(2)}-{d(2)}", f"{rng.randint(256, 999)}.{d(2)}.{d(2)}.{d(2)}", f'"{"".join(rng.choice("0123456789abcdef") for _ in range(32))}"', f"{d(3)} {d(2)} {d(1)}", f"{word()} at {word()}", f"{d(2)}:{d(2)}"])
+        several = [number() for _ in range(rng.randint(2, 5))]
+        out.append((f"{word()} {', '.join(several)} {word()}", [(3, x) for x in several]))
+        nones = [
+            d(rng.randint(1, 8)), f"{d(1)}.{d(1)}.", f"{d(4)}-{d(2)}-{d(2)}", f"{rng.randint(256, 999)}.{d(2)}.{d(2)}.{d(2)}", f'"{"".join(rng.choice("0123456789abcdef") for _ in range(32))}"',
+            f"{d(3)} {d(2)} {d(1)}", f"{word()} at {word()}", f"{d(2)}:{d(2)}", d(rng.randint(9, 12)), " ".join(year() for _ in range(rng.randint(2, 4))), f"{d(2)} {d(2)} {year()} {d(4)}",
+            ", ".join(d(rng.randint(1, 4)) for _ in range(rng.randint(3, 6))), " ".join(d(rng.randint(2, 4)) for _ in range(rng.randint(3, 5))), f"{d(2)}/{d(2)}/{year()} {d(2)}:{d(2)}:{d(2)}", f"{d(3)}.{d(2)} {d(4)}.{d(2)} {d(2)}",
+        ]
         bad = next(x for x in iter(lambda: d(16), "") if not luhn(x))
         good = next(x for x in iter(lambda: d(16), "") if luhn(x))
-        out += [(f"{word()} {word()} {none} {word()} {word()}", []), (f"{word()} {bad} {word()}", []), (f"{word()} {good} {word()}", [(2, good)])]
+        out += [(f"{word()} {word()} {none} {word()} {word()}", []) for none in rng.sample(nones, 4)]
+        out += [(f"{word()} {bad} {word()}", []), (f"{word()} {good} {word()}", [(2, good)])]
+    return out
+
+
+def placed(line: str, entities: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
+    """The spans of a line of :func:`variants`."""
+    out, at = [], 0
+    for kind, text in entities:
+        at = line.index(text, at)
+        out.append((kind, at, at + len(text)))
+        at += len(text)
     return out
 
 
@@ -302,13 +332,37 @@ def _labelled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[Window
     return out
 
 
+def _window_lines(most: int):
+    """``h, k, line, spans`` of the first windows of each text, from ``h, text``: all that the fit needs of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                base = base_spans(text)
+                for k, w in zip(range(most), windows(text), strict=False):
+                    at, end = w.cores[0][0], w.cores[-1][1]
+                    rows.append((h, k, text[at:end], [[kind, x - at, y - at] for kind, x, y in base if x < end and at < y]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, _LINE.types, strict=True)], schema=_LINE)
+
+    return run
+
+
+_LINE = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("line", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))])
+
+
 def fit(docs: DataFrame, most_docs: int = 300, most_windows: int = 400) -> SemiCrf:
-    """A CRF from windows of a bounded sample of documents, under the base's spans, and from generated variants."""
-    sample = docs.where(F.col("text").isNotNull() & F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("text").orderBy(F.xxhash64("text"), "text").limit(most_docs)
-    examples = [e for r in sample.collect() for e in _labelled(r.text, base_spans(r.text))][:most_windows]
+    """A CRF from windows of a bounded sample of distinct texts, under the base's spans, and from generated variants.
+
+    Hashes of texts are drawn first, then the windows of the texts that have
+    them, so the driver gets ``most_docs`` numbers and ``most_windows`` lines.
+    """
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    chosen = [r.h for r in some.select("h").distinct().orderBy("h").limit(most_docs).collect()]
+    lines = some.where(F.col("h").isin(chosen)).transform(in_arrow, _window_lines(most_windows), "h long, k int, line string, spans array<array<int>>").dropDuplicates(["h", "k"]).orderBy("h", "k").limit(most_windows)
+    examples = [e for r in lines.collect() for e in _labelled(r.line, [tuple(x) for x in r.spans])] if chosen else []
     for line, entities in variants():
-        spans = [(k, line.index(t), line.index(t) + len(t)) for k, t in entities]
-        examples += _labelled(line, spans)
+        examples += _labelled(line, placed(line, entities))
     return SemiCrf().train(examples)
 
 

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,7 +50,7 @@ def test_crf_learns_variants_and_leaves_look_alikes(corpus):
 def test_decoding_is_the_best_of_all_segmentations():
     import itertools
 
-    crf = pii.SemiCrf().train([e for line, found in pii.variants(each=20) for e in pii._labelled(line, [(k, line.index(t), line.index(t) + len(t)) for k, t in found])])
+    crf = pii.SemiCrf().train([e for line, found in pii.variants(each=20) for e in pii._labelled(line, pii.placed(line, found))])
     for line, _ in pii.variants(seed=77, each=4):
         for w in pii.windows(line):
             n, segs, best = len(w.shapes), w.segments(), None
@@ -65,6 +67,63 @@ def test_decoding_is_the_best_of_all_segmentations():
             assert abs(mine - best) < 1e-9
 
 
+@pytest.fixture(scope="module")
+def crf(spark):
+    return pii.fit(spark.createDataFrame([], "doc_id long, text string"))
+
+
+def number_like(rng):
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    return rng.choice([d(4), f"({d(3)})", f"{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", d(10), f"+1 ({d(3)}) {d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(1)};", "or"])
+
+
+def test_spans_never_overlap_in_long_runs(crf):
+    rng = random.Random(4)
+    for _ in range(300):
+        text = " ".join(number_like(rng) for _ in range(rng.randint(45, 140)))
+        base = pii.base_spans(text)
+        found = pii.all_spans(text, base, crf)
+        added = sorted((a, b) for k, a, b in found if (k, a, b) not in base)
+        assert set(base) <= set(found) and all(x[1] <= y[0] for x, y in zip(added, added[1:], strict=False))
+        assert not any(a < y and x < b for a, b in added for _, x, y in base)
+
+
+def test_results_do_not_depend_on_what_was_read_before(crf):
+    rng = random.Random(5)
+    texts = ["x on 57; 7781. 4932. 742. 8477; now ok", "x on 57, 7781, 4932, 742, 8477, now ok"]
+    texts += [" ".join(number_like(rng) + rng.choice(["", ",", ";", "."]) for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    fresh = {t: pii.all_spans(t, pii.base_spans(t), pii.SemiCrf(crf.weights)) for t in texts}
+    for order in (texts, texts[::-1]):
+        model = pii.SemiCrf(crf.weights)
+        assert all(pii.all_spans(t, pii.base_spans(t), model) == fresh[t] for t in order)
+
+
+def test_added_spans_on_held_out_lines(crf):
+    """Precision and recall of what the method adds, on lines of another seed; and plain look-alikes."""
+    right = wrong = missed = 0
+    for line, entities in pii.variants(seed=1234, each=60):
+        base = pii.base_spans(line)
+        added = {x for x in pii.all_spans(line, base, crf) if x not in base}
+        want = {x for x in pii.placed(line, entities) if x not in base and not any(x[1] < b and a < x[2] for _, a, b in base)}
+        right, wrong, missed = right + len(added & want), wrong + len(added - want), missed + len(want - added)
+    print(right, wrong, missed)
+    assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + missed)
+    for text in ("born 12 05 1980 1234 in town", "order 1234567890 shipped today", "in 2001 2002 2003 it rained"):
+        assert pii.all_spans(text, pii.base_spans(text), crf) == []
+
+
+def test_query_spans_are_those_of_each_text(spark, crf, odd_docs, corpus):
+    lines = [(k, line + "\n" + " ".join(x for x, _ in pii.variants(seed=k, each=1))) for k, (line, _) in enumerate(pii.variants(seed=5, each=3))]
+    for docs in (spark.createDataFrame(lines, "doc_id long, text string"), odd_docs, corpus):
+        want = sorted((str(r.doc_id), ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.all_spans(r.text or "", pii.base_spans(r.text or ""), pii.SemiCrf(crf.weights)))) for r in docs.select("doc_id", "text").collect())
+        assert sorted((str(r.doc_id), r.spans) for r in pii.find(docs, crf).collect()) == want
+
+
+def test_fit_reads_windows_of_a_bounded_sample(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 7} with 10.0.0.{k % 7} and a@b{k % 7}.org " + "many words " * 3000 + "+1 (131) 555-7634 x") for k in range(60)], "doc_id long, text string")
+    assert pii.fit(docs, most_docs=3, most_windows=4).weights
+
+
 def test_query_columns(odd_docs, no_docs):
     crf = pii.SemiCrf()
     rows = pii.find(odd_docs, crf).collect()
