@@ -12,13 +12,17 @@ which rises up to the right k and falls after it, so the level is the largest.
 
 A source then takes each document ``target div words`` times, and what is left
 over from a seeded sample: documents in the order of a keyed hash of their id,
-until the words are used up; the document at the border gives a part. Border
-and hash order are found through sums over ``16^digits`` hash buckets, so no
-task sees a whole source, and the documents join a table of one row per source.
-
-Nulls count as empty texts; a source without words has target 0. Repeated rows
-of one id share what the border gives, each rounded down. An empty table gives
-an empty result. Extra columns are not read. DataFrame functions only.
+until the words are used up; the document at the border gives a part. The
+border is found digit by digit: sums over 256 buckets of the hash for each
+source, combined before the shuffle, name the bucket that the border lies in,
+and only its documents are summed again by the next digits. So no task sees
+more than 256 rows of a source, and the documents join a table of one row per
+source.
+
+Nulls count as empty texts; a source without words has target 0. Very long
+texts are counted whole. Repeated rows of one id share what the border gives,
+each rounded down. An empty table gives an empty result. Extra columns are not
+read. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, written
+from tessera.llm.common import WORD, discard, written
 
-BUCKET_ROWS = 512
+#: Hexadecimal digits of the hash that one step looks at.
+DIGITS = 2
 
 
 def size_of(text: Column) -> Column:
@@ -46,14 +51,25 @@ def _keyed(docs: DataFrame, seed: int, whole: bool = False) -> DataFrame:
     )
 
 
-def plan(sized: DataFrame, cap: int = 3, cycle: int = 3, digits: int = 2) -> DataFrame:
+def _buckets(rows: DataFrame, digits: int) -> DataFrame:
+    """Words of each source by the first ``digits`` of the hash, and whether there is one hash only."""
+    return rows.groupBy("_key", F.substring("_place", 1, digits).alias("bucket")).agg(F.sum("_size").alias("bucket_size"), F.min("_place").alias("low"), F.max("_place").alias("high"))
+
+
+def _border(buckets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bucket of each source in which ``wanted(_key, left_over)`` words are reached, and how many of it are left over."""
+    upto = F.sum("bucket_size").over(W.partitionBy("_key").orderBy("bucket"))
+    reached = buckets.withColumn("upto", upto).join(wanted, "_key").where("upto - bucket_size < left_over AND left_over <= upto")
+    return reached.select("_key", "bucket", "low", "high", "bucket_size", (F.col("left_over") - F.col("upto") + F.col("bucket_size")).alias("left_over"))
+
+
+def plan(sized: DataFrame, cap: int = 3, cycle: int = 3, digits: int = DIGITS) -> DataFrame:
     """One row per source: ``_key, source_size, target, whole, cut_place, cut_words, cut_size``.
 
     ``sized`` has ``_key, _size, _place``. The windows without a partition are
     over one row per source.
     """
-    bucket = F.substring("_place", 1, digits) if digits else F.lit("")
-    buckets = sized.groupBy("_key", bucket.alias("bucket")).agg(F.sum("_size").alias("bucket_size"))
+    buckets = written(_buckets(sized, digits), "buckets")
     sources = buckets.groupBy("_key").agg(F.sum("bucket_size").alias("source_size"))
     sources = sources.withColumn("weight", (F.row_number().over(W.orderBy("_key")) - 1) % cycle + 1)
     rising = W.orderBy((cap * F.col("source_size")).cast("double") / F.col("weight"), "_key")
@@ -63,42 +79,40 @@ def plan(sized: DataFrame, cap: int = 3, cycle: int = 3, digits: int = 2) -> Dat
     sources = sources.withColumn("target", F.round(F.least((cap * F.col("source_size")).cast("double"), F.col("level") * F.col("weight")), 6))
     words = F.floor(F.col("target") + 0.5)
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = sources.withColumn("extra", (words - F.col("whole") * F.col("source_size")).cast("long")).drop("weight", "at", "level")
-
-    upto = F.sum("bucket_size").over(W.partitionBy("_key").orderBy("bucket"))
-    border = buckets.withColumn("upto", upto).join(sources.select("_key", "extra"), "_key").where("upto - bucket_size < extra AND extra <= upto")
-    border = border.select("_key", "bucket", (F.col("extra") - F.col("upto") + F.col("bucket_size")).alias("left_over"))
-    inside = sized.withColumn("bucket", bucket).join(border, ["_key", "bucket"]).groupBy("_key", "_place").agg(F.sum("_size").alias("cut_size"), F.first("left_over").alias("left_over"))
-    reached = F.sum("cut_size").over(W.partitionBy("_key").orderBy("_place"))
-    cut = inside.withColumn("reached", reached).where("reached - cut_size < left_over AND left_over <= reached")
-    cut = cut.select("_key", F.col("_place").alias("cut_place"), (F.col("left_over") - F.col("reached") + F.col("cut_size")).alias("cut_words"), "cut_size")
-    return sources.join(cut, "_key", "left")
-
-
-def _digits(docs: DataFrame, bucket_rows: int) -> int:
-    n, digits = docs.count(), 0
-    while n > bucket_rows * 16**digits and digits < 12:
-        digits += 1
-    return digits
+    sources = written(sources.withColumn("extra", (words - F.col("whole") * F.col("source_size")).cast("long")).drop("weight", "at", "level"), "shares")
+
+    at, border = digits, written(_border(buckets, sources.select("_key", F.col("extra").alias("left_over"))), "border")
+    steps = [border]
+    while not (open_ones := border.where("low <> high")).isEmpty():
+        inside = _by_source(sized, open_ones.select("_key", "bucket", "left_over")).where(F.substring("_place", 1, at) == F.col("bucket"))
+        at += digits
+        border = written(_border(_buckets(inside, at), open_ones.select("_key", "left_over")), "border")
+        steps.append(border)
+    cut = steps[0].where("low = high")
+    for step in steps[1:]:
+        cut = cut.unionByName(step.where("low = high"))
+    cut = cut.select("_key", F.col("low").alias("cut_place"), F.col("left_over").alias("cut_words"), F.col("bucket_size").alias("cut_size"))
+    out = written(sources.join(cut, "_key", "left"), "sources")
+    discard(buckets, sources, *steps)
+    return out
 
 
 _EXTRA = "CASE WHEN cut_place IS NULL OR _place > cut_place THEN 0L WHEN _place < cut_place THEN _size ELSE (cut_words * _size) div cut_size END"
 
 
 def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``rows`` with their source's plan: broadcast up to a counted 20,000 sources, else a join that Spark may split."""
-    sources = written(sources, "sources")
+    """``rows`` with what is known of their source: broadcast up to a counted 20,000 sources, else a join that Spark may split."""
     return rows.join(F.broadcast(sources) if sources.count() <= 20_000 else sources, "_key")
 
 
-def mix(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, cap: int = 3, seed: int = 20, digits: int = DIGITS) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``."""
     sized = written(_keyed(docs, seed), "sized")
-    sources = plan(sized, cap, digits=_digits(sized, bucket_rows))
+    sources = plan(sized, cap, digits=digits)
     return _by_source(sized, sources).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") * F.col("_size") + F.expr(_EXTRA)).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 20, digits: int = DIGITS) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``.
 
     The document at a source's border appears once with its first words only,
@@ -106,7 +120,8 @@ def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 20, bucket_rows:
     """
     keyed = _keyed(docs, seed, whole=True)
     sized = written(keyed.select("_key", "_size", "_place"), "sized")
-    sources = plan(sized, cap, digits=_digits(sized, bucket_rows))
+    sources = plan(sized, cap, digits=digits)
+    discard(sized)
     rows = _by_source(keyed, sources).select("_doc", "_size", "whole", F.expr(_EXTRA).alias("extra")).where("whole > 0 OR extra > 0")
     copies = F.col("whole").cast("int") + (F.col("extra") > 0).cast("int")
     out = rows.select("_doc", "whole", "extra", "_size", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))

@@ -25,18 +25,18 @@ def targets(sizes, cap=3):
             free.remove(s)
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 30, 4096])
-def test_targets_and_taken(corpus, odd_docs, bucket_rows):
+@pytest.mark.parametrize("digits", [1, 2, 5])
+def test_targets_and_taken(corpus, odd_docs, digits):
     for docs in (corpus, odd_docs):
         source = docs.select("doc_id", "source", "text").collect()
         sizes = defaultdict(int)
         for r in source:
             sizes[r.source] += SIZE(r.text)
         want = targets(sizes)
-        got = mix(docs, bucket_rows=bucket_rows).collect()
+        got = mix(docs, digits=digits).collect()
         assert Counter((r.doc_id, r.size, r.source_size, round(r.target, 3)) for r in got) == Counter((r.doc_id, SIZE(r.text), sizes[r.source], round(want[r.source], 3)) for r in source)
         assert all(0 <= r.taken <= 3 * r.size for r in got)
-        assert Counter(map(tuple, got)) == Counter(map(tuple, mix(docs, bucket_rows=4096).collect()))
+        assert Counter(map(tuple, got)) == Counter(map(tuple, mix(docs).collect()))
 
 
 def test_taken_words_meet_the_target(corpus):
