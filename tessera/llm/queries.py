@@ -24,9 +24,9 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.url_filter import LISTED, RULES, judge, listing
+    from tessera.llm.url_filter import RULES, judge, link_farms, listing
 
-    return judge(table(spark, sf_dir, "pages"), listing(spark, RULES, LISTED))
+    return judge(table(spark, sf_dir, "pages"), listing(spark, RULES, link_farms()))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
