@@ -55,12 +55,29 @@ BATCH = "8m"
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded bytes: a batch counts rows by default, and texts can be long.
 
-    The bound is a setting of the session, made only where it is unset.
+    The bound is a setting of the session, made only where it is unset. When a
+    task ends its free memory goes back to the system.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key, None) is None:
         conf.set(key, BATCH)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a worker may idle beside others for a while."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # not glibc
 
 
 def whole_text(name: str = "text") -> Column:

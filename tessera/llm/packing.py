@@ -147,7 +147,6 @@ def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
                     full.append([crc(ids[i : i + window]) for i in range(0, whole, window)])
                     rest.append(ids[whole:].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["doc_id", "n", "full", "rest"])
-        pa.default_memory_pool().release_unused()  # a worker may idle beside others for a while
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, n long, full array<long>, rest binary")
