@@ -33,10 +33,12 @@ harmless.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,9 @@ _ODD = "\x85\xa0  -     　"
 ODD_SPACE = re.compile(f"[{_ODD}]")
 BLANKS = re.compile(f"[ \t-\r{_ODD}]*")
 ODD_SEGMENT = re.compile(f"[ \t-\r{_ODD}]*[^ \t-\r{_ODD}]+|[ \t-\r{_ODD}]+")
-#: A line end or blank, Latin letters, and a final mark, which is a word of its own.
-PLAIN = re.compile("(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,]?)")
-MEMO_ENTRIES, MEMO_BYTES, MEMO_PAIRS, SHORT, BLOCK = 400_000, 48, 500_000, 64, 256
+#: A line end or blank, Latin letters up to U+024F, and final marks, which are a word of their own; in UTF-8.
+PLAIN = re.compile(rb"(\n?)( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-/:-@\[-`{-~]*)").fullmatch
+MEMO_ENTRIES, MEMO_BYTES, MEMO_PAIRS, SHORT, BLOCK = 250_000, 48, 500_000, 64, 256
 
 _loaded: dict[str, PrefixCosts] = {}
 
@@ -75,11 +77,17 @@ class Merges:
         data = lambda token: bytes(alphabet[c] for c in token)
         self.ids = {data(t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
         self.longest = max(map(len, self.ids))
+        #: Every end of a token, with the token's number or -1.
+        self.ended = {t[k:]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
         self.bytes_of = {i: t for t, i in self.ids.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(self.ids[data(a)], self.ids[data(b)]): rank for rank, (a, b) in enumerate(pairs)}
         self.merged = {(a, b): self.ids[self.bytes_of[a] + self.bytes_of[b]] for a, b in self.ranks}
+        self.parts = {t: pair for pair, t in self.merged.items()}
+        #: Whether numbers follow the order of merges, so that a larger token was made later.
+        self.in_order = list(self.merged.values()) == sorted(set(self.merged.values())) and min(self.parts, default=0) > max((i for t, i in self.ids.items() if len(t) == 1), default=-1)
         self.pairs: dict[int, bool] = {}
+        self.word, self.count, self.last, self.step = b"", [0], [-1], []
 
     def encode(self, word: bytes) -> list[int]:
         """The merges as they are defined, for short words."""
@@ -91,37 +99,82 @@ class Merges:
             parts[at : at + 2] = [self.merged[parts[at], parts[at + 1]]]
         return parts
 
-    def _apart(self, key: int, before: int, token: int) -> bool:
-        """Whether merges leave two tokens as they are; ``before`` is -1 at the start of a word."""
-        if len(self.pairs) > MEMO_PAIRS:
-            self.pairs.clear()
+    def _stands(self, before: int, token: int) -> bool:
+        """Whether merges leave two tokens as they are; ``before`` is -1 at the start of a word.
+
+        The merges are undone from the last one on: what then stands on either
+        side of the border must not be merged before it was used up.
+        """
         if before < 0:
-            found = self.encode(self.bytes_of[token]) == [token]
-        else:
-            found = self.encode(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
-        self.pairs[key] = found
-        return found
+            return self.encode(self.bytes_of[token]) == [token]
+        if not self.in_order:
+            return self.encode(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+        until = 1 << 60
+        while True:
+            if self.merged.get((before, token), until) < until:
+                return False
+            if before > token:
+                if before not in self.parts:
+                    return True
+                until, before = before, self.parts[before][1]
+            else:
+                if token not in self.parts:
+                    return True
+                until, token = token + 1, self.parts[token][0]  # of equal merges the left one comes first
+
+    def _read(self, word: bytes) -> None:
+        """``count``, ``last`` and ``step`` of a word, for each of its bytes.
+
+        What the word before has in common with this one is kept: sorted words
+        are read from where they part.
+        """
+        ended, pairs, count, last, step = self.ended.get, self.pairs, self.count, self.last, self.step
+        if len(pairs) > MEMO_PAIRS:
+            pairs.clear()
+        same = 0
+        for a, b in zip(word, self.word, strict=False):
+            if a != b:
+                break
+            same += 1
+        del count[same + 1 :], last[same + 1 :], step[same:]
+        for i in range(same + 1, len(word) + 1):
+            here = []
+            j = i - 1
+            while j >= 0 and (token := ended(word[j:i])) is not None:
+                if token >= 0:
+                    here.append((j, token))
+                j -= 1
+            while True:
+                j, token = here.pop()
+                key = (last[j] << 24) + token
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = pairs[key] = self._stands(last[j], token)
+                if fits:
+                    n = count[j] + 1
+                    step.append((n - count[-1]) & 255)
+                    count.append(n)
+                    last.append(token)
+                    break
+        self.word = word
 
     def prefixes(self, word: bytes) -> list[int]:
         """Tokens of ``word[:i]`` for each ``i`` from 0 on."""
-        ids, pairs, longest = self.ids, self.pairs, self.longest
-        count, last = [0], [-1]
-        for i in range(1, len(word) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                token = ids.get(word[j:i])
-                if token is not None:
-                    before = last[j]
-                    key = (before << 24) + token
-                    fits = pairs.get(key)
-                    if fits or (fits is None and self._apart(key, before, token)):
-                        count.append(count[j] + 1)
-                        last.append(token)
-                        break
-        return count
+        self._read(word)
+        return list(self.count)
+
+    def steps(self, word: bytes) -> bytes:
+        """What each character adds to them, in one signed byte."""
+        self._read(word)
+        if word.isascii():
+            return bytes(self.step)
+        ends = [k for k in range(1, len(word)) if word[k] & 0xC0 != 0x80]
+        return _steps([self.count[k] for k in (0, *ends, len(word))])
 
 
 def _steps(counts: list[int]) -> bytes:
-    return np.diff(np.array(counts, np.int64)).astype(np.int8).tobytes()
+    """Differences in one signed byte each."""
+    return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
 
 class PrefixCosts:
@@ -138,7 +191,9 @@ class PrefixCosts:
         if self.merges.longest > 128:
             raise ValueError("tokens of more than 128 bytes: a step may not fit in one byte")
         self.added = re.compile("(" + "|".join(re.escape(t.content) for t in self.encoder.get_added_tokens_decoder().values()) + ")")
+        #: What was used lately, and what was before that.
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> PrefixCosts:
@@ -184,41 +239,68 @@ class PrefixCosts:
             at += len(chunk)
         return counts
 
+    def _remember(self, found: dict[bytes, bytes]) -> None:
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo, self.older = {}, self.memo
+        self.memo.update((k, v) for k, v in found.items() if len(k) <= MEMO_BYTES)
+
+    def _pieces(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Steps of words of one kind of characters each, those that are not remembered in sorted order."""
+        memo, older, out, new = self.memo, self.older, {b"": b""}, []
+        for word in words:
+            steps = memo.get(word) or older.get(word)
+            if steps is None:
+                new.append(word)
+            else:
+                out[word] = steps
+        new.sort()
+        out.update(zip(new, map(self.merges.steps, new), strict=True))
+        return out
+
     def learn(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        """Steps of segments; new words without their final marks are counted once."""
-        memo, out, words, whole = self.memo, {}, {}, []
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        """Steps of segments; words without their final marks are counted once."""
+        out, plain, whole, pieces, older = {}, [], [], {b""}, self.older
         for seg in wanted:
+            steps = older.get(seg)
+            if steps is not None:
+                out[seg] = steps
+                continue
+            found = PLAIN(seg)
+            if found:
+                line, word, marks = parts = found.groups()
+                if not (line and word[0] == 32):
+                    plain.append((seg, parts))
+                    pieces.add(word)
+                    pieces.add(marks)
+                    continue
             text = seg.decode("utf-8", "replace")
-            plain = PLAIN.fullmatch(text)
-            if plain and not (plain[1] and plain[2][0] == " "):
-                stem = plain[2].encode()
-                steps = memo.get(stem) or words.get(stem)
-                if steps is None:
-                    steps = words[stem] = _steps(self._word(plain[2]))
-                out[seg] = b"\1" * len(plain[1]) + steps + b"\1" * len(plain[3])
-            elif len(text) > SHORT:
+            if len(text) > SHORT:
                 out[seg] = _steps(self._long(text))
             else:
                 whole.append((seg, text))
+        pieces.discard(b"")
+        words = self._pieces(pieces)
+        for seg, (line, word, marks) in plain:
+            out[seg] = (b"\1" + words[word] if line else words[word]) + words[marks]
         found = self.encoded([text[:j] for _, text in whole for j in range(1, len(text) + 1)])
         at = 0
         for seg, text in whole:
             out[seg] = _steps([0, *found[at : at + len(text)]])
             at += len(text)
-        for x in (words, out):
-            memo.update((k, v) for k, v in x.items() if len(k) <= MEMO_BYTES)
+        del words[b""]
+        self._remember(words | out)
         return out
 
     def steps(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The steps of all characters of the texts, one text after the other, and the characters of each text."""
         split = list(map(self.segments, texts))
-        flat = [s for segs in split for s in segs]
+        flat = list(chain.from_iterable(split))
         found = list(map(self.memo.get, flat))
-        if None in found:
-            extra = self.learn({s for s, x in zip(flat, found, strict=True) if x is None})
-            found = [extra[s] if x is None else x for s, x in zip(flat, found, strict=True)]
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            extra = self.learn({flat[k] for k in missing})
+            for k in missing:
+                found[k] = extra[flat[k]]
         upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         borders = np.concatenate([[0], np.cumsum([len(segs) for segs in split])]).astype(np.int64)
         return np.frombuffer(b"".join(found), np.int8), np.diff(upto[borders])
@@ -238,9 +320,11 @@ def prefix_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs = PrefixCosts.of(tokenizer_path)
+        gc.collect()
+        gc.freeze()  # the vocabulary need not be walked again; nothing here makes cycles
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 texts = utf8(part.column(1))
                 steps, chars = costs.steps(texts)
                 ends = np.cumsum(chars)
