@@ -47,14 +47,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import in_arrow, utf8
 
-SEGMENT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space beyond ASCII: fixed values of the Unicode standard.
 _ODD = "\x85\xa0  -     　"
 ODD_SPACE = re.compile(f"[{_ODD}]")
 BLANKS = re.compile(f"[ \t-\r{_ODD}]*")
 ODD_SEGMENT = re.compile(f"[ \t-\r{_ODD}]*[^ \t-\r{_ODD}]+|[ \t-\r{_ODD}]+")
-#: A line end or blank, Latin letters up to U+024F, and final marks, which are a word of their own; in UTF-8.
-PLAIN = re.compile(rb"(\n?)( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-/:-@\[-`{-~]*)").fullmatch
+#: In UTF-8: Latin letters up to U+024F, marks, white space.
+_LETTERS, _MARKS, _SPACE = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+", rb"[!-/:-@\[-`{-~]", rb"[ \t-\r]"
+_END = rb"(?=" + _SPACE + rb"|\Z)"
+#: A blank and letters up to white space or marks before it, such marks, or any segment.
+SEGMENT = re.compile(rb"(?<![ \t-\r]) " + _LETTERS + rb"(?:" + _END + rb"|(?=" + _MARKS + rb"+" + _END + rb"))|(?<=[A-Za-z\x80-\xbf])" + _MARKS + rb"+" + _END + rb"|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+WORD = re.compile(rb" " + _LETTERS + rb"|" + _MARKS + rb"+").fullmatch
+#: A segment of a line end, letters and final marks, which are a word of their own.
+PLAIN = re.compile(rb"(\n?)(" + _LETTERS + rb")(" + _MARKS + rb"*)").fullmatch
 MEMO_ENTRIES, MEMO_BYTES, MEMO_PAIRS, SHORT, BLOCK = 250_000, 48, 500_000, 64, 256
 
 _loaded: dict[str, PrefixCosts] = {}
@@ -239,56 +244,39 @@ class PrefixCosts:
             at += len(chunk)
         return counts
 
-    def _remember(self, found: dict[bytes, bytes]) -> None:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo, self.older = {}, self.memo
-        self.memo.update((k, v) for k, v in found.items() if len(k) <= MEMO_BYTES)
-
-    def _pieces(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Steps of words of one kind of characters each, those that are not remembered in sorted order."""
-        memo, older, out, new = self.memo, self.older, {b"": b""}, []
-        for word in words:
-            steps = memo.get(word) or older.get(word)
-            if steps is None:
-                new.append(word)
-            else:
-                out[word] = steps
-        new.sort()
-        out.update(zip(new, map(self.merges.steps, new), strict=True))
-        return out
-
     def learn(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        """Steps of segments; words without their final marks are counted once."""
-        out, plain, whole, pieces, older = {}, [], [], {b""}, self.older
+        """Steps of segments; new words are read in sorted order."""
+        memo, older, out, words, plain, whole = self.memo, self.older, {}, set(), [], []
         for seg in wanted:
             steps = older.get(seg)
             if steps is not None:
                 out[seg] = steps
-                continue
-            found = PLAIN(seg)
-            if found:
-                line, word, marks = parts = found.groups()
-                if not (line and word[0] == 32):
-                    plain.append((seg, parts))
-                    pieces.add(word)
-                    pieces.add(marks)
-                    continue
-            text = seg.decode("utf-8", "replace")
-            if len(text) > SHORT:
-                out[seg] = _steps(self._long(text))
+            elif WORD(seg):
+                words.add(seg)
+            elif found := PLAIN(seg):
+                line, *parts = found.groups()
+                plain.append((seg, line, parts))
+                words.update(parts)
             else:
-                whole.append((seg, text))
-        pieces.discard(b"")
-        words = self._pieces(pieces)
-        for seg, (line, word, marks) in plain:
-            out[seg] = (b"\1" + words[word] if line else words[word]) + words[marks]
+                text = seg.decode("utf-8", "replace")
+                if len(text) > SHORT:
+                    out[seg] = _steps(self._long(text))
+                else:
+                    whole.append((seg, text))
+        words = [w for w in words if w not in memo]
+        words.sort()
+        out.update(zip(words, map(self.merges.steps, words), strict=True))
+        for seg, line, parts in plain:
+            out[seg] = b"\1" * len(line) + b"".join([memo[w] if w in memo else out[w] for w in parts])
         found = self.encoded([text[:j] for _, text in whole for j in range(1, len(text) + 1)])
         at = 0
         for seg, text in whole:
             out[seg] = _steps([0, *found[at : at + len(text)]])
             at += len(text)
-        del words[b""]
-        self._remember(words | out)
+        out.pop(b"", None)
+        if len(memo) > MEMO_ENTRIES:
+            self.memo, self.older = {}, memo
+        self.memo.update((k, v) for k, v in out.items() if len(k) <= MEMO_BYTES)
         return out
 
     def steps(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
