@@ -1,25 +1,34 @@
 """Operator 1: packing by lexical retrieval over sharded BM25 indexes.
 
 Texts are encoded once, in the scan. A document's full windows are sequences of
-their own; what is left of it (fewer ids than a window) goes to a shard, dealt
-by a hash of the document. A shard of at most ``shard_docs`` remainders has an
-inverted index: for each id the documents that hold it with their BM25 weight.
-The longest unused remainder is the seed of a window; the index ranks unused
-neighbours by the seed's ``query_terms`` rarest ids, and those fill the window
-greedily, whole where they fit. Room that no neighbour fits is filled by the
-head of the best one, whose tail seeds the next window. So all windows of a
-shard but its last are full. A last window of a power of two stays as it is.
-
-Nulls count as empty texts, which have the end id alone. Repeated rows are
-packed as often as they occur; two rows of one id share a window only where a
-shard has nothing else. Null ids pass through. Extra columns are not read. An
-empty table gives no pieces. Rows are sorted within their shard, so a lost task
-packs the same windows again, as long as no two rows of one shard agree in id
-and text (such rows are alike).
+their own; what is left of it (fewer ids than a window) is indexed. How many
+remainders hold an id, and their mean length, are counted over all of them; a
+vocabulary is bounded, so these counts are what the driver sends to the tasks.
+
+Shards are lexically coherent: a remainder has a sketch, its three heaviest ids
+by frequency within it and rarity (ids of merged vocabularies run from common to
+rare), and remainders are range-partitioned by sketch, a frequent sketch by a
+hash as well, and cut into shards of ``shard_docs`` to twice as many. A shard
+has an inverted index: for each id the documents that hold it with their BM25
+weight. The longest unused remainder is the seed of a window; the index ranks
+all unused neighbours by all ids of the seed (or its ``query_terms`` rarest),
+and those fill the window greedily, whole where they fit. Room that no neighbour
+fits is filled by the head of the best one, whose tail seeds the next window. So
+all windows of a shard but its last are full. A last window of a power of two
+stays as it is. There is a task for at most 256 shards, however many rows.
+
+Nulls count as empty texts, which have the end id alone. Very long texts are
+full windows but for their end. Equally ranked neighbours come in the order of
+the shard. Repeated rows are packed as often as they occur; two rows of one id
+share a window only where a shard has nothing else. Null ids pass through. Extra
+columns are not read. An empty table gives no pieces. Rows are sorted within
+their task, so a lost task packs the same windows again, as long as no two rows
+agree in id and text (such rows are alike).
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,14 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_arrow
+from tessera.llm.common import in_arrow, written
 
 WINDOW = 2048
 SHARD_DOCS = 1024
-QUERY_TERMS = 48
-CANDIDATES = 64
+TASK_SHARDS = 256
+VOCABULARY = 1 << 16
 K1, B = 1.2, 0.75
-MEMO_WORDS, MEMO_BYTES = 500_000, 40
+MEMO_WORDS, MEMO_BYTES = 300_000, 40
 _MARKS = b".,!?;:*#$%&|"
 
 _loaded: dict[str, WordIds] = {}
@@ -62,9 +71,11 @@ class WordIds:
         vocabulary = self.encoder.get_vocab(with_added_tokens=True)
         if max(vocabulary.values()) > 0xFFFF:
             raise ValueError("ids of more than 16 bits")
-        self.ends = np.zeros(1 << 16, bool)
+        self.ends = np.zeros(VOCABULARY, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        #: What was used lately, and what was before that.
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -110,12 +121,22 @@ class WordIds:
         split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         distinct = split.flatten().dictionary_encode()
         words = distinct.dictionary.cast(pa.binary()).to_pylist()
-        got = list(map(self.memo.get, words))
-        if None in got:
-            extra = self.learn([w for w, x in zip(words, got, strict=True) if x is None])
-            got = [extra[w] if x is None else x for w, x in zip(words, got, strict=True)]
-        if len(self.memo) > MEMO_WORDS:  # what this column holds is kept: frequent words are among it
-            self.memo = {w: x for w, x in zip(words, got, strict=True) if len(w) <= MEMO_BYTES}
+        memo, older = self.memo, self.older
+        got = list(map(memo.get, words))
+        unknown = []
+        for k, x in enumerate(got):
+            if x is None:
+                got[k] = x = older.get(words[k])
+                if x is None:
+                    unknown.append(k)
+                else:
+                    memo[words[k]] = x
+        if unknown:
+            extra = self.learn([words[k] for k in unknown])
+            for k in unknown:
+                got[k] = extra[words[k]]
+        if len(memo) > MEMO_WORDS:
+            self.memo, self.older = {}, memo
         flat, size = np.frombuffer(b"".join(got), "<u2"), np.fromiter(map(len, got), np.int64, len(got)) // 2
         first, which = np.cumsum(size) - size, distinct.indices.to_numpy()
         sizes = size[which]
@@ -130,66 +151,127 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def sketch(terms: np.ndarray, tf: np.ndarray) -> int:
+    """The three heaviest ids of a remainder, in one number; the heaviest first."""
+    weight = tf / (tf + K1) * np.log(terms + 2.0)
+    top = terms[np.lexsort((-terms, -weight))[:3]].tolist() + [0, 0, 0]
+    return (top[0] << 32) + (top[1] << 16) + top[2]
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1) -> DataFrame:
-    """``doc_id, n, full, rest``: ids in all, checksums of the full windows, ids that are left. No shuffle."""
+    """``doc_id, n, full, rest, sketch``: ids in all, checksums of the full windows, ids that are left, and their sketch. No shuffle.
+
+    At the end of a task one row more, with a null ``n``, tells ``ids`` and in
+    how many remainders each was, ``held``, with the number of remainders and
+    of their ids in ``full``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = WordIds.of(tokenizer_path), np.array([end_id], "<u2")
+        gc.collect()
+        gc.freeze()  # the vocabulary need not be walked again; nothing here makes cycles
+        held, rests, tokens, types = np.zeros(VOCABULARY, np.int64), 0, 0, None
         for b in batches:
+            types = [b.column(0).type, pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                n, full, rest = [], [], []
+                n, full, rest, sketches = [], [], [], []
                 every, bounds = words.ids(part.column(1))
                 for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     ids = np.concatenate([every[first:last], end])
                     whole = len(ids) // window * window
                     n.append(len(ids))
                     full.append([crc(ids[i : i + window]) for i in range(0, whole, window)])
-                    rest.append(ids[whole:].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["doc_id", "n", "full", "rest"])
+                    left = ids[whole:]
+                    rest.append(left.tobytes())
+                    terms, tf = np.unique(left, return_counts=True)
+                    held[terms] += 1
+                    sketches.append(sketch(terms.astype(np.int64), tf))
+                    rests += len(left) > 0
+                    tokens += len(left)
+                none = pa.nulls(len(n))
+                yield pa.RecordBatch.from_arrays([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip([part.column(0), n, full, rest, sketches, none, none], types, strict=True)], ENCODED)
+        if types:
+            ids = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, [rests, tokens], b"", 0, ids.tolist(), held[ids].tolist()], types, strict=True)], ENCODED)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, n long, full array<long>, rest binary")
+    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, n long, full array<long>, rest binary, sketch long, ids array<int>, held array<long>")
+
+
+ENCODED = ["doc_id", "n", "full", "rest", "sketch", "ids", "held"]
+
+
+def statistics(rows: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Rows of all remainders, their mean length, and the rarity (idf) of each id among them; a vocabulary's worth of rows reaches the driver."""
+    told = rows.where("n IS NULL")
+    total = told.agg(F.sum(F.col("full")[0]).alias("n"), F.sum(F.col("full")[1]).alias("tokens")).first()
+    n = total.n or 0
+    held = np.zeros(VOCABULARY)
+    for r in told.select(F.inline(F.arrays_zip("ids", "held"))).groupBy("ids").agg(F.sum("held").alias("held")).collect():
+        held[r.ids] = r.held
+    return n, (total.tokens or 0) / max(n, 1), np.log1p((n - held + 0.5) / (held + 0.5))
 
 
 class Index:
-    """BM25 postings of one shard."""
+    """BM25 postings of one shard, by the rarity of ids and the mean length in the whole corpus."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
-        self.n = len(docs)
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
+        self.n, self.idf = len(docs), idf
         lengths = np.array([len(d) for d in docs], float)
         owner = np.repeat(np.arange(self.n), [len(d) for d in docs])
         pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * self.n + owner, return_counts=True)
         term, self.doc = pair // self.n, pair % self.n
-        self.at = np.searchsorted(term, np.arange((1 << 16) + 1))
-        self.df = np.diff(self.at)
-        self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1e-9))
-        self.weight = self.idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-
-    def neighbours(self, ids: np.ndarray, used: np.ndarray, terms: int, most: int) -> np.ndarray:
-        """Unused documents that share a term with ``ids``, best first; ties by place."""
+        self.at = np.searchsorted(term, np.arange(VOCABULARY + 1))
+        norm = K1 * (1 - B + B * lengths / max(mean, 1e-9))
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        # Ids that many documents of the shard hold have a whole row of weights.
+        many = np.flatnonzero(np.diff(self.at) > max(16, self.n // 8))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), self.n))
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], self.doc[dense]] = self.weight[dense]
+
+    def neighbours(self, ids: np.ndarray, used: np.ndarray, terms: int | None = None) -> np.ndarray:
+        """All unused documents that share an id with ``ids`` (or with its ``terms`` rarest), best first; ties by place."""
         q = np.unique(ids)
-        q = q[self.df[q] > 1]
-        if len(q) > terms:
-            q = q[np.argpartition(self.df[q], terms)[:terms]]
-        if not len(q):
-            return q
-        spans = [slice(self.at[t], self.at[t + 1]) for t in q.tolist()]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        if terms is not None and len(q) > terms:
+            q = q[np.lexsort((q, -self.idf[q]))[:terms]]
+        row = self.row[q]
+        score = self.rows[row[row >= 0]].sum(0)
+        spans = [slice(a, b) for a, b in zip(self.at[q[row < 0]].tolist(), self.at[q[row < 0] + 1].tolist(), strict=True) if b - a > 1]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[used] = 0
-        top = np.argpartition(-score, most)[:most] if most < self.n else np.arange(self.n)
-        top = top[np.lexsort((top, -score[top]))]
-        return top[score[top] > 0]
-
-
-def pack_shard(ids: list, rests: list[np.ndarray], window: int, query_terms: int, candidates: int) -> Iterator[list[tuple[int, int, int]]]:
+        found = np.flatnonzero(score)
+        return found[np.argsort(-score[found], kind="stable")]
+
+
+def _filled(ranked: np.ndarray, room: int, lengths: np.ndarray, codes: np.ndarray, have: set[int]) -> tuple[list[int], int, np.ndarray]:
+    """The documents of ``ranked`` that are taken whole, one after the other as they fit; the room left; and the others, best first."""
+    taken, others = [], ranked[~np.isin(codes[ranked], list(have))]
+    while room:
+        fits = np.flatnonzero(lengths[others] <= room)
+        if not len(fits):
+            break
+        d = int(others[fits[0]])
+        taken.append(d)
+        room -= int(lengths[d])
+        have.add(int(codes[d]))
+        others = others[codes[others] != codes[d]]
+    return taken, room, others
+
+
+def pack_shard(ids: list, rests: list[np.ndarray], window: int, idf: np.ndarray, mean: float, query_terms: int | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, first id, ids) over the remainders of a shard."""
     lengths = np.array([len(r) for r in rests])
     used = lengths == 0
     if used.all():
         return
-    index = Index(rests)
+    index = Index(rests, idf, mean)
+    known: dict = {}
+    codes = np.array([known.setdefault(x, len(known)) for x in ids])
     order = np.lexsort((np.arange(len(rests)), -lengths))
     next_seed, carry = 0, None
     spare = len(order) - 1  # shortest first, where the index has nothing to offer
@@ -203,22 +285,11 @@ def pack_shard(ids: list, rests: list[np.ndarray], window: int, query_terms: int
             used[carry[0]] = True
         seed, start = carry
         pieces, room, carry = [(seed, start, int(lengths[seed] - start))], window - int(lengths[seed] - start), None
-        have = {ids[seed]}
         if room:
-            ranked = index.neighbours(rests[seed], used, query_terms, candidates)
-            partial = None
-            for d in ranked.tolist():
-                if ids[d] in have:
-                    continue
-                if lengths[d] <= room:
-                    pieces.append((d, 0, int(lengths[d])))
-                    room -= int(lengths[d])
-                    used[d] = True
-                    have.add(ids[d])
-                    if not room:
-                        break
-                elif partial is None:
-                    partial = d
+            taken, room, others = _filled(index.neighbours(rests[seed], used, query_terms), room, lengths, codes, {int(codes[seed])})
+            pieces += [(d, 0, int(lengths[d])) for d in taken]
+            used[taken] = True
+            partial = int(others[0]) if room and len(others) else None
             if room and partial is None:
                 while spare >= 0 and room:
                     d = int(order[spare])
@@ -241,45 +312,48 @@ def pack_shard(ids: list, rests: list[np.ndarray], window: int, query_terms: int
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, shard_docs: int = SHARD_DOCS, query_terms: int = QUERY_TERMS, candidates: int = CANDIDATES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, shard_docs: int = SHARD_DOCS, query_terms: int | None = None) -> DataFrame:
     """One row per piece: the columns of :data:`PIECES`. One shuffle, of the remainders' ids."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    rows = encoded(docs, tokenizer_path, window, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "rest"), F.lit(shards)))
-    parts = min(shards, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(encoded(docs, tokenizer_path, window, end_id), "encoded")
+    n, mean, idf = statistics(rows)
+    shards = -(-rows.where("n IS NOT NULL").count() // shard_docs)
+    parts = max(1, min(shards, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(shard: int, first: int, block: list[tuple]) -> tuple[pa.RecordBatch, int]:
-            """The pieces of one block of a shard's rows; sequences are numbered from ``first`` within the shard."""
-            out, number = [], (shard << 32) + first
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+
+        def packed(number: int, block: list[tuple]) -> tuple[pa.RecordBatch, int]:
+            """The pieces of one shard; sequences are numbered from ``number`` on."""
+            out = []
             for doc, n, full, _ in block:
                 for k, c in enumerate(full):
-                    out.append((doc, k * window, window, c, n, number, 0))
+                    out.append((doc, k * window, window, c, n, first + number, 0))
                     number += 1
             rests = [np.frombuffer(r[3], "<u2") for r in block]
-            for pieces in pack_shard([r[0] for r in block], rests, window, query_terms, candidates):
+            for pieces in pack_shard([r[0] for r in block], rests, window, idf, mean, query_terms):
                 offset = 0
                 for d, start, length in pieces:
                     n = block[d][1]
-                    out.append((block[d][0], n // window * window + start, length, crc(rests[d][start : start + length]), n, number, offset))
+                    out.append((block[d][0], n // window * window + start, length, crc(rests[d][start : start + length]), n, first + number, offset))
                     offset += length
                 number += 1
             arrays = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, PIECES), number - (shard << 32)
+            return pa.RecordBatch.from_arrays(arrays, PIECES), number
 
-        types, shard, first, block = None, None, 0, []
+        types, number, block = None, 0, []
         for b in batches:
-            types = [b.schema.field("doc_id").type, *[pa.int64()] * 6]
-            for s, *row in zip(*(b.column(k).to_pylist() for k in ("shard", "doc_id", "n", "full", "rest")), strict=True):
-                if block and (s != shard or len(block) >= 2 * shard_docs):
-                    batch, first = packed(shard, first, block)
-                    yield batch
-                    block = []
-                if s != shard:
-                    shard, first = s, 0
-                block.append(tuple(row))
+            types = [b.column(0).type, *[pa.int64()] * 6]
+            block += zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+            while len(block) >= 2 * shard_docs:
+                batch, number = packed(number, block[:shard_docs])
+                block = block[shard_docs:]
+                yield batch
         if block:
-            yield packed(shard, first, block)[0]
+            yield packed(number, block)[0]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "n", F.crc32("rest"))
-    return dealt.transform(in_arrow, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    place = F.xxhash64("doc_id", "n", "rest")
+    dealt = rows.where("n IS NOT NULL").withColumn("place", place).repartitionByRange(parts, "sketch", "place").sortWithinPartitions("sketch", "place", "doc_id", "n", F.crc32("rest"))
+    return dealt.select("doc_id", "n", "full", "rest").transform(in_arrow, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

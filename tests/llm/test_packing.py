@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.packing import Index, WordIds, pack, pack_shard
+from tessera.llm.common import written
+from tessera.llm.packing import VOCABULARY, Index, WordIds, encoded, pack, pack_shard, statistics
 from tessera.llm.queries import tokenizer
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -65,28 +66,70 @@ def test_pack_odd_rows(odd_docs, no_docs):
     assert pack(no_docs, PATH).count() == 0
 
 
-def test_neighbours_are_ranked_as_by_brute_force():
-    rng = np.random.default_rng(3)
-    docs = [rng.integers(10, 60, rng.integers(5, 40)).astype(np.uint16) for _ in range(50)]
-    index, k1, b = Index(docs), 1.2, 0.75
-    mean = np.mean([len(d) for d in docs])
-    q = set(docs[0].tolist())
+def bm25(docs, q, idf, mean, k1=1.2, b=0.75):
     scores = []
     for d in docs:
-        s = 0.0
-        for t in q:
-            df, tf = sum(t in x for x in docs), int((d == t).sum())
-            if df > 1:
-                s += np.log1p((50 - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(d) / mean))
-        scores.append(s)
-    used = np.zeros(50, bool)
+        tf = {t: int((d == t).sum()) for t in set(q.tolist())}
+        scores.append(sum(idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(d) / mean)) for t, n in tf.items() if n))
+    return np.array(scores)
+
+
+def rarity(docs):
+    held = np.zeros(VOCABULARY)
+    for d in docs:
+        held[np.unique(d)] += 1
+    return np.log1p((len(docs) - held + 0.5) / (held + 0.5)), np.mean([len(d) for d in docs])
+
+
+@pytest.mark.parametrize("most", [60, 3000])
+def test_neighbours_are_ranked_as_by_brute_force(most):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(10, most, rng.integers(5, 40)).astype(np.uint16) for _ in range(50)]
+    idf, mean = rarity([*docs, *(rng.integers(10, 4000, 30).astype(np.uint16) for _ in range(200))])
+    index, used = Index(docs, idf, mean), np.zeros(50, bool)
     used[[0, 5]] = True
-    want = [i for i in np.lexsort((np.arange(50), -np.array(scores))) if not used[i] and scores[i] > 0]
-    assert index.neighbours(docs[0], used, 1000, 50).tolist() == want
+    for seed in (0, 7, 20):
+        scores = bm25(docs, docs[seed], idf, mean)
+        got = index.neighbours(docs[seed], used)
+        assert sorted(got.tolist()) == [i for i in range(50) if not used[i] and scores[i] > 0]
+        assert np.allclose(scores[got], np.sort(scores[got])[::-1])
+        few = index.neighbours(docs[seed], used, terms=3)
+        rare = sorted(set(docs[seed].tolist()), key=lambda t: (-idf[t], t))[:3]
+        assert set(few.tolist()) <= {i for i in range(50) if set(rare) & set(docs[i].tolist())}
+
+
+def test_statistics_cover_all_documents(corpus):
+    rows = written(encoded(corpus, PATH, window=64), "test")
+    enc = tokenizers.Tokenizer.from_file(PATH)
+    rests = []
+    for r in corpus.collect():
+        ids = np.array([*enc.encode(r.text, add_special_tokens=False).ids, 1], np.uint16)
+        rests.append(ids[len(ids) // 64 * 64 :])
+    n, mean, idf = statistics(rows)
+    left = [r for r in rests if len(r)]
+    want, want_mean = rarity(left)
+    assert n == len(left) and abs(mean - want_mean) < 1e-9 and np.allclose(idf, want)
+
+
+def test_shards_bring_near_copies_together(spark, corpus):
+    """Of documents whose best neighbour by BM25 over all of them is a near copy, most have it in their shard of a tenth of the documents."""
+    rows = encoded(corpus, PATH).where("n IS NOT NULL").orderBy("sketch").collect()
+    docs = [np.frombuffer(r.rest, "<u2") for r in rows]
+    idf, mean = rarity(docs)
+    size, copies, met_copies = len(docs) // 10, 0, 0
+    for k in range(0, len(docs), 7):
+        scores = bm25(docs, docs[k], idf, mean)
+        scores[k] = 0
+        best = int(np.argmax(scores))
+        alike = len(set(docs[k].tolist()) & set(docs[best].tolist())) > 0.8 * max(len(set(docs[k].tolist())), len(set(docs[best].tolist())))
+        copies += alike
+        met_copies += alike and k // size == best // size
+    assert copies and met_copies >= 0.6 * copies
 
 
 def test_all_windows_of_a_shard_but_the_last_are_full():
     rng = np.random.default_rng(4)
     rests = [rng.integers(0, 500, rng.integers(0, 63)).astype(np.uint16) for _ in range(80)]
-    sizes = [sum(n for _, _, n in w) for w in pack_shard(list(range(80)), rests, 64, 48, 64)]
-    assert all(s == 64 for s in sizes[:-1]) and sum(sizes) == sum(map(len, rests))
+    for terms in (None, 5):
+        sizes = [sum(n for _, _, n in w) for w in pack_shard(list(range(80)), rests, 64, *rarity(rests), terms)]
+        assert all(s == 64 for s in sizes[:-1]) and sum(sizes) == sum(map(len, rests))
