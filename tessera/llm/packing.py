@@ -46,7 +46,7 @@ SHARD_DOCS = 1024
 TASK_SHARDS = 256
 VOCABULARY = 1 << 16
 K1, B = 1.2, 0.75
-MEMO_WORDS, MEMO_BYTES = 300_000, 40
+MEMO_WORDS, MEMO_BYTES = 400_000, 40
 _MARKS = b".,!?;:*#$%&|"
 
 _loaded: dict[str, WordIds] = {}
@@ -89,14 +89,14 @@ class WordIds:
     def learn(self, wanted: list[bytes]) -> dict[bytes, bytes]:
         memo, marked, new = self.memo, [], []
         for w in wanted:
-            stem = w.rstrip(_MARKS)
-            if 0 < len(stem) < len(w) and 97 <= stem[-1] <= 122:
-                marked.append((w, stem, w[len(stem) :]))
-            else:
-                new.append(w)
-        known = memo.keys()
-        new += {x for _, *parts in marked for x in parts if x not in known}.difference(new)
-        texts = [x.decode("utf-8", "replace") for x in new]
+            if w and w[-1] in _MARKS:
+                stem = w.rstrip(_MARKS)
+                if stem and 97 <= stem[-1] <= 122:
+                    marked.append((w, stem, w[len(stem) :]))
+                    continue
+            new.append(w)
+        new += {x for _, *parts in marked for x in parts if x not in memo}.difference(new)
+        texts = b"\n".join(new).decode("utf-8", "replace").split("\n")  # no word has a line end
         plain = [k for k, t in enumerate(texts) if t.isalpha()]
         found: dict[bytes, bytes] = {}
         chunks = [plain[at : at + 500] for at in range(0, len(plain), 500)]
@@ -154,7 +154,8 @@ def crc(ids: np.ndarray) -> int:
 def sketch(terms: np.ndarray, tf: np.ndarray) -> int:
     """The three heaviest ids of a remainder, in one number; the heaviest first."""
     weight = tf / (tf + K1) * np.log(terms + 2.0)
-    top = terms[np.lexsort((-terms, -weight))[:3]].tolist() + [0, 0, 0]
+    best = np.argpartition(weight, -3)[-3:] if len(weight) > 3 else np.arange(len(weight))
+    top = terms[best[np.lexsort((-terms[best], -weight[best]))]].tolist() + [0, 0, 0]
     return (top[0] << 32) + (top[1] << 16) + top[2]
 
 
@@ -170,11 +171,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
         words, end = WordIds.of(tokenizer_path), np.array([end_id], "<u2")
         gc.collect()
         gc.freeze()  # the vocabulary need not be walked again; nothing here makes cycles
-        held, rests, tokens, types = np.zeros(VOCABULARY, np.int64), 0, 0, None
+        held, rows, rests, tokens, types = np.zeros(VOCABULARY, np.int64), 0, 0, 0, None
         for b in batches:
             types = [b.column(0).type, pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
                 n, full, rest, sketches = [], [], [], []
                 every, bounds = words.ids(part.column(1))
                 for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -189,11 +190,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
                     sketches.append(sketch(terms.astype(np.int64), tf))
                     rests += len(left) > 0
                     tokens += len(left)
+                rows += len(n)
                 none = pa.nulls(len(n))
                 yield pa.RecordBatch.from_arrays([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip([part.column(0), n, full, rest, sketches, none, none], types, strict=True)], ENCODED)
         if types:
             ids = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, [rests, tokens], b"", 0, ids.tolist(), held[ids].tolist()], types, strict=True)], ENCODED)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, [rows, rests, tokens], b"", 0, ids.tolist(), held[ids].tolist()], types, strict=True)], ENCODED)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, n long, full array<long>, rest binary, sketch long, ids array<int>, held array<long>")
@@ -202,15 +204,14 @@ def encoded(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
 ENCODED = ["doc_id", "n", "full", "rest", "sketch", "ids", "held"]
 
 
-def statistics(rows: DataFrame) -> tuple[int, float, np.ndarray]:
-    """Rows of all remainders, their mean length, and the rarity (idf) of each id among them; a vocabulary's worth of rows reaches the driver."""
+def statistics(rows: DataFrame) -> tuple[int, int, float, np.ndarray]:
+    """Number of rows, of remainders, their mean length, and the rarity (idf) of each id among them; a vocabulary's worth of rows reaches the driver."""
     told = rows.where("n IS NULL")
-    total = told.agg(F.sum(F.col("full")[0]).alias("n"), F.sum(F.col("full")[1]).alias("tokens")).first()
-    n = total.n or 0
+    total = told.agg(*(F.coalesce(F.sum(F.col("full")[k]), F.lit(0)).alias(x) for k, x in enumerate(("rows", "n", "tokens")))).first()
     held = np.zeros(VOCABULARY)
     for r in told.select(F.inline(F.arrays_zip("ids", "held"))).groupBy("ids").agg(F.sum("held").alias("held")).collect():
         held[r.ids] = r.held
-    return n, (total.tokens or 0) / max(n, 1), np.log1p((n - held + 0.5) / (held + 0.5))
+    return total.rows, total.n, total.tokens / max(total.n, 1), np.log1p((total.n - held + 0.5) / (held + 0.5))
 
 
 class Index:
@@ -221,8 +222,10 @@ class Index:
         lengths = np.array([len(d) for d in docs], float)
         owner = np.repeat(np.arange(self.n), [len(d) for d in docs])
         pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * self.n + owner, return_counts=True)
-        term, self.doc = pair // self.n, pair % self.n
+        term, self.doc = np.divmod(pair, self.n)
         self.at = np.searchsorted(term, np.arange(VOCABULARY + 1))
+        self.terms = term[np.argsort(self.doc, kind="stable")]  # of each document, in order
+        self.first = np.searchsorted(np.sort(self.doc), np.arange(self.n + 1))
         norm = K1 * (1 - B + B * lengths / max(mean, 1e-9))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
         # Ids that many documents of the shard hold have a whole row of weights.
@@ -233,24 +236,31 @@ class Index:
         dense = self.row[term] >= 0
         self.rows[self.row[term[dense]], self.doc[dense]] = self.weight[dense]
 
-    def neighbours(self, ids: np.ndarray, used: np.ndarray, terms: int | None = None) -> np.ndarray:
-        """All unused documents that share an id with ``ids`` (or with its ``terms`` rarest), best first; ties by place."""
-        q = np.unique(ids)
+    def neighbours(self, seed: int, used: np.ndarray, terms: int | None = None) -> np.ndarray:
+        """All unused documents that share an id with ``seed`` (or one of its ``terms`` rarest), best first; ties by place."""
+        q = self.terms[self.first[seed] : self.first[seed + 1]]
         if terms is not None and len(q) > terms:
             q = q[np.lexsort((q, -self.idf[q]))[:terms]]
         row = self.row[q]
         score = self.rows[row[row >= 0]].sum(0)
-        spans = [slice(a, b) for a, b in zip(self.at[q[row < 0]].tolist(), self.at[q[row < 0] + 1].tolist(), strict=True) if b - a > 1]
-        if spans:
-            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        few = q[row < 0]
+        start, size = self.at[few], self.at[few + 1] - self.at[few]
+        ends = np.cumsum(size)
+        if len(ends):
+            places = np.repeat(start - ends + size, size) + np.arange(ends[-1])
+            score += np.bincount(self.doc[places], self.weight[places], self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def _filled(ranked: np.ndarray, room: int, lengths: np.ndarray, codes: np.ndarray, have: set[int]) -> tuple[list[int], int, np.ndarray]:
-    """The documents of ``ranked`` that are taken whole, one after the other as they fit; the room left; and the others, best first."""
-    taken, others = [], ranked[~np.isin(codes[ranked], list(have))]
+def _filled(others: np.ndarray, room: int, lengths: np.ndarray, codes: np.ndarray, code: int) -> tuple[list[int], int, np.ndarray]:
+    """Of ranked documents those that are taken whole, one after the other as they fit; the room left; and the others, best first.
+
+    ``code`` and those of what is taken name ids that a window has already.
+    """
+    taken = []
+    others = others[codes[others] != code]
     while room:
         fits = np.flatnonzero(lengths[others] <= room)
         if not len(fits):
@@ -258,7 +268,6 @@ def _filled(ranked: np.ndarray, room: int, lengths: np.ndarray, codes: np.ndarra
         d = int(others[fits[0]])
         taken.append(d)
         room -= int(lengths[d])
-        have.add(int(codes[d]))
         others = others[codes[others] != codes[d]]
     return taken, room, others
 
@@ -286,7 +295,7 @@ def pack_shard(ids: list, rests: list[np.ndarray], window: int, idf: np.ndarray,
         seed, start = carry
         pieces, room, carry = [(seed, start, int(lengths[seed] - start))], window - int(lengths[seed] - start), None
         if room:
-            taken, room, others = _filled(index.neighbours(rests[seed], used, query_terms), room, lengths, codes, {int(codes[seed])})
+            taken, room, others = _filled(index.neighbours(seed, used, query_terms), room, lengths, codes, codes[seed])
             pieces += [(d, 0, int(lengths[d])) for d in taken]
             used[taken] = True
             partial = int(others[0]) if room and len(others) else None
@@ -315,9 +324,9 @@ PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, shard_docs: int = SHARD_DOCS, query_terms: int | None = None) -> DataFrame:
     """One row per piece: the columns of :data:`PIECES`. One shuffle, of the remainders' ids."""
     rows = written(encoded(docs, tokenizer_path, window, end_id), "encoded")
-    n, mean, idf = statistics(rows)
-    shards = -(-rows.where("n IS NOT NULL").count() // shard_docs)
-    parts = max(1, min(shards, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS))))
+    total, _, mean, idf = statistics(rows)
+    shards = -(-total // shard_docs)
+    parts = max(1, min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -354,6 +363,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield packed(number, block)[0]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    place = F.xxhash64("doc_id", "n", "rest")
+    place = F.xxhash64("doc_id", "n", "sketch")
     dealt = rows.where("n IS NOT NULL").withColumn("place", place).repartitionByRange(parts, "sketch", "place").sortWithinPartitions("sketch", "place", "doc_id", "n", F.crc32("rest"))
     return dealt.select("doc_id", "n", "full", "rest").transform(in_arrow, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -90,10 +90,10 @@ def test_neighbours_are_ranked_as_by_brute_force(most):
     used[[0, 5]] = True
     for seed in (0, 7, 20):
         scores = bm25(docs, docs[seed], idf, mean)
-        got = index.neighbours(docs[seed], used)
+        got = index.neighbours(seed, used)
         assert sorted(got.tolist()) == [i for i in range(50) if not used[i] and scores[i] > 0]
         assert np.allclose(scores[got], np.sort(scores[got])[::-1])
-        few = index.neighbours(docs[seed], used, terms=3)
+        few = index.neighbours(seed, used, terms=3)
         rare = sorted(set(docs[seed].tolist()), key=lambda t: (-idf[t], t))[:3]
         assert set(few.tolist()) <= {i for i in range(50) if set(rare) & set(docs[i].tolist())}
 
@@ -105,10 +105,10 @@ def test_statistics_cover_all_documents(corpus):
     for r in corpus.collect():
         ids = np.array([*enc.encode(r.text, add_special_tokens=False).ids, 1], np.uint16)
         rests.append(ids[len(ids) // 64 * 64 :])
-    n, mean, idf = statistics(rows)
+    total, n, mean, idf = statistics(rows)
     left = [r for r in rests if len(r)]
     want, want_mean = rarity(left)
-    assert n == len(left) and abs(mean - want_mean) < 1e-9 and np.allclose(idf, want)
+    assert total == corpus.count() and n == len(left) and abs(mean - want_mean) < 1e-9 and np.allclose(idf, want)
 
 
 def test_shards_bring_near_copies_together(spark, corpus):
