@@ -29,8 +29,8 @@ or more, and sizes rule out pairs that cannot be so similar. No pair is missed.
 What is found so far are candidates: inside each component of them all pairs
 are verified, and of each component of verified pairs the document with the
 smallest id stays. So every document that goes is linked by pairs of 0.8 or
-more to the one that stays, whatever the size of the parts that it is done in.
-A bucket of :func:`keep_one` is searched by one task.
+more to the one that stays, whatever the size of the parts that it is done in:
+a large bucket or group is dealt in parts, and every two parts meet in a task.
 
 Null and empty texts have fingerprint zero, linked like any other; to
 :func:`keep_one` they are alike among themselves only. Very long texts are read
@@ -381,19 +381,24 @@ def _named_rows(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_a": F.xxhash64(docs["doc_id"]), "_b": F.xxhash64(docs["text"])})
 
 
-def set_links(sets: DataFrame, least: float) -> DataFrame:
+def set_links(sets: DataFrame, least: float, most_bucket: int = MOST_BUCKET) -> DataFrame:
     """``a, b``: links between the labels of ``sets(node, label, size, bits, prefix)``, over all pairs that may have the similarity.
 
     Shingles go first, in narrow rows; a bucket is one of those and one width of
     parity bits. Only members of buckets with more than one label are given
-    their bits.
+    their bits. A bucket of more than ``most_bucket`` members is dealt in parts
+    of half as many, and every two parts meet in a task.
     """
     each = sets.select("node", "label", "size", F.posexplode("bits").alias("up", "bits"))
     entries = sets.select("node", "label", "prefix", F.posexplode(F.transform("bits", F.octet_length)).alias("up", "width"))
     entries = entries.select("node", "label", "up", "width", F.explode("prefix").alias("h")).select(F.xxhash64("h", "width").alias("key"), "node", "label", "up")
     by_key = W.partitionBy("key")
-    shared = entries.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).where("low < high").select("key", "node", "up")
-    return _bucketed(shared.join(each, ["node", "up"]).select("key", "label", "size", "bits"), _set_links(least))
+    shared = entries.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key), "n": F.count(F.lit(1)).over(by_key)}).where("low < high")
+    parts = F.when(F.col("n") > most_bucket, F.ceil(2 * F.col("n") / most_bucket)).otherwise(1).cast("long")
+    shared = shared.select("key", "node", "up", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
+    shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    block = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    return _bucketed(shared.select(block.alias("key"), "node", "up").join(each, ["node", "up"]).select("key", "label", "size", "bits"), _set_links(least))
 
 
 def _candidates(docs: DataFrame, words: int, least: float, most_bucket: int) -> tuple[DataFrame, DataFrame]:
@@ -411,7 +416,7 @@ def _candidates(docs: DataFrame, words: int, least: float, most_bucket: int) ->
     sets = written(once.select("node", "label", "size", "bits", "prefix"), "sets")
     rows = written(marked.select("a", "b", "node").distinct(), "row-names")
     discard(marked, classes)
-    joined = components(set_links(sets, least)).withColumnRenamed("node", "label")
+    joined = components(set_links(sets, least, most_bucket)).withColumnRenamed("node", "label")
     rooted = written(labelled.select("node", "label", "first").join(joined, "label", "left").select("node", "first", F.coalesce("root", "label").alias("root")), "rooted")
     named = written(rooted.join(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets")), "root").select("node", "root", "first", "sets"), "named")
     discard(sets, labelled, rooted)

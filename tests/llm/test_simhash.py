@@ -110,9 +110,9 @@ def groups_of(sets, least=0.8):
     return {d: root(d) for d in sets}
 
 
-@pytest.mark.parametrize("part_rows", [2, 500])
-def test_keep_one(corpus, no_docs, part_rows):
-    kept = sorted(r.doc_id for r in simhash.keep_one(corpus, part_rows=part_rows).collect())
+@pytest.mark.parametrize(("part_rows", "most_bucket"), [(2, 20_000), (500, 20_000), (500, 2)])
+def test_keep_one(corpus, no_docs, part_rows, most_bucket):
+    kept = sorted(r.doc_id for r in simhash.keep_one(corpus, part_rows=part_rows, most_bucket=most_bucket).collect())
     sets = shingle_sets(corpus)
     assert kept == sorted(set(groups_of(sets).values())) and len(kept) < len(sets)
     assert simhash.keep_one(no_docs).count() == 0 and simhash.near_components(no_docs).count() == 0
