@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import shown_distance
+from tessera.functions.scalar import UNREACHABLE, shown_distance
 from tessera.operators.graph import vertices
 from tessera.plans.loop import cut
+from tessera.sources import files
 
 
 @dataclass
@@ -79,3 +80,40 @@ def states(edges: DataFrame, adjacent: DataFrame, dist: DataFrame) -> DataFrame:
     maps = dist.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("source").cast("string"), "dist")))).alias("sourcesDistance"))
     joined = maps.join(adjacent, "id", "left")
     return joined.select("id", "sourcesDistance", F.lit(True).alias("isVertex"), F.coalesce("adj", F.array().cast("array<int>")).alias("adjacencyList"))
+
+
+def first_states(edges: DataFrame, nodes: DataFrame, adjacent: DataFrame, sources: list[int]) -> DataFrame:
+    """Vertex records before the first pass: 0 at its own source, else the sentinel."""
+    all_ids = start(vertices(edges, nodes), sources)
+    return states(edges, adjacent, all_ids.withColumn("dist", shown_distance(F.col("dist"))))
+
+
+def message_pass(records: DataFrame) -> DataFrame:
+    """One pass over vertex records: each sends its distances, one hop on, to its list, and keeps the least of what it has and gets.
+
+    ``records`` and the result are ``id, sourcesDistance, isVertex, adjacencyList``
+    with ``updated``, the number of a record's distances that went down. Messages
+    are combined before the shuffle; records without messages stay as they are.
+    """
+    known = records.select("id", F.explode("sourcesDistance").alias("source", "dist"))
+    sent = records.select(F.explode(F.array_distinct("adjacencyList")).alias("id"), F.explode(F.map_filter("sourcesDistance", lambda _, d: d < UNREACHABLE)).alias("source", "dist"))
+    least = sent.groupBy("id", "source").agg(F.min(F.col("dist") + 1).alias("new"))
+    merged = known.join(least, ["id", "source"], "left").select("id", "source", F.least("dist", "new").alias("dist"), F.coalesce(F.col("new") < F.col("dist"), F.lit(False)).cast("int").alias("down"))
+    maps = merged.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "dist")))).alias("sourcesDistance"), F.sum("down").alias("updated"))
+    return records.select("id", "isVertex", "adjacencyList").join(maps, "id").select("id", "sourcesDistance", "isVertex", "adjacencyList", "updated")
+
+
+def run_states(records: DataFrame, out: str, max_passes: int | None = None) -> tuple[DataFrame, list[int]]:
+    """Passes over text files of vertex records until no distance goes down: pass ``i`` reads the folder ``out-<i>`` and writes ``out-<i + 1>``.
+
+    Returns the last records and the updates of each pass. A run can go on from any of its folders.
+    """
+    spark, updates = records.sparkSession, []
+    files.write_lines(records, f"{out}-0", files.state_line())
+    while max_passes is None or len(updates) < max_passes:
+        passed = cut(message_pass(files.parse_state(spark.read.text(f"{out}-{len(updates)}"))))
+        updates.append(passed.agg(F.coalesce(F.sum("updated"), F.lit(0))).first()[0])
+        files.write_lines(passed, f"{out}-{len(updates)}", files.state_line())
+        if not updates[-1]:
+            break
+    return files.parse_state(spark.read.text(f"{out}-{len(updates)}")), updates

@@ -8,16 +8,18 @@ one literal expression.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import nearest
 from tessera.plans.loop import cut
+from tessera.sources import files
 
 Centroids = list[tuple[int, float]]
 
@@ -59,11 +61,22 @@ def step(points: DataFrame, centroids: Centroids) -> dict[int, tuple[float, floa
     return {r.cluster: (r["mean"], r.sse) for r in found}
 
 
-def run(points: DataFrame, start: Centroids, tol: float = 2.0, max_passes: int | None = 10, reseed: Callable[[int, float], float] | None = None) -> Clustered:
-    """Passes until the total error moves by ``tol`` or less. An empty cluster keeps its centroid unless ``reseed`` names another."""
+def seeded(seed: int, highest: float = 564_512.0) -> Callable[[int, float], float]:
+    """New centroids for empty clusters: drawn evenly from [0, ``highest``) by a hash of seed, cluster and old centroid, so reruns agree."""
+    return lambda k, c: int(hashlib.md5(f"{seed}:{k}:{c:.6f}".encode()).hexdigest()[:8], 16) / 2**32 * highest
+
+
+def run(points: DataFrame, start: Centroids, tol: float = 2.0, max_passes: int | None = 10, reseed: Callable[[int, float], float] | None = None, out: str | None = None) -> Clustered:
+    """Passes until the total error moves by ``tol`` or less. An empty cluster keeps its centroid unless ``reseed`` names another.
+
+    With ``out`` every pass writes its ``cluster,centroid,sse`` to the folder
+    ``out-<pass>``, and the next pass reads its centroids from there.
+    """
     points = cut(points.select("id", "x"))
     centroids, totals, trace, last, move = list(start), [], [], 0.0, tol + 1
     while move > tol and (max_passes is None or len(totals) < max_passes):
+        if out and totals:
+            centroids = read_pass(points.sparkSession, f"{out}-{len(totals)}")
         found = step(points, centroids)
         new, sse = [], []
         for k, c in centroids:
@@ -73,4 +86,12 @@ def run(points: DataFrame, start: Centroids, tol: float = 2.0, max_passes: int |
         totals.append(sum(int(e) for e in sse))
         trace += [(len(totals), k, c, e) for (k, c), e in zip(new, sse, strict=True)]
         move, last, centroids = abs(totals[-1] - last), float(totals[-1]), new
+        if out:
+            rows = [(k, float(c), float(e)) for (k, c), e in zip(new, sse, strict=True)]
+            files.write_csv(points.sparkSession.createDataFrame(rows, "cluster int, centroid double, sse double"), f"{out}-{len(totals)}", single_file=True, shuffle=False)
     return Clustered(centroids, sse, trace, totals)
+
+
+def read_pass(spark: SparkSession, path: str) -> Centroids:
+    """The centroids that a pass wrote."""
+    return [(r.cluster, r.centroid) for r in files.read_centroids(spark, path).orderBy("cluster").collect()]

@@ -4,6 +4,19 @@ Three counts of repeated edges are kept apart: ``multiset`` counts every
 combination of edge rows; ``replicated`` lets the closing edge count once;
 ``set`` lets the middle edge count once as well. Self loops count in all of
 them; ``simple=True`` drops repeats and loops first (an extension).
+
+Equal edges are merged into one row with their number ``n``. A closed walk of
+vertices that are not all one has three rotations, of which exactly one starts
+at its lowest vertex by (degree, id) and does not end there. Only that one is
+looked for, from its start: an edge up to ``y`` and an edge down from ``z`` meet
+at the lowest vertex, so a popular vertex is never in the middle, and there are
+at most edges ** 1.5 such pairs, however uneven the degrees. Pairs of one
+``(y, z)`` are summed before they meet the edge between them. What the three
+rotations count then follows from the numbers of the three edges:
+
+    multiset 3 n1 n2 n3    replicated n1 n2 + n2 n3 + n3 n1    set n1 + n2 + n3
+
+A loop is a walk with one rotation and counts n ** 3, n ** 2 or n.
 """
 
 from __future__ import annotations
@@ -13,48 +26,73 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import below
 
-#: Strategy to join hint; ``auto`` leaves the choice to the optimizer. ``broadcast`` is for edges of a known size.
+#: Strategy to join hint; ``auto`` leaves the choice to the optimizer.
 HINTS = {"auto": None, "merge": "merge", "broadcast": "broadcast", "shuffle_hash": "shuffle_hash"}
+#: Edges that are broadcast at most, counted first; beyond them the join is a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
-def _hinted(df: DataFrame, strategy: str) -> DataFrame:
+def _hinted(df: DataFrame, strategy: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    if strategy == "broadcast" and df.limit(most_broadcast + 1).count() > most_broadcast:
+        return df
     return df.hint(HINTS[strategy]) if HINTS[strategy] else df
 
 
-def two_paths(edges: DataFrame, max_id: int | None = None, strategy: str = "auto", weighted: bool = False) -> DataFrame:
-    """``start, mid, end`` of each pair of edges that meet; with ``weighted`` equal edges are one row with their number ``n``."""
+def two_paths(edges: DataFrame, max_id: int | None = None, strategy: str = "auto", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``start, mid, end`` of each pair of edges that meet."""
     e = below(edges, max_id)
-    extra = ["n"] if weighted else []
-    first = e.select(F.col("follower").alias("start"), F.col("followed").alias("mid"), *(F.col(x).alias("n1") for x in extra))
-    second = e.select(F.col("follower").alias("mid"), F.col("followed").alias("end"), *(F.col(x).alias("n2") for x in extra))
-    return first.join(_hinted(second, strategy), "mid").select("start", "mid", "end", *((F.col("n1") * F.col("n2")).alias("n") for _ in extra))
-
-
-def triangles(edges: DataFrame, max_id: int | None = None, mode: str = "multiset", strategy: str = "auto", simple: bool = False) -> DataFrame:
-    """One row, ``triangles``.
-
-    Equal edges are first merged into one row with their number: the joins then
-    carry distinct edges and products of numbers, however often an edge repeats.
-    The closing edge is part of the join condition.
-    """
-    e = below(edges, max_id).groupBy("follower", "followed").agg(F.count(F.lit(1)).alias("n"))
-    if simple:
-        e = e.where("follower <> followed").withColumn("n", F.lit(1).cast("long"))
-    once = e.withColumn("n", F.lit(1).cast("long"))
-    mid, closing = {"multiset": (e, e), "replicated": (e, once), "set": (once, once)}[mode]
-    first = e.select(F.col("follower").alias("start"), F.col("followed").alias("mid"), F.col("n").alias("n1"))
-    second = mid.select(F.col("follower").alias("mid"), F.col("followed").alias("end"), F.col("n").alias("n2"))
-    third = closing.select(F.col("follower").alias("end"), F.col("followed").alias("start"), F.col("n").alias("n3"))
-    walks = first.join(_hinted(second, strategy), "mid").join(_hinted(third, strategy), ["end", "start"])
-    return walks.agg(F.expr("coalesce(sum(n1 * n2 * n3), 0L) div 3").alias("triangles"))
-
-
-def triangles_sql(edges: DataFrame, max_id: int | None = None, broadcast: bool = False) -> DataFrame:
-    """The same count of the multiset form as one SQL text over a view."""
+    first = e.select(F.col("follower").alias("start"), F.col("followed").alias("mid"))
+    second = e.select(F.col("follower").alias("mid"), F.col("followed").alias("end"))
+    return first.join(_hinted(second, strategy, most_broadcast), "mid").select("start", "mid", "end")
+
+
+def merged(edges: DataFrame, simple: bool = False) -> DataFrame:
+    """``follower, followed, n``: each edge once, with its number."""
+    e = edges.groupBy("follower", "followed").agg(F.count(F.lit(1)).alias("n"))
+    return e.where("follower <> followed").withColumn("n", F.lit(1).cast("long")) if simple else e
+
+
+def ranked(e: DataFrame) -> DataFrame:
+    """Edges with the (degree, id) of both ends, ``low`` and ``high`` of the two; those no closed walk can use are gone."""
+    ends = e.select(F.inline(F.array(F.struct(F.col("follower").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("followed").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+    degree = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o > 0 AND i > 0").select("id", (F.col("o") + F.col("i")).alias("d"))
+    out = e.join(degree.select(F.col("id").alias("follower"), F.col("d").alias("df")), "follower").join(degree.select(F.col("id").alias("followed"), F.col("d").alias("dt")), "followed")
+    return out.select("follower", "followed", "n", F.struct(F.col("df").alias("d"), F.col("follower").alias("id")).alias("f"), F.struct(F.col("dt").alias("d"), F.col("followed").alias("id")).alias("t"))
+
+
+#: What a merged pair of edges at the lowest vertex and the edge between their ends count, and what a loop counts.
+WEIGHTS = {"multiset": ("3 * n * product", "n * n * n"), "replicated": ("n * total + product", "n * n"), "set": ("total + pairs * n", "n")}
+
+
+def triangles(edges: DataFrame, max_id: int | None = None, mode: str = "multiset", strategy: str = "auto", simple: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One row, ``triangles``."""
+    e = merged(below(edges, max_id), simple)
+    r = ranked(e)
+    up = r.where("f <= t").select(F.col("follower").alias("x"), F.col("followed").alias("y"), F.col("n").alias("n1"))
+    down = r.where("t < f").select(F.col("followed").alias("x"), F.col("follower").alias("z"), F.col("n").alias("n3"))
+    pairs = up.join(_hinted(down, strategy, most_broadcast), "x").groupBy("y", "z").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("n1") + F.col("n3")).alias("total"), F.sum(F.col("n1") * F.col("n3")).alias("product"))
+    between = e.select(F.col("follower").alias("y"), F.col("followed").alias("z"), "n")
+    walk, loop = WEIGHTS[mode]
+    counted = pairs.join(_hinted(between, strategy, most_broadcast), ["y", "z"]).select(F.expr(walk).alias("w")).unionByName(e.where("follower = followed").select(F.expr(loop).alias("w")))
+    return counted.agg(F.expr("coalesce(sum(w), 0L) div 3").alias("triangles"))
+
+
+def triangles_sql(edges: DataFrame, max_id: int | None = None, broadcast: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The same count of the multiset form as one SQL text over a view of the edges."""
     name = "tessera_triangle_edges"
-    (edges.hint("broadcast") if broadcast else edges).createOrReplaceTempView(name)
-    limit = "" if max_id is None else f"AND a.follower < {max_id} AND a.followed < {max_id} AND b.followed < {max_id}"
+    merged(below(edges, max_id)).createOrReplaceTempView(name)
+    few = broadcast and edges.limit(most_broadcast + 1).count() <= most_broadcast
+    hint = "/*+ BROADCAST(e) */" if few else ""
     return edges.sparkSession.sql(f"""
-        SELECT count(*) div 3 AS triangles
-        FROM {name} a, {name} b, {name} c
-        WHERE a.followed = b.follower AND b.followed = c.follower AND c.followed = a.follower {limit}""")
+        WITH ends AS (SELECT follower AS id, 1 AS o, 0 AS i FROM {name} UNION ALL SELECT followed, 0, 1 FROM {name}),
+        degrees AS (SELECT id, sum(o) + sum(i) AS d FROM ends GROUP BY id HAVING sum(o) > 0 AND sum(i) > 0),
+        ranked AS (
+          SELECT follower, followed, n, a.d < b.d OR (a.d = b.d AND follower <= followed) AS up
+          FROM {name} JOIN degrees a ON a.id = follower JOIN degrees b ON b.id = followed),
+        pairs AS (
+          SELECT u.followed AS y, w.follower AS z, sum(u.n * w.n) AS product
+          FROM ranked u JOIN ranked w ON u.follower = w.followed WHERE u.up AND NOT w.up GROUP BY u.followed, w.follower),
+        walks AS (
+          SELECT {hint} 3 * e.n * product AS w FROM pairs JOIN {name} e ON y = e.follower AND z = e.followed
+          UNION ALL SELECT n * n * n FROM {name} WHERE follower = followed)
+        SELECT coalesce(sum(w), 0L) div 3 AS triangles FROM walks""")

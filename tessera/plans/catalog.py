@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 
@@ -16,14 +15,12 @@ from tessera.sources import files, views
 Query = Callable[[SparkSession, str], DataFrame]
 
 MAX_ID = 750
-PATHS_MAX_ID = 300
-CHAIN = 20
+CHAIN = 100
 CHAIN_PASSES = 10
-TOP = 25
+TOP = 100
 K = 4
 CLUMPED = 10.0
-#: Bounds the walks of the SQL only; the queries search until nothing changes.
-BFS_PASSES = 12
+RESEED = 11
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +79,18 @@ def _map_state(s: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.col("sourcesDistance")["1"].alias("d1"), F.col("sourcesDistance")["2"].alias("d2"), F.size("adjacencyList").alias("n_adj"))
 
 
+def _state_files(s: SparkSession, d: str) -> DataFrame:
+    e, n = _edges(s, d), _nodes(s, d)
+    found, _ = bfs.run_states(bfs.first_states(e, n, graph.adjacency(e, n), [1, 2]), _scratch(s, "bfs-states"))
+    return found.select("id", F.col("sourcesDistance")["1"].alias("d1"), F.col("sourcesDistance")["2"].alias("d2"), F.size("adjacencyList").alias("n_adj"))
+
+
+def _two_paths(s: SparkSession, d: str) -> DataFrame:
+    """All rows of the two-path join, summed up for each start."""
+    paths = triangles.two_paths(_edges(s, d))
+    return paths.groupBy("start").agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("end").alias("ends"), F.sum(F.col("mid").cast("long") * F.col("end")).alias("digest"))
+
+
 def _diameter(s: SparkSession, d: str) -> DataFrame:
     r = bfs.search(_edges(s, d), [1])
     return s.createDataFrame([(r.eccentricity, r.eccentricity + 1, r.eccentricity + 2)], "eccentricity int, counter_form int, confirming_form int")
@@ -125,10 +134,13 @@ def _points(s: SparkSession, d: str) -> DataFrame:
     return counts.follower_count(_edges(s, d), _nodes(s, d), "double").select("id", F.col("cnt").alias("x"))
 
 
+def _start(points: DataFrame, kind: str) -> kmeans.Centroids:
+    return kmeans.starts(kind, K, points.agg(F.max("x")).first()[0], base=CLUMPED)
+
+
 def _clusters(s: SparkSession, d: str, kind: str) -> kmeans.Clustered:
     points = _points(s, d)
-    highest = points.agg(F.max("x")).first()[0]
-    return kmeans.run(points, kmeans.starts(kind, K, highest, base=CLUMPED))
+    return kmeans.run(points, _start(points, kind))
 
 
 def _final(kind: str) -> Query:
@@ -144,15 +156,42 @@ def _kmeans_trace(s: SparkSession, d: str) -> DataFrame:
 
 
 def _kmeans_step(s: SparkSession, d: str) -> DataFrame:
-    found = kmeans.step(_points(s, d), kmeans.starts("spread", K, 92))
+    points = _points(s, d)
+    found = kmeans.step(points, _start(points, "spread"))
     return s.createDataFrame([(k, round(m, 6), round(e, 3)) for k, (m, e) in found.items()], "cluster int, centroid double, sse double")
 
 
-def _kmeans_empty(s: SparkSession, d: str) -> DataFrame:
-    r = kmeans.run(_points(s, d), [(1, 10.0), (2, 20.0), (3, -1000.0), (4, 5000.0)], max_passes=1)
+def _kmeans_assign(s: SparkSession, d: str) -> DataFrame:
+    points = _points(s, d)
+    return kmeans.assign(points, _start(points, "spread"))
+
+
+def _shown(s: SparkSession, r: kmeans.Clustered) -> DataFrame:
     return s.createDataFrame([(k, round(c, 6), round(e, 3)) for (k, c), e in zip(r.centroids, r.sse, strict=True)], "cluster int, centroid double, sse double")
 
 
+#: Two of them far from all points.
+EMPTY = [(1, 10.0), (2, 20.0), (3, -1000.0), (4, 5000.0)]
+
+
+def _kmeans_empty(s: SparkSession, d: str) -> DataFrame:
+    return _shown(s, kmeans.run(_points(s, d), EMPTY, max_passes=1))
+
+
+def _kmeans_reseed(s: SparkSession, d: str) -> DataFrame:
+    return _shown(s, kmeans.run(_points(s, d), EMPTY, max_passes=1, reseed=kmeans.seeded(RESEED)))
+
+
+def _kmeans_files(s: SparkSession, d: str) -> DataFrame:
+    """Points from a file of counts, and each pass's centroids from the files of the one before."""
+    path = _scratch(s, "kmeans")
+    files.write_csv(_points(s, d), f"{path}/points")
+    points = files.read_points(s, f"{path}/points")
+    r = kmeans.run(points, _start(points, "spread"), out=f"{path}/out")
+    last = files.read_centroids(s, f"{path}/out-{r.passes}")
+    return last.select("cluster", F.round("centroid", 6).alias("centroid"), F.round("sse", 3).alias("sse"))
+
+
 def _triangles(**options: object) -> Query:
     return lambda s, d: triangles.triangles(_edges(s, d), **options)
 
@@ -175,7 +214,7 @@ def queries() -> dict[str, Query]:
         "follower_loglog": lambda s, d: counts.loglog(_counted("reduce")(s, d)),
         "degree_in_out": lambda s, d: graph.degrees(_edges(s, d)),
         "two_path_cardinality": lambda s, d: graph.two_path_cardinality(_edges(s, d)),
-        "two_paths": lambda s, d: triangles.two_paths(_edges(s, d), PATHS_MAX_ID, "merge").select("start", "end"),
+        "two_paths": _two_paths,
         "two_paths_whole": lambda s, d: triangles.two_paths(_edges(s, d), strategy="merge").select("start", "end"),
         "triangle_reduce_side": _triangles(strategy="merge"),
         "triangle_shuffle": _triangles(strategy="shuffle_hash"),
@@ -197,6 +236,7 @@ def queries() -> dict[str, Query]:
         "bfs_single_source": lambda s, d: _bfs([1])(s, d).select("id", "dist"),
         "bfs_two_source": _two_source,
         "bfs_map_state": _map_state,
+        "bfs_state_files": _state_files,
         "bfs_diameter": _diameter,
         "bfs_trace": _bfs_trace,
         "chain_graph": lambda s, d: graph.chain_graph(s, CHAIN),
@@ -205,12 +245,14 @@ def queries() -> dict[str, Query]:
         "pagerank_sums": _sums,
         "pagerank_chain": lambda s, d: _rounded(_chain_ranks(s).ranks),
         "pagerank_topk": lambda s, d: pagerank.top(_chain_ranks(s).ranks, TOP),
-        "kmeans_assign": lambda s, d: kmeans.assign(_points(s, d), kmeans.starts("spread", K, 92)),
+        "kmeans_assign": _kmeans_assign,
         "kmeans_step": _kmeans_step,
         "kmeans_good": _final("spread"),
         "kmeans_bad": _final("clumped"),
         "kmeans_trace": _kmeans_trace,
         "kmeans_empty_cluster": _kmeans_empty,
+        "kmeans_reseed": _kmeans_reseed,
+        "kmeans_files": _kmeans_files,
     }
 
 
@@ -230,10 +272,12 @@ def _sql(body: str, *parts: str, recursive: bool = False) -> str:
 
 
 def _walk(source: int, name: str) -> str:
-    return f"""{name}w(id, depth) AS (
+    """Least depths from a source: one row for each id reached, and no pass after the one that reaches none."""
+    return f"""{name}(id, d) USING KEY (id) AS (
   SELECT CAST({source} AS INT), CAST(0 AS INT)
-  UNION SELECT e.followed, {name}w.depth + 1 FROM {name}w JOIN edges e ON e.follower = {name}w.id WHERE {name}w.depth < {BFS_PASSES}),
-{name} AS (SELECT id, min(depth) AS d FROM {name}w GROUP BY id)"""
+  UNION
+  SELECT e.followed, CAST(min({name}.d) + 1 AS INT) FROM {name} JOIN edges e ON e.follower = {name}.id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.{name} r WHERE r.id = e.followed) GROUP BY e.followed)"""
 
 
 def _chain_sql(body: str) -> str:
@@ -263,7 +307,7 @@ def _kmeans_sql(start: str, passes: int, body: str) -> str:
 
 
 _SPREAD = f"SELECT CAST(i + 1 AS INT) AS cluster, CAST(i * w + w / 2.0 AS DOUBLE) AS centroid FROM range({K}) r(i), (SELECT ceil(max(x) / {K}) AS w FROM points)"
-_SPREAD_92 = f"SELECT CAST(i + 1 AS INT) AS cluster, CAST(i * {math.ceil(92 / K)} + {math.ceil(92 / K) / 2} AS DOUBLE) AS centroid FROM range({K}) r(i)"
+_EMPTY = "SELECT * FROM (VALUES " + ", ".join(f"({k}, ({c})::DOUBLE)" for k, c in EMPTY) + ") v(cluster, centroid)"
 _FINAL = "SELECT cluster, round(centroid, 6) AS centroid, round(sse, 3) AS sse FROM $EVERY WHERE pass = (SELECT last FROM done)"
 
 
@@ -277,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
     listed = "lists AS (SELECT id, coalesce(string_agg(other, ':' ORDER BY other), '') AS adj FROM pairs GROUP BY id)"
     init = f"CASE WHEN id = 1 THEN 0 ELSE {_FAR} END"
     degree = "sizes AS (SELECT id, count(other) AS n_adj FROM pairs GROUP BY id)"
-    steps = f"steps AS (SELECT d AS pass, count(*) AS updated FROM a WHERE d > 0 GROUP BY d), trace AS (SELECT pass, updated FROM steps UNION ALL SELECT coalesce(max(pass), 0) + 1, 0 FROM steps HAVING coalesce(max(pass), 0) < {BFS_PASSES})"
+    steps = f"steps AS (SELECT d AS pass, count(*) AS updated FROM a WHERE d > 0 GROUP BY d), trace AS (SELECT pass, updated FROM steps UNION ALL SELECT coalesce(max(pass), 0) + 1, 0 FROM steps)"
     return {
         "scan_nodes": _sql("SELECT id FROM nodes"),
         "scan_edges": _sql("SELECT follower, followed FROM edges"),
@@ -292,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "follower_loglog": _sql("SELECT round(CASE WHEN cnt = 0 THEN 0.0 ELSE ln(cnt + 1) END, 9) AS x, round(ln(count(*)), 9) AS y FROM counts GROUP BY cnt", _COUNTS),
         "degree_in_out": _sql("SELECT id, count(*) FILTER (WHERE tag = 'TO') AS n_in, count(*) FILTER (WHERE tag = 'FROM') AS n_out FROM ends GROUP BY id", "ends AS (SELECT followed AS id, 'TO' AS tag FROM edges UNION ALL SELECT follower, 'FROM' FROM edges)"),
         "two_path_cardinality": _sql("SELECT CAST(sum(i.n * o.n) AS BIGINT) AS cardinality FROM (SELECT followed AS id, count(*) AS n FROM edges GROUP BY 1) i JOIN (SELECT follower AS id, count(*) AS n FROM edges GROUP BY 1) o USING (id)"),
-        "two_paths": _sql(f"SELECT a.follower AS start, b.followed AS \"end\" FROM edges a JOIN edges b ON a.followed = b.follower WHERE greatest(a.follower, a.followed, b.followed) < {PATHS_MAX_ID}"),
+        "two_paths": _sql("SELECT a.follower AS start, count(*) AS paths, count(DISTINCT b.followed) AS ends, CAST(sum(CAST(a.followed AS BIGINT) * b.followed) AS BIGINT) AS digest FROM edges a JOIN edges b ON a.followed = b.follower GROUP BY a.follower"),
         **dict.fromkeys(("triangle_reduce_side", "triangle_shuffle", "triangle_sql", "triangle_sql_broadcast"), multiset),
         "triangle_max_id": _sql(f"SELECT CAST(count(*) // 3 AS BIGINT) AS triangles {walks} WHERE greatest(a.follower, a.followed, b.followed) < {MAX_ID}"),
         "triangle_replicated": _sql(f"SELECT CAST(count(*) // 3 AS BIGINT) AS triangles FROM edges a JOIN edges b ON a.followed = b.follower WHERE {closing}"),
@@ -309,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
         "bfs_converged": _sql("SELECT NOT EXISTS (SELECT 1 FROM edges WHERE follower = 1 AND followed <> 1) AS converged"),
         "bfs_single_source": _sql(f"SELECT id, CAST(coalesce(d, {_FAR}) AS INT) AS dist FROM every LEFT JOIN a USING (id)", _ALL, _walk(1, "a"), recursive=True),
         "bfs_two_source": _sql(f"SELECT every.id, CAST(coalesce(a.d, {_FAR}) AS INT) AS d1, CAST(coalesce(b.d, {_FAR}) AS INT) AS d2 FROM every LEFT JOIN a ON a.id = every.id LEFT JOIN b ON b.id = every.id", _ALL, _walk(2, "a"), _walk(6, "b"), recursive=True),
-        "bfs_map_state": _sql(f"SELECT every.id, CAST(coalesce(a.d, {_FAR}) AS INT) AS d1, CAST(coalesce(b.d, {_FAR}) AS INT) AS d2, CAST(coalesce(n_adj, 0) AS INT) AS n_adj FROM every LEFT JOIN a ON a.id = every.id LEFT JOIN b ON b.id = every.id LEFT JOIN sizes s ON s.id = every.id", _ALL, _walk(1, "a"), _walk(2, "b"), owners, degree, recursive=True),
+        **dict.fromkeys(("bfs_map_state", "bfs_state_files"), _sql(f"SELECT every.id, CAST(coalesce(a.d, {_FAR}) AS INT) AS d1, CAST(coalesce(b.d, {_FAR}) AS INT) AS d2, CAST(coalesce(n_adj, 0) AS INT) AS n_adj FROM every LEFT JOIN a ON a.id = every.id LEFT JOIN b ON b.id = every.id LEFT JOIN sizes s ON s.id = every.id", _ALL, _walk(1, "a"), _walk(2, "b"), owners, degree, recursive=True)),
         "bfs_diameter": _sql("SELECT CAST(max(d) AS INT) AS eccentricity, CAST(max(d) + 1 AS INT) AS counter_form, CAST(max(d) + 2 AS INT) AS confirming_form FROM a", _walk(1, "a"), recursive=True),
         "bfs_trace": _sql("SELECT CAST(pass AS INT) AS pass, CAST(updated AS BIGINT) AS updated FROM trace", _walk(1, "a"), steps, recursive=True),
         "chain_graph": f"SELECT CAST(i AS INT) AS src, CAST(CASE WHEN i % {CHAIN} = 0 THEN 0 ELSE i + 1 END AS INT) AS dst FROM range(1, {CHAIN * CHAIN + 1}) r(i)",
@@ -318,10 +362,13 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_sums": _chain_sql(f"SELECT CAST(t AS INT) AS pass, round({CHAIN} * list_sum(pr), 9) AS total FROM passes WHERE t > 0"),
         "pagerank_chain": _chain_sql("SELECT v, pr FROM ranks"),
         "pagerank_topk": _chain_sql(f"SELECT v, pr FROM ranks ORDER BY pr DESC, v LIMIT {TOP}"),
-        "kmeans_assign": _kmeans_sql(_SPREAD_92, 1, "SELECT id, x, cluster FROM a1"),
-        "kmeans_step": _kmeans_sql(_SPREAD_92, 1, "SELECT cluster, round(centroid, 6) AS centroid, round(sse, 3) AS sse FROM c1 WHERE cluster IN (SELECT cluster FROM a1)"),
-        "kmeans_good": _kmeans_sql(_SPREAD, 10, _FINAL),
+        "kmeans_assign": _kmeans_sql(_SPREAD, 1, "SELECT id, x, cluster FROM a1"),
+        "kmeans_step": _kmeans_sql(_SPREAD, 1, "SELECT cluster, round(centroid, 6) AS centroid, round(sse, 3) AS sse FROM c1 WHERE cluster IN (SELECT cluster FROM a1)"),
+        **dict.fromkeys(("kmeans_good", "kmeans_files"), _kmeans_sql(_SPREAD, 10, _FINAL)),
         "kmeans_bad": _kmeans_sql(f"SELECT CAST(i + 1 AS INT) AS cluster, CAST({CLUMPED} + i AS DOUBLE) AS centroid FROM range({K}) r(i)", 10, _FINAL),
         "kmeans_trace": _kmeans_sql(_SPREAD, 10, "SELECT CAST(pass AS INT) AS pass, total FROM totals WHERE pass <= (SELECT last FROM done)"),
-        "kmeans_empty_cluster": _kmeans_sql("SELECT * FROM (VALUES (1, 10.0::DOUBLE), (2, 20.0::DOUBLE), (3, (-1000.0)::DOUBLE), (4, 5000.0::DOUBLE)) v(cluster, centroid)", 1, _FINAL),
+        "kmeans_empty_cluster": _kmeans_sql(_EMPTY, 1, _FINAL),
+        "kmeans_reseed": _kmeans_sql(
+            _EMPTY, 1, f"SELECT cluster, round(CASE WHEN cluster IN (SELECT cluster FROM a1) THEN centroid ELSE CAST('0x' || substr(md5(concat('{RESEED}:', cluster, ':', printf('%.6f', centroid))), 1, 8) AS UBIGINT) / 4294967296.0 * 564512.0 END, 6) AS centroid, round(sse, 3) AS sse FROM $EVERY"
+        ),
     }

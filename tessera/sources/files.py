@@ -32,6 +32,11 @@ def read_centroids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CENTROID).option("mode", "FAILFAST").csv(path)
 
 
+def read_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """``followers,users`` lines, the input of the distribution chart."""
+    return spark.read.schema(schemas.HISTOGRAM).option("mode", "FAILFAST").csv(path)
+
+
 def read_tagged(*parts: tuple[DataFrame, str]) -> DataFrame:
     """Several inputs as one relation, each row under the tag of its input."""
     tagged = [df.withColumn("tag", F.lit(tag)) for df, tag in parts]
@@ -75,6 +80,29 @@ def write_csv(df: DataFrame, path: str, header: bool = False, single_file: bool
     df.write.mode("overwrite").option("header", str(header).lower()).csv(path)
 
 
+def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
+    """CSV in key order over all files: dealt by ranges of the keys and sorted within each."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").csv(path)
+
+
+def write_chart(points: DataFrame, path: str, width: int = 1200, height: int = 800) -> None:
+    """A line chart of ``x, y`` as one SVG file, through Spark's writer.
+
+    One point for each pixel column reaches the driver: the mean of those in it.
+    """
+    spark = points.sparkSession
+    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if box[0] is None:
+        line = ""
+    else:
+        x0, x1, y0, y1 = box
+        column = F.floor((F.col("x") - x0) / ((x1 - x0) or 1.0) * (width - 1)).cast("int")
+        rows = points.groupBy(column.alias("at")).agg(F.avg("y").alias("y")).orderBy("at").collect()
+        line = " ".join(f"{r['at']},{round((height - 1) * (1 - (r['y'] - y0) / ((y1 - y0) or 1.0)), 1)}" for r in rows)
+    svg = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><polyline fill="none" stroke="black" points="{line}"/></svg>'
+    spark.createDataFrame([(svg,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def explain_text(df: DataFrame, mode: str = "formatted") -> str:
     """The plan as text."""
     jdf = df._jdf

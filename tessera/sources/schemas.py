@@ -15,3 +15,4 @@ STATE = T.StructType([
 ])
 POINT = T.StructType([T.StructField("id", T.IntegerType(), False), T.StructField("x", T.DoubleType(), False)])
 CENTROID = T.StructType([T.StructField("cluster", T.IntegerType(), False), T.StructField("centroid", T.DoubleType(), False), T.StructField("sse", T.DoubleType(), False)])
+HISTOGRAM = T.StructType([T.StructField("followers", T.DoubleType(), False), T.StructField("users", T.LongType(), False)])

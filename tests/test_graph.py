@@ -182,13 +182,133 @@ def test_two_paths_whole_leaves_no_id_out(spark, monkeypatch):
     assert rows(catalog.queries()["two_paths_whole"](spark, "")) == want
 
 
-def test_registered_searches_go_beyond_the_bound_of_the_sql(spark, monkeypatch):
+def test_registered_searches_end_by_themselves(spark, monkeypatch):
+    """A path of more vertices than any fixed bound would reach, in the queries and in their SQL."""
+    import duckdb
+
     from tessera.plans import catalog
 
-    n = catalog.BFS_PASSES + 4
-    edges = spark.createDataFrame([(i, i + 1) for i in range(1, n)], "follower int, followed int")
+    n = 17
+    pairs = [(i, i + 1) for i in range(1, n)] + [(n, 1)]
+    edges = spark.createDataFrame(pairs, "follower int, followed int")
     monkeypatch.setattr(catalog, "_edges", lambda s, d: edges)
     monkeypatch.setattr(catalog, "_nodes", lambda s, d: spark.createDataFrame([(i,) for i in range(1, n + 1)], "id int"))
     q = catalog.queries()
-    assert rows(q["bfs_single_source"](spark, "")) == [(i, i - 1) for i in range(1, n + 1)]
-    assert q["bfs_diameter"](spark, "").first().eccentricity == n - 1
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT range AS p_partkey FROM range(1, 18)")
+    con.execute("CREATE TABLE customer AS SELECT range AS c FROM range(100)")
+    con.execute("CREATE TABLE orders AS SELECT range AS o_orderkey, range AS o_custkey FROM range(1, 18)")
+    con.execute("CREATE TABLE lineitem AS SELECT range AS l_orderkey, range % 17 + 1 AS l_partkey FROM range(1, 18)")
+    sql = lambda name: sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
+    assert rows(q["bfs_single_source"](spark, "")) == [(i, i - 1) for i in range(1, n + 1)] == sql("bfs_single_source")
+    assert q["bfs_diameter"](spark, "").first().eccentricity == n - 1 == sql("bfs_diameter")[0][0]
+    assert rows(q["bfs_trace"](spark, "")) == [*((i, 1) for i in range(1, n)), (n, 0)] == sql("bfs_trace")
+
+
+def brute_triangles(pairs):
+    from collections import Counter
+
+    n, out = Counter(pairs), dict.fromkeys(("multiset", "replicated", "set"), 0)
+    for a, b in n:
+        for c, d in n:
+            if b == c and (d, a) in n:
+                out["multiset"] += n[a, b] * n[c, d] * n[d, a]
+                out["replicated"] += n[a, b] * n[c, d]
+                out["set"] += n[a, b]
+    return {k: v // 3 for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_triangles_of_random_multigraphs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pairs = [(rng.randint(1, 12), rng.randint(1, 12)) for _ in range(90)] + [(20, i) for i in range(1, 13)] + [(i, 20) for i in range(1, 8)] + [(3, 3)] * 2
+    e = spark.createDataFrame(pairs, "follower int, followed int")
+    want = brute_triangles(pairs)
+    assert {m: triangles.triangles(e, mode=m).first().triangles for m in want} == want
+    assert triangles.triangles(e, most_broadcast=3, strategy="broadcast").first().triangles == want["multiset"]
+    assert triangles.triangles_sql(e).first().triangles == want["multiset"]
+    assert triangles.triangles(e, simple=True).first().triangles == brute_triangles({(a, b) for a, b in pairs if a != b})["multiset"]
+
+
+def test_a_hub_is_never_in_the_middle(spark):
+    """A vertex with 400 edges in and 400 out, which would make 160,000 two-paths: no pair of edges meets there."""
+    pairs = [(i, 1000) for i in range(400)] + [(1000, i) for i in range(400)] + [(i, i + 1) for i in range(399)]
+    e = spark.createDataFrame(pairs, "follower int, followed int")
+    r = triangles.ranked(triangles.merged(e))
+    up, down = r.where("f <= t"), r.where("t < f")
+    assert up.alias("u").join(down.alias("w"), F.col("u.follower") == F.col("w.followed")).count() < 2000
+    assert triangles.triangles(e).first().triangles == 399
+
+
+def test_broadcast_is_checked(mini_edges):
+    hinted = triangles._hinted(mini_edges, "broadcast", 3)
+    assert "hint" not in hinted._jdf.queryExecution().logical().toString().lower()
+    assert "hint" in triangles._hinted(mini_edges, "broadcast", 8)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_state_files_of_every_pass(spark, mini_edges, mini_nodes, tmp_path):
+    first = bfs.first_states(mini_edges, mini_nodes, graph.adjacency(mini_edges, mini_nodes), [1, 2])
+    last, updates = bfs.run_states(first, str(tmp_path / "out"))
+    got = {r.id: r.sourcesDistance for r in last.collect()}
+    want = {r.id: {"1": r.d1, "2": r.d2} for r in bfs.wide(bfs.distances(mini_edges, mini_nodes, [1, 2]), [1, 2]).collect()}
+    assert got == want and updates[-1] == 0 and all(updates[:-1])
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"out-{i}" for i in range(len(updates) + 1)]
+    again, more = bfs.run_states(files.parse_state(spark.read.text(str(tmp_path / "out-1"))), str(tmp_path / "again"))
+    assert {r.id: r.sourcesDistance for r in again.collect()} == want and more == updates[1:]
+    assert bfs.run_states(first, str(tmp_path / "capped"), max_passes=1)[1] == updates[:1]
+
+
+def test_kmeans_from_files_of_every_pass(spark, tmp_path):
+    (tmp_path / "counts.csv").write_text("1,0\n2,1.0\n3,50\n4,52\n5,100\n")
+    points = files.read_points(spark, str(tmp_path / "counts.csv"))
+    start = kmeans.starts("spread", 2, 100)
+    r = kmeans.run(points, start, out=str(tmp_path / "out"))
+    assert r.centroids == kmeans.run(points, start).centroids == kmeans.read_pass(spark, str(tmp_path / f"out-{r.passes}"))
+    assert sorted(p.name for p in tmp_path.glob("out-*")) == [f"out-{i}" for i in range(1, r.passes + 1)]
+    (tmp_path / "bad.csv").write_text("1,x\n")
+    with pytest.raises(Exception, match="(?s).*"):
+        files.read_points(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_random_starts_and_seeded_reseeding(spark):
+    import random
+
+    points = spark.createDataFrame([(i, float(i)) for i in range(20)], "id int, x double")
+    for kind in ("spread", "clumped"):
+        got = kmeans.starts(kind, 4, 92, rng=random.Random(1))
+        assert got == kmeans.starts(kind, 4, 92, rng=random.Random(1)) and all(0 <= c < 92 for _, c in got)
+    spread = [c for _, c in kmeans.starts("spread", 4, 92, rng=random.Random(1))]
+    assert all(23 * i <= c < 23 * (i + 1) for i, c in enumerate(spread))
+    r = kmeans.run(points, [(1, 5.0), (2, 9000.0)], max_passes=1, reseed=kmeans.seeded(3, highest=50.0))
+    assert 0 <= r.centroids[1][1] < 50 and r.centroids == kmeans.run(points, [(1, 5.0), (2, 9000.0)], max_passes=1, reseed=kmeans.seeded(3, highest=50.0)).centroids
+
+
+def test_histogram_sorted_output_and_chart(spark, mini_edges, mini_nodes, tmp_path):
+    from tessera.operators import counts
+
+    found = counts.histogram(counts.follower_count(mini_edges, mini_nodes))
+    files.write_csv(found, str(tmp_path / "h"), single_file=True)
+    back = files.read_histogram(spark, str(tmp_path / "h"))
+    assert sorted((int(r.followers), r.users) for r in back.collect()) == sorted(map(tuple, found.collect()))
+    files.write_sorted(mini_edges, str(tmp_path / "s"), "followed", "follower")
+    lines = [x for p in sorted((tmp_path / "s").glob("part-*.csv")) for x in p.read_text().splitlines()]
+    assert lines == [f"{a},{b}" for a, b in sorted(map(tuple, mini_edges.collect()), key=lambda r: (r[1], r[0]))]
+    points = spark.createDataFrame([(float(i), float(i % 7)) for i in range(5000)], "x double, y double")
+    for df, most in ((points, 1200), (points.limit(0), 0), (points.limit(1), 1)):
+        files.write_chart(df, str(tmp_path / "c"))
+        svg = next((tmp_path / "c").glob("part-*")).read_text()
+        assert svg.startswith("<svg") and len(svg.split('points="')[1].split('"')[0].split()) <= most
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from tessera import __main__ as cli
+    from tessera.plans import catalog
+
+    assert cli.main([]) == 2 and "usage" in capsys.readouterr().err
+    assert cli.main(["nothing", "in", "out"]) == 2 and "unknown query" in capsys.readouterr().err
+    monkeypatch.setattr(catalog, "_nodes", lambda s, d: s.createDataFrame([(1,), (2,)], "id int"))
+    monkeypatch.setattr(catalog, "queries", lambda: {"scan_nodes": catalog._nodes})
+    assert cli.main(["scan_nodes", "in", str(tmp_path / "o")]) == 0
+    assert sorted(r.id for r in spark.read.option("header", "true").csv(str(tmp_path / "o")).collect()) == ["1", "2"]
