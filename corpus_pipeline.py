@@ -1,15 +1,26 @@
 """The corpus pipeline: quality rules, exact and near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the
-last keep the columns of ``documents``; the next stage reads what the stage
-wrote as Parquet to the shared folder.
+last keep the columns of ``documents``, and extra columns of any name; the next
+stage reads what the stage wrote as Parquet to the shared folder, and what only
+the stage itself needed is removed.
+
+Null texts count as empty: quality rules reject them, as all texts of too few
+words. Very long texts are read whole. Null ids stay like others and come after
+them where ids decide; repeated rows, and one id with several texts, are rows
+like any others: exact dedup keeps one row of each text, the one with the
+smallest id, ties to the smallest hash of the row. Near-dedup keeps the one with
+the smallest id of each component of pairs. Null sources are one source, the
+last. Rows that tie in the mix (one id twice) share what the border gives.
+Empty tables go through all stages and give no pieces; without labels of both
+kinds quality rules only apply their fixed rules.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table, written
+from tessera.llm.common import discard, last_table_only, table, written
 from tessera.llm.queries import tokenizer
 
 
@@ -61,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with last_table_only():
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for made in _collecting:
+        made.append(out)
     return out
 
 
@@ -49,6 +52,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_collecting: list[list[DataFrame]] = []
+
+
+@contextmanager
+def last_table_only() -> Iterator[None]:
+    """Of the tables that are written inside, the last one stays and all before it go: it holds what was asked for."""
+    made: list[DataFrame] = []
+    _collecting.append(made)
+    try:
+        yield
+    finally:
+        _collecting.remove(made)
+        discard(*made[:-1])
+
+
 BATCH = "8m"
 
 

@@ -8,9 +8,11 @@ lines, repeated words or symbols never raise the probability of a good
 document. The model is flattened into arrays of nodes, so a batch is scored by
 a few gathers for each level.
 
-Nulls and empty texts have no words and fail the first rule. Repeated rows give
-one result each. Without labels of both kinds every document that passes the
-rules is kept. Columns besides id and text are not read.
+Nulls and empty texts have no words and fail the first rule. Very long texts are
+read whole. Null ids pass through, repeated rows give one result each, equal
+texts equal verdicts; a probability of exactly the threshold keeps. Without
+labels of both kinds, and with empty tables, every document that passes the
+rules is kept. Columns besides id and text, of any name, are not read.
 """
 
 from __future__ import annotations

@@ -9,8 +9,12 @@ with A-Z lower-cased, so trailing marks do not hide a word.
 The model is fitted on at most ``most_rows`` labelled rows (a documented bound,
 by seeded hash), none of them from the held-out third; labels, language, source
 and id are never inputs of a score. A null or empty text gets the score of the
-bias alone. Repeated rows give one result each. Without labels of both kinds
-every score is the share of toxic labels, or 0.
+bias alone. Very long texts are read whole. Null ids pass through (their fold
+is that of an empty id), repeated rows give one result each, and equal texts
+equal scores. Rows of one id with several texts are all learnt under its label,
+1 where labels of an id differ. Without labels of both kinds every score is the
+share of toxic labels, or 0; so it is with empty tables. Other columns, of any
+name, are not read.
 """
 
 from __future__ import annotations

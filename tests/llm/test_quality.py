@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -69,3 +70,41 @@ def test_odd_rows(labelled, odd_docs, no_docs):
 def test_without_labels_of_both_kinds(labelled):
     docs, labels = labelled
     assert quality.fit(docs, labels.where("quality = 1")) is None and quality.fit(docs, labels.limit(0)) is None
+
+
+def plain_features(text):
+    """The features of the trees, one by one."""
+    n, chars, symbols, dup, repeated = brute(text)
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    w, c, data = max(n, 1), max(chars, 1), text.encode()
+    some = lambda pattern: len(re.findall(pattern, text))
+    return [
+        math.log1p(n), chars / w, symbols / w, dup / max(len(lines), 1), repeated / w, some("[A-Z]") / c, some("[0-9]") / c, some("!") / w, some("[.]") / w, some(",") / w, len(set(words)) / w,
+        max((len(x.encode()) for x in words), default=0), n / max(len(lines), 1), sum(b >= 192 for b in data) / c, some("[{}<>]") / w,
+    ]
+
+
+def walked(model, x):
+    """The probability by walking each tree from its root."""
+    total = model.base
+    for k in model.roots.tolist():
+        while model.feature[k] >= 0:
+            k = int(model.left[k] if x[model.feature[k]] <= model.cut[k] else model.right[k])
+        total += model.value[k]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_verdicts_are_those_of_walked_trees(labelled, corpus, odd_docs):
+    model = quality.fit(*labelled)
+    assert (model.feature >= 0).any()
+    for docs in (labelled[0], corpus, odd_docs.where("length(text) < 9000 OR text IS NULL")):
+        texts = {}
+        for r in docs.collect():
+            texts.setdefault(str(r.doc_id), set()).add(r.text or "")
+        for r in quality.assess(docs, model).collect():
+            if len(texts[str(r.doc_id)]) > 1:
+                continue
+            text = next(iter(texts[str(r.doc_id)]))
+            n, _, _, _, repeated = brute(text)
+            p = walked(model, plain_features(text))
+            assert abs(p - r.p_good) < 1e-9 and r.base_failed == (n < 10 or 100 * repeated > 20 * n) and r.kept == (not r.base_failed and p >= 0.5)

@@ -1,7 +1,12 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 
 from tessera.llm.toxicity import Weights, fit, score_texts
 
@@ -53,3 +58,49 @@ def test_without_labels_of_both_kinds(labelled):
     assert fit(docs, labels.where("toxic = 0")).score(b"any") < 1e-6
     assert fit(docs, labels.limit(0)).score(b"any") < 1e-6
     assert isinstance(fit(docs.limit(0), labels), Weights)
+
+
+def mixed(x):
+    for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ x >> 33) * k) % 2**64
+    return x ^ x >> 33
+
+
+def brute_features(text):
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), text.encode()))
+    h = [xxhash.xxh64_intdigest(w, 11) for w in words]
+    pairs = [mixed((a * 0x9E3779B97F4A7C15 + b) % 2**64) for a, b in zip(h, h[1:], strict=False)]
+    skips = [mixed((a * 0xD6E8FEB86659FD93 + c) % 2**64) for a, c in zip(h, h[2:], strict=False)]
+    return {x >> 34 for x in h + pairs + skips}
+
+
+def brute_ftrl(rows, y, epochs=8, alpha=2.0, beta=1.0, l1=15.0, l2=0.1):
+    """One coordinate at a time, in dictionaries."""
+    often = Counter(f for r in rows for f in r)
+    z, n, share = defaultdict(float), defaultdict(float), sum(y) / len(y)
+    weight = lambda f: 0.0 if f is not None and abs(z[f]) <= l1 else -(z[f] - (math.copysign(l1, z[f]) if f is not None else 0)) / ((beta + math.sqrt(n[f])) / alpha + (l2 if f is not None else 0))
+    rng = np.random.default_rng(5)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)).tolist():
+            known = [f for f in sorted(rows[i]) if often[f] >= 3]
+            w = {f: weight(f) for f in [*known, None]}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y[i]) * (min(6.0, (1 - share) / share) if y[i] else 1.0)
+            for f in w:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z}
+
+
+def test_weights_and_scores_are_those_of_plain_ftrl(spark, labelled):
+    docs, labels = labelled
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(d for d in texts if zlib.crc32(str(d).encode()) % 3 != 1)
+    want = brute_ftrl([brute_features(texts[d]) for d in ids], [truth[d] for d in ids])
+    model = fit(docs, labels)
+    mine = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    assert set(mine) == {f for f, w in want.items() if f is not None and w} and mine
+    assert all(abs(mine[f] - want[f]) < 1e-9 for f in mine) and abs(model.bias - want[None]) < 1e-9
+    for r in score_texts(docs, model).collect():
+        total = want[None] + sum(want.get(f, 0.0) for f in brute_features(texts[r.doc_id]))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 and r.predicted == (r.score >= 0.7)
