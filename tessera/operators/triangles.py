@@ -10,9 +10,9 @@ vertices that are not all one has three rotations, of which exactly one starts
 at its lowest vertex by (degree, id) and does not end there. Only that one is
 looked for, from its start: an edge up to ``y`` and an edge down from ``z`` meet
 at the lowest vertex, so a popular vertex is never in the middle, and there are
-at most edges ** 1.5 such pairs, however uneven the degrees. Pairs of one
-``(y, z)`` are summed before they meet the edge between them. What the three
-rotations count then follows from the numbers of the three edges:
+at most edges ** 1.5 such pairs, however uneven the degrees. They then meet the
+edge from ``y`` to ``z``. What the three rotations count follows from the
+numbers of the three edges:
 
     multiset 3 n1 n2 n3    replicated n1 n2 + n2 n3 + n3 n1    set n1 + n2 + n3
 
@@ -32,18 +32,22 @@ HINTS = {"auto": None, "merge": "merge", "broadcast": "broadcast", "shuffle_hash
 MOST_BROADCAST = 2_000_000
 
 
-def _hinted(df: DataFrame, strategy: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    if strategy == "broadcast" and df.limit(most_broadcast + 1).count() > most_broadcast:
-        return df
+def _few(edges: DataFrame, most: int) -> bool:
+    return edges.limit(most + 1).count() <= most
+
+
+def _hinted(df: DataFrame, strategy: str) -> DataFrame:
     return df.hint(HINTS[strategy]) if HINTS[strategy] else df
 
 
 def two_paths(edges: DataFrame, max_id: int | None = None, strategy: str = "auto", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``start, mid, end`` of each pair of edges that meet."""
     e = below(edges, max_id)
+    if strategy == "broadcast" and not _few(e, most_broadcast):
+        strategy = "auto"
     first = e.select(F.col("follower").alias("start"), F.col("followed").alias("mid"))
     second = e.select(F.col("follower").alias("mid"), F.col("followed").alias("end"))
-    return first.join(_hinted(second, strategy, most_broadcast), "mid").select("start", "mid", "end")
+    return first.join(_hinted(second, strategy), "mid").select("start", "mid", "end")
 
 
 def merged(edges: DataFrame, simple: bool = False) -> DataFrame:
@@ -60,20 +64,22 @@ def ranked(e: DataFrame) -> DataFrame:
     return out.select("follower", "followed", "n", F.struct(F.col("df").alias("d"), F.col("follower").alias("id")).alias("f"), F.struct(F.col("dt").alias("d"), F.col("followed").alias("id")).alias("t"))
 
 
-#: What a merged pair of edges at the lowest vertex and the edge between their ends count, and what a loop counts.
-WEIGHTS = {"multiset": ("3 * n * product", "n * n * n"), "replicated": ("n * total + product", "n * n"), "set": ("total + pairs * n", "n")}
+#: What the three rotations of a walk count, and what a loop counts.
+WEIGHTS = {"multiset": ("3 * n1 * n2 * n3", "n * n * n"), "replicated": ("n1 * n2 + n2 * n3 + n3 * n1", "n * n"), "set": ("n1 + n2 + n3", "n")}
 
 
 def triangles(edges: DataFrame, max_id: int | None = None, mode: str = "multiset", strategy: str = "auto", simple: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row, ``triangles``."""
+    if strategy == "broadcast" and not _few(below(edges, max_id), most_broadcast):
+        strategy = "auto"
     e = merged(below(edges, max_id), simple)
     r = ranked(e)
     up = r.where("f <= t").select(F.col("follower").alias("x"), F.col("followed").alias("y"), F.col("n").alias("n1"))
     down = r.where("t < f").select(F.col("followed").alias("x"), F.col("follower").alias("z"), F.col("n").alias("n3"))
-    pairs = up.join(_hinted(down, strategy, most_broadcast), "x").groupBy("y", "z").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("n1") + F.col("n3")).alias("total"), F.sum(F.col("n1") * F.col("n3")).alias("product"))
-    between = e.select(F.col("follower").alias("y"), F.col("followed").alias("z"), "n")
+    pairs = up.join(_hinted(down, strategy), "x").select("y", "z", "n1", "n3")
+    between = e.select(F.col("follower").alias("y"), F.col("followed").alias("z"), F.col("n").alias("n2"))
     walk, loop = WEIGHTS[mode]
-    counted = pairs.join(_hinted(between, strategy, most_broadcast), ["y", "z"]).select(F.expr(walk).alias("w")).unionByName(e.where("follower = followed").select(F.expr(loop).alias("w")))
+    counted = pairs.join(_hinted(between, strategy), ["y", "z"]).select(F.expr(walk).alias("w")).unionByName(e.where("follower = followed").select(F.expr(loop).alias("w")))
     return counted.agg(F.expr("coalesce(sum(w), 0L) div 3").alias("triangles"))
 
 
@@ -81,7 +87,7 @@ def triangles_sql(edges: DataFrame, max_id: int | None = None, broadcast: bool =
     """The same count of the multiset form as one SQL text over a view of the edges."""
     name = "tessera_triangle_edges"
     merged(below(edges, max_id)).createOrReplaceTempView(name)
-    few = broadcast and edges.limit(most_broadcast + 1).count() <= most_broadcast
+    few = broadcast and _few(below(edges, max_id), most_broadcast)
     hint = "/*+ BROADCAST(e) */" if few else ""
     return edges.sparkSession.sql(f"""
         WITH ends AS (SELECT follower AS id, 1 AS o, 0 AS i FROM {name} UNION ALL SELECT followed, 0, 1 FROM {name}),
@@ -90,8 +96,8 @@ def triangles_sql(edges: DataFrame, max_id: int | None = None, broadcast: bool =
           SELECT follower, followed, n, a.d < b.d OR (a.d = b.d AND follower <= followed) AS up
           FROM {name} JOIN degrees a ON a.id = follower JOIN degrees b ON b.id = followed),
         pairs AS (
-          SELECT u.followed AS y, w.follower AS z, sum(u.n * w.n) AS product
-          FROM ranked u JOIN ranked w ON u.follower = w.followed WHERE u.up AND NOT w.up GROUP BY u.followed, w.follower),
+          SELECT u.followed AS y, w.follower AS z, u.n * w.n AS product
+          FROM ranked u JOIN ranked w ON u.follower = w.followed WHERE u.up AND NOT w.up),
         walks AS (
           SELECT {hint} 3 * e.n * product AS w FROM pairs JOIN {name} e ON y = e.follower AND z = e.followed
           UNION ALL SELECT n * n * n FROM {name} WHERE follower = followed)

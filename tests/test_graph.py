@@ -242,10 +242,10 @@ def test_a_hub_is_never_in_the_middle(spark):
     assert triangles.triangles(e).first().triangles == 399
 
 
-def test_broadcast_is_checked(mini_edges):
-    hinted = triangles._hinted(mini_edges, "broadcast", 3)
-    assert "hint" not in hinted._jdf.queryExecution().logical().toString().lower()
-    assert "hint" in triangles._hinted(mini_edges, "broadcast", 8)._jdf.queryExecution().logical().toString().lower()
+@pytest.mark.parametrize(("most", "hinted"), [(7, False), (8, True)])
+def test_broadcast_is_checked(spark, mini_edges, most, hinted):
+    for df in (triangles.triangles(mini_edges, strategy="broadcast", most_broadcast=most), triangles.two_paths(mini_edges, strategy="broadcast", most_broadcast=most), triangles.triangles_sql(mini_edges, broadcast=True, most_broadcast=most)):
+        assert ("strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString()) == hinted
 
 
 def test_state_files_of_every_pass(spark, mini_edges, mini_nodes, tmp_path):
