@@ -152,8 +152,10 @@ class Window:
     def segment(self, i: int, j: int) -> tuple[str, str, str] | None:
         """All that features see of a segment, its text between cores and the shapes beside it; None where it can be no segment."""
         part = self.shapes[i:j]
-        if j - i > 1 and "AT" not in part[1:-1] and any(x[0] == "w" for x in part):  # words join an entity around a spelt-out mark only
-            return None
+        if j - i > 1 and any(x[0] == "w" for x in part):  # words join an entity around a spelt-out mark only, and before a dot
+            at = part.index("AT") if "AT" in part[1:-1] else 0
+            if not at or ("DOT" not in part[at + 1 : -1] and "." not in self.text[slice(*self.cores[j - 1])]):
+                return None
         before = self.shapes[i - 1][:1] if i else "^"
         after = self.shapes[j][:1] if j < len(self.shapes) else "$"
         return self.text[self.cores[i][0] : self.cores[j - 1][1]], before, after

@@ -462,14 +462,6 @@ class Kept:
         self.sets.append(shingles)
         self.names.append(name)
 
-    def twin(self, name: object, shingles: np.ndarray) -> bool:
-        """Whether an earlier document is that similar; if none is, this one stays and is noted."""
-        for k in self.meets(shingles):
-            if self.similar(k, shingles):
-                return name != self.names[k]  # repeated rows of one document stay or go together
-        self.add(name, shingles)
-        return False
-
 
 def _verified(least: float):
     """``a, b``: spanning links of the pairs of similarity ``least`` in blocks, from rows sorted by block, side and node.

@@ -128,13 +128,12 @@ def test_keep_one_odd_rows(odd_docs):
 def test_prefix_index_finds_what_all_pairs_find():
     rng = np.random.default_rng(9)
     base = np.unique(rng.integers(0, 10**6, 60).astype(np.uint64))
-    kept, stay = simhash.Kept(0.8), []
+    kept, seen = simhash.Kept(0.8), []
     for i in range(200):
         s = np.unique(np.concatenate([rng.choice(base, rng.integers(20, len(base)), replace=False), rng.integers(0, 10**6, rng.integers(0, 12)).astype(np.uint64)]))
-        want = any(alike(set(s.tolist()), t) >= 0.8 for t in stay)
-        assert kept.twin((i, i), s) == want
-        if not want:
-            stay.append(set(s.tolist()))
+        assert [k for k in kept.meets(s) if kept.similar(k, s)] == [k for k, t in enumerate(seen) if alike(set(s.tolist()), t) >= 0.8]
+        kept.add(i, s)
+        seen.append(set(s.tolist()))
 
 
 def test_every_pair_of_the_similarity_is_within_a_component(spark):
