@@ -41,6 +41,10 @@ def histogram(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.col("cnt").alias("followers")).agg(F.count(F.lit(1)).alias("users"))
 
 
+def points(found: DataFrame) -> DataFrame:
+    """The points of the distribution chart, from ``followers, users``."""
+    return found.select(F.round(log_count(F.col("followers")), 9).alias("x"), F.round(F.log("users"), 9).alias("y"))
+
+
 def loglog(counts: DataFrame) -> DataFrame:
-    """The points of the distribution chart."""
-    return histogram(counts).select(F.round(log_count(F.col("followers")), 9).alias("x"), F.round(F.log("users"), 9).alias("y"))
+    return points(histogram(counts))

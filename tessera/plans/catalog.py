@@ -45,6 +45,37 @@ def _edges_text(s: SparkSession, d: str) -> DataFrame:
     return files.read_edges_text(s, path)
 
 
+def _edges_csv(s: SparkSession, d: str) -> DataFrame:
+    """Edges through a typed CSV scan."""
+    path = _scratch(s, "edges-csv")
+    files.write_csv(_edges(s, d), path)
+    return files.read_edges(s, path)
+
+
+def _nodes_csv(s: SparkSession, d: str) -> DataFrame:
+    path = _scratch(s, "nodes-csv")
+    files.write_csv(_nodes(s, d), path)
+    return files.read_nodes(s, path)
+
+
+def _counts_file(shuffle: bool, header: bool = False) -> Query:
+    """Follower counts through one CSV file, made with or without a shuffle."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = _scratch(s, "counts")
+        files.write_csv(_counted("reduce")(s, d), path, header=header, single_file=True, shuffle=shuffle)
+        return s.read.schema("id int, cnt long").option("header", str(header).lower()).option("mode", "FAILFAST").csv(path)
+
+    return run
+
+
+def _histogram_file(s: SparkSession, d: str) -> DataFrame:
+    """The chart's points from a histogram file."""
+    path = _scratch(s, "histogram")
+    files.write_csv(counts.histogram(_counted("reduce")(s, d)), path, single_file=True, shuffle=False)
+    return counts.points(files.read_histogram(s, path))
+
+
 def _adjacency_text(s: SparkSession, d: str) -> DataFrame:
     return graph.adjacency(_edges(s, d), _nodes(s, d)).select(files.adjacency_line().alias("line"))
 
@@ -201,6 +232,12 @@ def queries() -> dict[str, Query]:
         "scan_nodes": _nodes,
         "scan_edges": _edges,
         "scan_edges_text": _edges_text,
+        "scan_edges_csv": _edges_csv,
+        "scan_nodes_csv": _nodes_csv,
+        "sink_counts_shuffled": _counts_file(True),
+        "sink_counts_coalesced": _counts_file(False),
+        "sink_counts_header": _counts_file(False, header=True),
+        "histogram_file": _histogram_file,
         "edges_reversed": lambda s, d: graph.reversed_edges(_edges(s, d)),
         "edges_max_filter": lambda s, d: graph.below(_edges(s, d), MAX_ID),
         "tagged_union": lambda s, d: files.read_tagged((_edges(s, d).select(F.col("followed").alias("id"), F.lit(1).alias("n")), "EDGE"), (_nodes(s, d).select("id", F.lit(0).alias("n")), "NODE")),
@@ -234,6 +271,7 @@ def queries() -> dict[str, Query]:
         "bfs_expand_once": _expand_once,
         "bfs_converged": _converged,
         "bfs_single_source": lambda s, d: _bfs([1])(s, d).select("id", "dist"),
+        "bfs_ten_passes": lambda s, d: bfs.distances(_edges(s, d), _nodes(s, d), [1], max_passes=10).select("id", "dist"),
         "bfs_two_source": _two_source,
         "bfs_map_state": _map_state,
         "bfs_state_files": _state_files,
@@ -325,15 +363,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_nodes": _sql("SELECT id FROM nodes"),
         "scan_edges": _sql("SELECT follower, followed FROM edges"),
-        "scan_edges_text": _sql("SELECT follower, followed FROM edges"),
+        **dict.fromkeys(("scan_edges_text", "scan_edges_csv"), _sql("SELECT follower, followed FROM edges")),
+        "scan_nodes_csv": _sql("SELECT id FROM nodes"),
         "edges_reversed": _sql("SELECT followed AS src, follower AS dst FROM edges"),
         "edges_max_filter": _sql(f"SELECT follower, followed FROM edges WHERE follower < {MAX_ID} AND followed < {MAX_ID}"),
         "tagged_union": _sql("SELECT followed AS id, 1 AS n, 'EDGE' AS tag FROM edges UNION ALL SELECT id, 0, 'NODE' FROM nodes"),
-        **dict.fromkeys(("follower_count_reduce", "follower_count_fold", "follower_count_aggregate", "follower_count_group"), counted),
+        **dict.fromkeys(("follower_count_reduce", "follower_count_fold", "follower_count_aggregate", "follower_count_group", "sink_counts_shuffled", "sink_counts_coalesced", "sink_counts_header"), counted),
         "follower_count_double": _sql("SELECT id, CAST(cnt AS DOUBLE) AS cnt FROM counts", _COUNTS),
         "follower_rowcount_dataset": _sql("SELECT id, count(*) AS cnt FROM ones GROUP BY id", _ONES),
         "follower_histogram": _sql("SELECT cnt AS followers, count(*) AS users FROM counts GROUP BY cnt", _COUNTS),
-        "follower_loglog": _sql("SELECT round(CASE WHEN cnt = 0 THEN 0.0 ELSE ln(cnt + 1) END, 9) AS x, round(ln(count(*)), 9) AS y FROM counts GROUP BY cnt", _COUNTS),
+        **dict.fromkeys(("follower_loglog", "histogram_file"), _sql("SELECT round(CASE WHEN cnt = 0 THEN 0.0 ELSE ln(cnt + 1) END, 9) AS x, round(ln(count(*)), 9) AS y FROM counts GROUP BY cnt", _COUNTS)),
         "degree_in_out": _sql("SELECT id, count(*) FILTER (WHERE tag = 'TO') AS n_in, count(*) FILTER (WHERE tag = 'FROM') AS n_out FROM ends GROUP BY id", "ends AS (SELECT followed AS id, 'TO' AS tag FROM edges UNION ALL SELECT follower, 'FROM' FROM edges)"),
         "two_path_cardinality": _sql("SELECT CAST(sum(i.n * o.n) AS BIGINT) AS cardinality FROM (SELECT followed AS id, count(*) AS n FROM edges GROUP BY 1) i JOIN (SELECT follower AS id, count(*) AS n FROM edges GROUP BY 1) o USING (id)"),
         "two_paths": _sql("SELECT a.follower AS start, count(*) AS paths, count(DISTINCT b.followed) AS ends, CAST(sum(CAST(a.followed AS BIGINT) * b.followed) AS BIGINT) AS digest FROM edges a JOIN edges b ON a.followed = b.follower GROUP BY a.follower"),
@@ -352,6 +391,7 @@ def oracle_sql() -> dict[str, str]:
         "bfs_expand_once": _sql(f"SELECT id, CAST(CASE WHEN id = 1 THEN 0 WHEN id IN (SELECT followed FROM edges WHERE follower = 1) THEN 1 ELSE {_FAR} END AS INT) AS dist FROM every", _ALL),
         "bfs_converged": _sql("SELECT NOT EXISTS (SELECT 1 FROM edges WHERE follower = 1 AND followed <> 1) AS converged"),
         "bfs_single_source": _sql(f"SELECT id, CAST(coalesce(d, {_FAR}) AS INT) AS dist FROM every LEFT JOIN a USING (id)", _ALL, _walk(1, "a"), recursive=True),
+        "bfs_ten_passes": _sql(f"SELECT id, CAST(CASE WHEN d <= 10 THEN d ELSE {_FAR} END AS INT) AS dist FROM every LEFT JOIN a USING (id)", _ALL, _walk(1, "a"), recursive=True),
         "bfs_two_source": _sql(f"SELECT every.id, CAST(coalesce(a.d, {_FAR}) AS INT) AS d1, CAST(coalesce(b.d, {_FAR}) AS INT) AS d2 FROM every LEFT JOIN a ON a.id = every.id LEFT JOIN b ON b.id = every.id", _ALL, _walk(2, "a"), _walk(6, "b"), recursive=True),
         **dict.fromkeys(("bfs_map_state", "bfs_state_files"), _sql(f"SELECT every.id, CAST(coalesce(a.d, {_FAR}) AS INT) AS d1, CAST(coalesce(b.d, {_FAR}) AS INT) AS d2, CAST(coalesce(n_adj, 0) AS INT) AS n_adj FROM every LEFT JOIN a ON a.id = every.id LEFT JOIN b ON b.id = every.id LEFT JOIN sizes s ON s.id = every.id", _ALL, _walk(1, "a"), _walk(2, "b"), owners, degree, recursive=True)),
         "bfs_diameter": _sql("SELECT CAST(max(d) AS INT) AS eccentricity, CAST(max(d) + 1 AS INT) AS counter_form, CAST(max(d) + 2 AS INT) AS confirming_form FROM a", _walk(1, "a"), recursive=True),
