@@ -84,6 +84,8 @@ class Merges:
         self.longest = max(map(len, self.ids))
         #: Every end of a token, with the token's number or -1.
         self.ended = {t[k:]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
+        #: The longest token that a token ends in besides itself, with its length.
+        self.shorter = {i: next(((self.ids[t[k:]], len(t) - k) for k in range(1, len(t)) if t[k:] in self.ids), None) for t, i in self.ids.items()}
         self.bytes_of = {i: t for t, i in self.ids.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(self.ids[data(a)], self.ids[data(b)]): rank for rank, (a, b) in enumerate(pairs)}
@@ -133,7 +135,7 @@ class Merges:
         What the word before has in common with this one is kept: sorted words
         are read from where they part.
         """
-        ended, pairs, count, last, step = self.ended.get, self.pairs, self.count, self.last, self.step
+        ended, shorter, pairs, count, last, step = self.ended.get, self.shorter, self.pairs, self.count, self.last, self.step
         if len(pairs) > MEMO_PAIRS:
             pairs.clear()
         same = 0
@@ -143,24 +145,25 @@ class Merges:
             same += 1
         del count[same + 1 :], last[same + 1 :], step[same:]
         for i in range(same + 1, len(word) + 1):
-            here = []
-            j = i - 1
-            while j >= 0 and (token := ended(word[j:i])) is not None:
-                if token >= 0:
-                    here.append((j, token))
-                j -= 1
+            k = i - 1
+            while k >= 0 and (found := ended(word[k:i])) is not None:
+                if found >= 0:
+                    j, token = k, found  # the longest one so far that ends here
+                k -= 1
             while True:
-                j, token = here.pop()
-                key = (last[j] << 24) + token
+                before = last[j]
+                key = (before << 24) + token
                 fits = pairs.get(key)
                 if fits is None:
-                    fits = pairs[key] = self._stands(last[j], token)
+                    fits = pairs[key] = self._stands(before, token)
                 if fits:
-                    n = count[j] + 1
-                    step.append((n - count[-1]) & 255)
-                    count.append(n)
-                    last.append(token)
                     break
+                token, size = shorter[token]
+                j = i - size
+            n = count[j] + 1
+            step.append((n - count[-1]) & 255)
+            count.append(n)
+            last.append(token)
         self.word = word
 
     def prefixes(self, word: bytes) -> list[int]:
