@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import below
+from tessera.operators.graph import below, tagged
+from tessera.plans.loop import remove, stored
 
 #: Strategy to join hint; ``auto`` leaves the choice to the optimizer.
 HINTS = {"auto": None, "merge": "merge", "broadcast": "broadcast", "shuffle_hash": "shuffle_hash"}
@@ -50,6 +51,59 @@ def two_paths(edges: DataFrame, max_id: int | None = None, strategy: str = "auto
     return first.join(_hinted(second, strategy), "mid").select("start", "mid", "end")
 
 
+def middles(edges: DataFrame) -> DataFrame:
+    """``mid, starts, ends, n, total`` of each vertex in the middle of a two-path.
+
+    ``starts`` has an element for each edge in, ``ends`` each id that an edge out
+    leads to once; ``n`` edges lead out, and ``total`` is the sum of their ids. A
+    vertex's two lists are one row.
+    """
+    t = tagged(edges).where("id IS NOT NULL").select("id", (F.col("tag") == "TO").alias("into"), "other").repartition("id")
+    into, out = F.when(F.col("into"), F.col("other")), F.when(~F.col("into"), F.col("other"))
+    lists = t.groupBy("id").agg(
+        F.collect_list(into).alias("starts"), F.count_if("into").alias("i"), F.collect_list(out).alias("ends"), F.count_if(~F.col("into")).alias("n"), F.sum(out.cast("long")).alias("total")
+    )
+    unknown = F.array_repeat(F.lit(None).cast("int"), (F.col("i") - F.size("starts")).cast("int"))  # a gathered list leaves nulls out
+    return lists.where("i > 0 AND n > 0").select(F.col("id").alias("mid"), F.concat("starts", unknown).alias("starts"), F.array_sort(F.array_distinct("ends")).alias("ends"), "n", "total")
+
+
+def two_path_sums(edges: DataFrame, folder: str, round_paths: int = 64_000_000, round_edges: int = 8, task_paths: int = 2_000_000, most_gathered: int = 4_000_000, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``start, paths, ends, digest``: of all two-paths of a start their number, that of their distinct ends, and the sum of mid * end.
+
+    The join meets each edge with the whole list of its middle's ends, so that no
+    row for each path is shuffled. Starts are dealt to as many rounds as keep a
+    round's lists at ``round_edges`` ids an edge (or ``round_paths``), as disk holds
+    the lists of one round only. A start whose lists have over ``most_gathered`` ids
+    (a list counts for eight more) is not gathered: its ends are told apart as rows.
+    Both numbers decide the work and not the result. Files stand in ``folder``.
+    """
+    spark = edges.sparkSession
+    lists = stored(middles(edges), f"{folder}/middles")
+    size = F.size("ends").cast("long")
+    loads = lists.select(F.explode("starts").alias("start"), size.alias("ids")).groupBy("start").agg(F.sum("ids").alias("ids"), (F.sum("ids") + 8 * F.count(F.lit(1))).alias("load"), F.count(F.lit(1)).alias("edges"))
+    heavy = loads.where(F.col("load") > most_gathered).select("start")
+    ids, n, many = loads.agg(F.coalesce(F.sum("ids"), F.lit(0)), F.coalesce(F.sum("edges"), F.lit(0)), F.count_if(F.col("load") > most_gathered)).first()
+    if many:
+        heavy = stored(heavy, f"{folder}/heavy")
+        heavy = heavy.hint("broadcast") if many <= most_broadcast else heavy
+    rounds = max(1, -(-ids // max(round_paths, round_edges * n)))
+    tasks = max(1, -(-ids // (rounds * task_paths)))
+    for i in range(rounds):
+        met = lists.select(F.explode("starts").alias("start"), "n", (F.col("mid").cast("long") * F.col("total")).alias("product"), "ends").where(F.pmod(F.xxhash64("start"), F.lit(rounds)) == i)
+        sums = (F.sum("n").alias("paths"), F.sum("product").alias("digest"))
+        light = met.join(heavy, "start", "left_anti") if many else met
+        gathered = light.repartition(tasks, "start").groupBy("start").agg(*sums, F.collect_list("ends").alias("lists"))
+        out = gathered.select("start", "paths", F.size(F.array_distinct(F.flatten("lists"))).cast("long").alias("ends"), "digest")
+        if many:
+            rest = met.join(heavy, "start", "left_semi")
+            ends = rest.select("start", F.explode("ends").alias("end")).distinct().groupBy("start").agg(F.count("end").alias("ends"))
+            out = out.unionByName(rest.groupBy("start").agg(*sums).join(ends, "start", "left").select("start", "paths", F.coalesce("ends", F.lit(0)).cast("long").alias("ends"), "digest"))
+        found = stored(out, f"{folder}/sums")
+    remove(spark, f"{folder}/middles")
+    remove(spark, f"{folder}/heavy")
+    return found
+
+
 def merged(edges: DataFrame, simple: bool = False) -> DataFrame:
     """``follower, followed, n``: each edge once, with its number."""
     e = edges.groupBy("follower", "followed").agg(F.count(F.lit(1)).alias("n"))

@@ -20,6 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Shuffle files of a finished write go at once.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` added to the Parquet files of ``path``, which are read back; the shuffle files that it took are removed."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and checkpointed in the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)

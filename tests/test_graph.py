@@ -182,6 +182,49 @@ def test_two_paths_whole_leaves_no_id_out(spark, monkeypatch):
     assert rows(catalog.queries()["two_paths_whole"](spark, "")) == want
 
 
+def brute_path_sums(pairs):
+    out = {}
+    for a, b in pairs:
+        for c, d in pairs:
+            if b == c and b is not None:
+                out.setdefault(a, []).append((b, d))
+    sums = lambda found: [b * d for b, d in found if d is not None]
+    return {a: (len(x), len({d for _, d in x} - {None}), sum(sums(x)) if sums(x) else None) for a, x in out.items()}
+
+
+@pytest.mark.parametrize("limits", [{}, {"round_paths": 1, "round_edges": 1, "task_paths": 50}, {"most_gathered": 60}, {"round_paths": 1, "round_edges": 2, "most_gathered": 0, "most_broadcast": 0}])
+def test_two_path_sums_of_repeats_loops_and_nulls(spark, tmp_path, limits):
+    import random
+
+    rng = random.Random(5)
+    pairs = [(rng.randint(1, 15), rng.randint(-3, 15)) for _ in range(120)] + [(3, 3)] * 3 + [(None, 3), (None, 4), (None, None), (3, None), (3, None), (50, 51), (51, None), (60, 61)] + [(i, 7) for i in range(20, 40)]
+    e = spark.createDataFrame(pairs, "follower int, followed int")
+    found = triangles.two_path_sums(e, str(tmp_path), **limits)
+    assert found.columns == ["start", "paths", "ends", "digest"]
+    assert {r.start: (r.paths, r.ends, r.digest) for r in found.collect()} == brute_path_sums(pairs)
+    assert found.count() == len(brute_path_sums(pairs)) and [p.name for p in tmp_path.iterdir()] == ["sums"]
+    assert triangles.two_path_sums(e.limit(0), str(tmp_path / "none"), **limits).count() == 0
+
+
+def test_two_paths_shuffles_no_row_for_each_path(spark, monkeypatch):
+    """A vertex with 300 edges in and 300 out: 90,000 paths, of which none is a row of a shuffle."""
+    from tessera.plans import catalog
+
+    pairs = [(i, 1000) for i in range(300)] + [(1000, i + 2000) for i in range(300)]
+    monkeypatch.setattr(catalog, "_edges", lambda s, d: spark.createDataFrame(pairs, "follower int, followed int"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    want = [(i, 300, 300, sum(1000 * (j + 2000) for j in range(300))) for i in range(300)]
+    assert rows(catalog.queries()["two_paths"](spark, "")) == want
+    assert 0 < sum(n for k, n in shuffled().items() if k not in before) < 5000
+
+
 def test_registered_searches_end_by_themselves(spark, monkeypatch):
     """A path of more vertices than any fixed bound would reach, in the queries and in their SQL."""
     import duckdb
