@@ -67,7 +67,7 @@ def middles(edges: DataFrame) -> DataFrame:
     return lists.where("i > 0 AND n > 0").select(F.col("id").alias("mid"), F.concat("starts", unknown).alias("starts"), F.array_sort(F.array_distinct("ends")).alias("ends"), "n", "total")
 
 
-def two_path_sums(edges: DataFrame, folder: str, round_paths: int = 64_000_000, round_edges: int = 8, task_paths: int = 2_000_000, most_gathered: int = 4_000_000, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def two_path_sums(edges: DataFrame, folder: str, round_paths: int = 64_000_000, round_edges: int = 6, task_paths: int = 2_000_000, most_gathered: int = 4_000_000, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``start, paths, ends, digest``: of all two-paths of a start their number, that of their distinct ends, and the sum of mid * end.
 
     The join meets each edge with the whole list of its middle's ends, so that no
@@ -82,7 +82,8 @@ def two_path_sums(edges: DataFrame, folder: str, round_paths: int = 64_000_000,
     size = F.size("ends").cast("long")
     loads = lists.select(F.explode("starts").alias("start"), size.alias("ids")).groupBy("start").agg(F.sum("ids").alias("ids"), (F.sum("ids") + 8 * F.count(F.lit(1))).alias("load"), F.count(F.lit(1)).alias("edges"))
     heavy = loads.where(F.col("load") > most_gathered).select("start")
-    ids, n, many = loads.agg(F.coalesce(F.sum("ids"), F.lit(0)), F.coalesce(F.sum("edges"), F.lit(0)), F.count_if(F.col("load") > most_gathered)).first()
+    whole = loads.agg(F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"), F.count_if(F.col("load") > most_gathered).alias("many"))
+    ids, n, many = stored(whole, f"{folder}/loads").first()
     if many:
         heavy = stored(heavy, f"{folder}/heavy")
         heavy = heavy.hint("broadcast") if many <= most_broadcast else heavy
@@ -99,8 +100,8 @@ def two_path_sums(edges: DataFrame, folder: str, round_paths: int = 64_000_000,
             ends = rest.select("start", F.explode("ends").alias("end")).distinct().groupBy("start").agg(F.count("end").alias("ends"))
             out = out.unionByName(rest.groupBy("start").agg(*sums).join(ends, "start", "left").select("start", "paths", F.coalesce("ends", F.lit(0)).cast("long").alias("ends"), "digest"))
         found = stored(out, f"{folder}/sums")
-    remove(spark, f"{folder}/middles")
-    remove(spark, f"{folder}/heavy")
+    for used in ("middles", "loads", "heavy"):
+        remove(spark, f"{folder}/{used}")
     return found
 
 
